@@ -1 +1,320 @@
-"""Queries."""
+"""Queries for token masking, scoring, decoding, generation and soft lookup."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from spotgrid.catalog import inputs
+from spotgrid.catalog.registry import GUMBEL, R6, U, part, query, r6
+from spotgrid.operators import decoding, generating, losses, lookup, masking, scoring
+from spotgrid.sources import tables
+
+MASK = inputs.CODES
+KEPT = decoding.kept_logits(inputs.CODES)
+
+part(
+    "k_ranked",
+    f"""SELECT sample_id, pos, token_id, {U(7, 'sample_id')} AS t, count(*) OVER (PARTITION BY sample_id) AS n,
+    row_number() OVER (PARTITION BY sample_id ORDER BY {U(7, 'sample_id', 'pos')}, pos) - 1 AS rk FROM e_tokens""",
+)
+part(
+    "k_hidden",
+    "SELECT sample_id, pos, token_id, rk < greatest(round_even(cos(t * pi() * 0.5) * n, 0), 1.0) AS masked FROM k_ranked",
+)
+part(
+    "k_masked",
+    f"""SELECT sample_id, pos, token_id, masked, CASE WHEN masked THEN token_id ELSE -1 END AS label,
+    CASE WHEN masked THEN {MASK} ELSE token_id END AS x FROM k_hidden""",
+)
+part("s_seen", "SELECT cond, pos, token_id, count(*) AS n FROM e_tokens JOIN e_cond USING (sample_id) GROUP BY 1, 2, 3")
+part("s_prior", "SELECT token_id, sum(n) / (SELECT sum(n) FROM s_seen) AS p FROM s_seen GROUP BY 1")
+part("s_cond", "SELECT cond, pos, token_id, ln(n + 0.5 * p) AS logit FROM s_seen JOIN s_prior USING (token_id)")
+part(
+    "s_null",
+    "SELECT pos, token_id, ln(n + 0.5 * p) AS logit FROM (SELECT pos, token_id, sum(n) AS n FROM s_seen GROUP BY 1, 2) JOIN s_prior USING (token_id)",
+)
+part(
+    "k_scored",
+    """SELECT k.sample_id, k.pos, c.token_id, c.logit AS cond_logit, u.logit AS null_logit FROM k_masked k
+    JOIN e_cond USING (sample_id) JOIN s_cond c ON c.cond = e_cond.cond AND c.pos = k.pos
+    JOIN s_null u ON u.pos = c.pos AND u.token_id = c.token_id WHERE k.masked""",
+)
+part("k_logits", "SELECT sample_id, pos, token_id, null_logit + (cond_logit - null_logit) * 3 AS logit FROM k_scored")
+part(
+    "k_kept",
+    f"""SELECT sample_id, pos, token_id, logit FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, pos
+    ORDER BY round(logit, 9) DESC, token_id) AS rk FROM k_logits) WHERE rk <= {KEPT}""",
+)
+part(
+    "k_pred",
+    f"""SELECT sample_id, pos, token_id AS pred_id FROM (SELECT sample_id, pos, token_id, row_number() OVER (PARTITION BY sample_id, pos
+    ORDER BY logit / 0.5 + {GUMBEL(U(21, 'sample_id', 'pos', 'token_id'))} DESC, token_id) AS rk FROM k_kept) WHERE rk = 1""",
+)
+
+
+def _conditions(spark, folder):
+    return tables.embedding_conditions(spark, folder)
+
+
+def _masked(spark, folder, no_mask_prob=0.0):
+    return masking.mask_tokens(inputs.tokens(spark, folder), MASK, 7, no_mask_prob=no_mask_prob)
+
+
+def _scorer(spark, folder):
+    return scoring.fit_token_scorer(inputs.tokens(spark, folder), _conditions(spark, folder), 0.5)
+
+
+def _hidden(spark, folder):
+    return _masked(spark, folder).where("masked").join(_conditions(spark, folder), "sample_id")
+
+
+def _logits(spark, folder):
+    score = scoring.score_function(_scorer(spark, folder), 3.0)
+    return score(_hidden(spark, folder))
+
+
+def _kept(spark, folder):
+    return decoding.topk_filter(_logits(spark, folder), inputs.CODES)
+
+
+def _pred(spark, folder):
+    return decoding.gumbel_argmax(_kept(spark, folder), 0.5, 21)
+
+
+@query("mask_tokens", "SELECT sample_id, pos, token_id, masked, label, x FROM k_masked")
+def _(spark, folder):
+    return _masked(spark, folder)
+
+
+@query(
+    "mask_subset",
+    f"""SELECT sample_id, pos, token_id, masked, label, CASE WHEN masked AND rk < greatest(m * CAST(0.3 AS DOUBLE), 1.0) THEN token_id ELSE x END AS x FROM (
+    SELECT *, count(*) OVER (PARTITION BY sample_id, masked) AS m,
+    row_number() OVER (PARTITION BY sample_id, masked ORDER BY {U(8, 'sample_id', 'pos')}, pos) - 1 AS rk FROM k_masked)""",
+)
+def _(spark, folder):
+    return masking.mask_subset(_masked(spark, folder), 0.3, 8, min_mask=1)
+
+
+@query(
+    "init_canvas",
+    f"SELECT vec_id AS sample_id, CAST(i AS INTEGER) AS pos, {MASK} AS token_id, CAST(0 AS DOUBLE) AS score FROM embeddings, (SELECT unnest(range(16)) AS i)",
+)
+def _(spark, folder):
+    return masking.init_canvas(_conditions(spark, folder), inputs.SIDE, MASK)
+
+
+@query(
+    "decode_schedule",
+    f"""SELECT doc_id, seq_len, CAST(i AS INTEGER) AS step, {R6('i / 17.0')} AS t, CAST(17 - i AS INTEGER) AS steps_left,
+    CAST(greatest(trunc(cos(i / 17.0 * pi() * 0.5) * seq_len), 1) AS BIGINT) AS hidden, {R6('2.0 * (17 - i) / 18')} AS temp
+    FROM (SELECT doc_id, n_chars AS seq_len FROM documents), (SELECT unnest(range(18)) AS i)""",
+)
+def _(spark, folder):
+    lengths = tables.table(spark, folder, "documents").select("doc_id", F.col("n_chars").alias("seq_len"))
+    steps = masking.decode_schedule(lengths, 18, 2.0)
+    return steps.select("doc_id", "seq_len", "step", r6("t").alias("t"), "steps_left", "hidden", r6("temp").alias("temp"))
+
+
+part("k_canvas", f"SELECT sample_id, pos, token_id, {U(13, 'sample_id', 'pos')} AS score FROM e_tokens")
+
+
+@query(
+    "remask_topk",
+    f"""SELECT sample_id, pos, CASE WHEN rk <= 5 THEN {MASK} ELSE token_id END AS token_id, {R6('score')} AS score FROM (
+    SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, pos) AS rk FROM k_canvas)""",
+)
+def _(spark, folder):
+    from spotgrid.functions.keyed import uniform
+
+    canvas = inputs.tokens(spark, folder).withColumn("score", uniform(13, "sample_id", "pos"))
+    return masking.remask_topk(canvas, 5, MASK).select("sample_id", "pos", "token_id", r6("score").alias("score"))
+
+
+@query("fit_token_scorer", f"SELECT cond, pos, token_id, {R6('logit')} AS logit FROM s_cond UNION ALL SELECT -1, pos, token_id, {R6('logit')} FROM s_null")
+def _(spark, folder):
+    scorer = _scorer(spark, folder)
+    both = scorer.cond.unionByName(scorer.with_null())
+    return both.select("cond", "pos", "token_id", r6("logit").alias("logit"))
+
+
+@query("score_tokens", f"SELECT sample_id, pos, token_id, {R6('cond_logit')} AS cond_logit, {R6('null_logit')} AS null_logit FROM k_scored")
+def _(spark, folder):
+    out = scoring.score_tokens(_hidden(spark, folder), _scorer(spark, folder))
+    return out.select("sample_id", "pos", "token_id", r6("cond_logit").alias("cond_logit"), r6("null_logit").alias("null_logit"))
+
+
+@query(
+    "guide",
+    f"""SELECT cond, pos, token_id, {R6('coalesce(u.logit, -9.0) + (coalesce(c.logit, -9.0) - coalesce(u.logit, -9.0)) * 3')} AS logit
+    FROM (SELECT * FROM s_cond WHERE cond = 0) c FULL JOIN (SELECT 0 AS cond, pos, token_id, logit FROM s_null) u USING (cond, pos, token_id)""",
+)
+def _(spark, folder):
+    scorer = _scorer(spark, folder)
+    first = scorer.cond.where("cond = 0")
+    null = scorer.null.withColumn("cond", F.lit(0).cast("long"))
+    out = decoding.guide(first, null, 3.0, floor=-9.0, keys=("cond", "pos"))
+    return out.select(F.col("cond").cast("int").alias("cond"), "pos", "token_id", r6("logit").alias("logit"))
+
+
+@query(
+    "guide_negative",
+    f"""SELECT sample_id, pos, token_id, {R6('coalesce(b.logit, -9.0) + (coalesce(a.logit, -9.0) - coalesce(b.logit, -9.0)) * 2')} AS logit
+    FROM (SELECT sample_id, c.pos, c.token_id, c.logit FROM e_cond JOIN s_cond c USING (cond)) a
+    FULL JOIN (SELECT sample_id, c.pos, c.token_id, c.logit FROM e_cond JOIN s_cond c ON c.cond = (e_cond.cond + 1) % 10) b USING (sample_id, pos, token_id)""",
+)
+def _(spark, folder):
+    table = _scorer(spark, folder).cond
+    samples = _conditions(spark, folder)
+    good = samples.join(table, "cond").select("sample_id", "pos", "token_id", "logit")
+    other = samples.select("sample_id", ((F.col("cond") + 1) % 10).alias("cond"))
+    bad = other.join(table, "cond").select("sample_id", "pos", "token_id", "logit")
+    out = decoding.guide_negative(good, bad, 2.0, -9.0)
+    return out.select("sample_id", "pos", "token_id", r6("logit").alias("logit"))
+
+
+@query("topk_filter", f"SELECT sample_id, pos, token_id, {R6('logit')} AS logit FROM k_kept")
+def _(spark, folder):
+    return _kept(spark, folder).select("sample_id", "pos", "token_id", r6("logit").alias("logit"))
+
+
+@query("gumbel_argmax", "SELECT sample_id, pos, pred_id FROM k_pred")
+def _(spark, folder):
+    return _pred(spark, folder)
+
+
+@query(
+    "fill_masked",
+    f"SELECT sample_id, pos, CASE WHEN x = {MASK} AND pred_id IS NOT NULL THEN pred_id ELSE x END AS token_id FROM k_masked LEFT JOIN k_pred USING (sample_id, pos)",
+)
+def _(spark, folder):
+    canvas = _masked(spark, folder).select("sample_id", "pos", F.col("x").alias("token_id"))
+    return masking.fill_masked(canvas, _pred(spark, folder), MASK)
+
+
+@query(
+    "confidence_scores",
+    f"""SELECT sample_id, pos, {R6('CASE WHEN masked THEN 1 - coalesce(prob, 0) ELSE -1e5 END')} AS score FROM k_masked LEFT JOIN (
+    SELECT sample_id, pos, sum(CASE WHEN token_id = pred_id THEN exp(logit) ELSE 0 END) / sum(exp(logit)) AS prob
+    FROM k_logits JOIN k_pred USING (sample_id, pos) GROUP BY 1, 2) USING (sample_id, pos)""",
+)
+def _(spark, folder):
+    canvas = _masked(spark, folder).select("sample_id", "pos", F.col("masked").alias("was_masked"))
+    out = decoding.confidence_scores(canvas, _logits(spark, folder), _pred(spark, folder))
+    return out.select("sample_id", "pos", r6("score").alias("score"))
+
+
+@query(
+    "critic_scores",
+    f"SELECT sample_id, pos, {R6(f'score + ({U(31, 4, chr(115) + chr(97) + chr(109) + chr(112) + chr(108) + chr(101) + chr(95) + chr(105) + chr(100), chr(112) + chr(111) + chr(115))} - 0.5) * 2.0 * 13 / 18')} AS score FROM k_canvas",
+)
+def _(spark, folder):
+    from spotgrid.functions.keyed import uniform
+
+    critic = inputs.tokens(spark, folder).withColumn("score", uniform(13, "sample_id", "pos"))
+    out = decoding.critic_scores(critic, 4, 18, 31, 2.0)
+    return out.select("sample_id", "pos", r6("score").alias("score"))
+
+
+@query(
+    "critic_labels",
+    """SELECT sample_id, pos, critic_input, CAST(token_id <> critic_input AS DOUBLE) AS critic_label FROM (
+    SELECT sample_id, pos, token_id, CASE WHEN masked THEN pred_id ELSE x END AS critic_input FROM k_masked LEFT JOIN k_pred USING (sample_id, pos))""",
+)
+def _(spark, folder):
+    return masking.critic_labels(_masked(spark, folder), _pred(spark, folder))
+
+
+@query(
+    "condition_dropout",
+    f"SELECT sample_id, pos, masked AND {U(17, 'sample_id')} < 0.75 AS usable FROM k_masked",
+)
+def _(spark, folder):
+    context = _masked(spark, folder).select("sample_id", "pos", F.col("masked").alias("usable"))
+    return masking.condition_dropout(context, 0.25, 17)
+
+
+@query(
+    "masked_cross_entropy",
+    f"""SELECT {R6('avg(ce)')} AS loss FROM (SELECT sample_id, pos, ln(sum(exp(logit))) - max(CASE WHEN l.token_id = k.label THEN logit END) AS ce
+    FROM k_masked k JOIN k_logits l USING (sample_id, pos) WHERE k.label <> -1 GROUP BY 1, 2)""",
+)
+def _(spark, folder):
+    out = losses.masked_cross_entropy(_logits(spark, folder), _masked(spark, folder))
+    return out.select(r6("loss").alias("loss"))
+
+
+part(
+    "a_pairs",
+    """SELECT gene_idx, prow, pcol, cvec, 8 * list_cosine_similarity([v0, v1, v2, v3], cvec) AS s FROM e_sims WHERE code_id % 16 <> 3
+    UNION ALL SELECT gene_idx, prow, pcol, [CAST(0.5 AS DOUBLE), 0.5, 0.5, 0.5], 8 * list_cosine_similarity([v0, v1, v2, v3], [CAST(1 AS DOUBLE), 0, 0, 0]) FROM e_patches""",
+)
+
+
+@query(
+    "soft_lookup",
+    "SELECT gene_idx, prow, pcol, "
+    + ", ".join(R6(f"sum(exp(s) * cvec[{i + 1}]) / sum(exp(s))") + f" AS r{i}" for i in range(4))
+    + " FROM a_pairs GROUP BY 1, 2, 3",
+)
+def _(spark, folder):
+    queries = inputs.patches(spark, folder).select(F.struct("gene_idx", "prow", "pcol").alias("query_id"), "vec")
+    usable = (F.col("code_id") % 16 != 3).alias("usable")
+    context = inputs.codebook(spark, folder).select(
+        F.col("code_id").alias("key_id"), F.col("vec").alias("key_vec"), F.col("vec").alias("value_vec"), usable
+    )
+    out = lookup.soft_lookup(queries, context, [1.0, 0.0, 0.0, 0.0], [0.5] * 4)
+    return out.select("query_id.*", *[r6(F.col("result")[i]).alias(f"r{i}") for i in range(4)])
+
+
+def _canvas_sql(timesteps: int, seed: int) -> str:
+    """Unrolled SQL of the decoding loop over the candidate table."""
+    for step in masking.schedule_steps(inputs.SIDE**2, timesteps):
+        before = f"g_step{step.index - 1}" if step.index else "g_start"
+        noise = GUMBEL(U(seed, step.index, "sample_id", "pos", "token_id"))
+        part(
+            f"g_hide{step.index}",
+            f"""SELECT sample_id, pos, cond, token_id, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, pos) <= {step.hidden} AS hide FROM {before}""",
+        )
+        part(
+            f"g_pick{step.index}",
+            f"""SELECT sample_id, pos, token_id AS pred, prob FROM (SELECT sample_id, pos, token_id, prob, row_number() OVER (PARTITION BY sample_id, pos
+            ORDER BY logit / {max(step.temperature, 1e-10)!r}::DOUBLE + {noise} DESC, token_id) AS rk
+            FROM (SELECT h.sample_id, h.pos, c.token_id, c.logit, c.prob FROM g_hide{step.index} h JOIN g_cands c ON c.cond = h.cond AND c.pos = h.pos WHERE h.hide)) WHERE rk = 1""",
+        )
+        part(
+            f"g_step{step.index}",
+            f"""SELECT sample_id, pos, cond, CASE WHEN hide THEN pred ELSE token_id END AS token_id,
+            CASE WHEN hide THEN round(1 - prob, 9) ELSE -1e5 END AS score FROM g_hide{step.index} LEFT JOIN g_pick{step.index} USING (sample_id, pos)""",
+        )
+    return f"SELECT sample_id, pos, token_id FROM g_step{timesteps - 1}"
+
+
+part("g_guided", "SELECT cond, pos, token_id, u.logit + (c.logit - u.logit) * 3 AS logit FROM s_cond c JOIN s_null u USING (pos, token_id)")
+part(
+    "g_cands",
+    f"""SELECT cond, pos, token_id, logit, exp(logit) / z AS prob FROM (SELECT *, sum(exp(logit)) OVER (PARTITION BY cond, pos) AS z,
+    row_number() OVER (PARTITION BY cond, pos ORDER BY round(logit, 9) DESC, token_id) AS rk FROM g_guided) WHERE rk <= {KEPT}""",
+)
+part("g_start", f"SELECT sample_id, CAST(i AS INTEGER) AS pos, cond, {MASK} AS token_id, CAST(0 AS DOUBLE) AS score FROM e_cond, (SELECT unnest(range(16)) AS i)")
+
+
+@query("generate", _canvas_sql(6, 41))
+def _(spark, folder):
+    run = generating.Decoding(inputs.SIDE, inputs.CODES, seed=41, timesteps=6)
+    return generating.generate(_conditions(spark, folder), _scorer(spark, folder), run)
+
+
+@query("generate_two_stage")
+def _(spark, folder):
+    pixels = tables.embedding_pixels(spark, folder)
+    book = inputs.codebook(spark, folder)
+    fine = generating.Codec(book, inputs.CODES, inputs.SIZE, inputs.LAYERS)
+    coarse = generating.Codec(book, inputs.CODES, inputs.SIZE // 2, inputs.LAYERS)
+    samples = _conditions(spark, folder)
+    low = generating.lowres_tokens(pixels, inputs.SIZE, coarse)
+    base = scoring.fit_token_scorer(low, samples, 0.5)
+    by_pos = generating.lowres_conditions(samples, low, coarse.side, fine.side, coarse.codes)
+    superres = scoring.fit_token_scorer(fine.encode(pixels), by_pos, 0.5)
+    image = generating.generate_two_stage(samples, base, coarse, superres, fine, seed=43, timesteps=4, superres_timesteps=3)
+    return image.select("gene_idx", "px", "py", r6("value").alias("value"))
