@@ -121,7 +121,7 @@ def _(spark, folder):
 
 @query(
     "ema_by_key",
-    f"""WITH RECURSIVE seen AS (SELECT event_type AS k, event_id AS stp, value AS v,
+    f"""WITH RECURSIVE seen AS (SELECT event_type AS k, event_id AS stp, ln(1 + value) AS v,
         row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events),
     upd AS (SELECT k, stp, v, row_number() OVER (PARTITION BY k ORDER BY stp) AS j FROM seen WHERE stp % 3 = 0),
     run(k, j, stp, e) AS (SELECT k, j, stp, v FROM upd WHERE j = 1
@@ -130,6 +130,6 @@ def _(spark, folder):
     SELECT s.k AS event_type, s.stp AS event_id, {R6('r.e')} AS ema FROM seen s ASOF LEFT JOIN run r ON s.k = r.k AND s.stp >= r.stp""",
 )
 def _(spark, folder):
-    rows = tables.table(spark, folder, "events").select("event_type", "event_id", "value")
+    rows = tables.table(spark, folder, "events").select("event_type", "event_id", F.log1p("value").alias("value"))
     out = tracking.ema_by_key(rows, "event_type", "event_id", "value", beta=0.9, update_after=60, update_every=3)
     return out.select("event_type", "event_id", r6("ema").alias("ema"))

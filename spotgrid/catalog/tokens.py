@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from spotgrid.catalog import inputs
 from spotgrid.catalog.registry import GUMBEL, R6, U, part, query, r6
+from spotgrid.functions.keyed import uniform
 from spotgrid.operators import decoding, generating, losses, lookup, masking, scoring
+from spotgrid.plans.session import cut_lineage
 from spotgrid.sources import tables
 
 MASK = inputs.CODES
@@ -52,38 +56,46 @@ part(
 )
 
 
-def _conditions(spark, folder):
-    return tables.embedding_conditions(spark, folder)
-
-
-def _masked(spark, folder, no_mask_prob=0.0):
-    return masking.mask_tokens(inputs.tokens(spark, folder), MASK, 7, no_mask_prob=no_mask_prob)
-
+class Flow:
+    """Steps that several queries need; tokens are written once per query and then re-read."""
 
-def _scorer(spark, folder):
-    return scoring.fit_token_scorer(inputs.tokens(spark, folder), _conditions(spark, folder), 0.5)
+    def __init__(self, spark, folder):
+        self.conditions = tables.embedding_conditions(spark, folder)
+        self._source = lambda: inputs.tokens(spark, folder)
 
+    @cached_property
+    def tokens(self):
+        return cut_lineage(self._source())
 
-def _hidden(spark, folder):
-    return _masked(spark, folder).where("masked").join(_conditions(spark, folder), "sample_id")
+    @cached_property
+    def masked(self):
+        return masking.mask_tokens(self.tokens, MASK, 7)
 
+    @cached_property
+    def scorer(self):
+        return scoring.fit_token_scorer(self.tokens, self.conditions, 0.5)
 
-def _logits(spark, folder):
-    score = scoring.score_function(_scorer(spark, folder), 3.0)
-    return score(_hidden(spark, folder))
+    @cached_property
+    def hidden(self):
+        return self.masked.where("masked").join(self.conditions, "sample_id")
 
+    @cached_property
+    def logits(self):
+        return scoring.score_function(self.scorer, 3.0)(self.hidden)
 
-def _kept(spark, folder):
-    return decoding.topk_filter(_logits(spark, folder), inputs.CODES)
+    @cached_property
+    def kept(self):
+        return decoding.topk_filter(self.logits, inputs.CODES)
 
-
-def _pred(spark, folder):
-    return decoding.gumbel_argmax(_kept(spark, folder), 0.5, 21)
+    @cached_property
+    def pred(self):
+        return decoding.gumbel_argmax(self.kept, 0.5, 21)
 
 
 @query("mask_tokens", "SELECT sample_id, pos, token_id, masked, label, x FROM k_masked")
 def _(spark, folder):
-    return _masked(spark, folder)
+    flow = Flow(spark, folder)
+    return flow.masked
 
 
 @query(
@@ -93,7 +105,8 @@ def _(spark, folder):
     row_number() OVER (PARTITION BY sample_id, masked ORDER BY {U(8, 'sample_id', 'pos')}, pos) - 1 AS rk FROM k_masked)""",
 )
 def _(spark, folder):
-    return masking.mask_subset(_masked(spark, folder), 0.3, 8, min_mask=1)
+    flow = Flow(spark, folder)
+    return masking.mask_subset(flow.masked, 0.3, 8, min_mask=1)
 
 
 @query(
@@ -101,7 +114,7 @@ def _(spark, folder):
     f"SELECT vec_id AS sample_id, CAST(i AS INTEGER) AS pos, {MASK} AS token_id, CAST(0 AS DOUBLE) AS score FROM embeddings, (SELECT unnest(range(16)) AS i)",
 )
 def _(spark, folder):
-    return masking.init_canvas(_conditions(spark, folder), inputs.SIDE, MASK)
+    return masking.init_canvas(tables.embedding_conditions(spark, folder), inputs.SIDE, MASK)
 
 
 @query(
@@ -125,36 +138,37 @@ part("k_canvas", f"SELECT sample_id, pos, token_id, {U(13, 'sample_id', 'pos')}
     SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, pos) AS rk FROM k_canvas)""",
 )
 def _(spark, folder):
-    from spotgrid.functions.keyed import uniform
-
     canvas = inputs.tokens(spark, folder).withColumn("score", uniform(13, "sample_id", "pos"))
     return masking.remask_topk(canvas, 5, MASK).select("sample_id", "pos", "token_id", r6("score").alias("score"))
 
 
 @query("fit_token_scorer", f"SELECT cond, pos, token_id, {R6('logit')} AS logit FROM s_cond UNION ALL SELECT -1, pos, token_id, {R6('logit')} FROM s_null")
 def _(spark, folder):
-    scorer = _scorer(spark, folder)
+    flow = Flow(spark, folder)
+    scorer = flow.scorer
     both = scorer.cond.unionByName(scorer.with_null())
     return both.select("cond", "pos", "token_id", r6("logit").alias("logit"))
 
 
 @query("score_tokens", f"SELECT sample_id, pos, token_id, {R6('cond_logit')} AS cond_logit, {R6('null_logit')} AS null_logit FROM k_scored")
 def _(spark, folder):
-    out = scoring.score_tokens(_hidden(spark, folder), _scorer(spark, folder))
+    flow = Flow(spark, folder)
+    out = scoring.score_tokens(flow.hidden, flow.scorer)
     return out.select("sample_id", "pos", "token_id", r6("cond_logit").alias("cond_logit"), r6("null_logit").alias("null_logit"))
 
 
 @query(
     "guide",
     f"""SELECT cond, pos, token_id, {R6('coalesce(u.logit, -9.0) + (coalesce(c.logit, -9.0) - coalesce(u.logit, -9.0)) * 3')} AS logit
-    FROM (SELECT * FROM s_cond WHERE cond = 0) c FULL JOIN (SELECT 0 AS cond, pos, token_id, logit FROM s_null) u USING (cond, pos, token_id)""",
+    FROM (SELECT * FROM s_cond WHERE cond = 0) c FULL JOIN (SELECT CAST(0 AS BIGINT) AS cond, pos, token_id, logit FROM s_null) u USING (cond, pos, token_id)""",
 )
 def _(spark, folder):
-    scorer = _scorer(spark, folder)
+    flow = Flow(spark, folder)
+    scorer = flow.scorer
     first = scorer.cond.where("cond = 0")
     null = scorer.null.withColumn("cond", F.lit(0).cast("long"))
     out = decoding.guide(first, null, 3.0, floor=-9.0, keys=("cond", "pos"))
-    return out.select(F.col("cond").cast("int").alias("cond"), "pos", "token_id", r6("logit").alias("logit"))
+    return out.select("cond", "pos", "token_id", r6("logit").alias("logit"))
 
 
 @query(
@@ -164,8 +178,9 @@ def _(spark, folder):
     FULL JOIN (SELECT sample_id, c.pos, c.token_id, c.logit FROM e_cond JOIN s_cond c ON c.cond = (e_cond.cond + 1) % 10) b USING (sample_id, pos, token_id)""",
 )
 def _(spark, folder):
-    table = _scorer(spark, folder).cond
-    samples = _conditions(spark, folder)
+    flow = Flow(spark, folder)
+    table = flow.scorer.cond
+    samples = flow.conditions
     good = samples.join(table, "cond").select("sample_id", "pos", "token_id", "logit")
     other = samples.select("sample_id", ((F.col("cond") + 1) % 10).alias("cond"))
     bad = other.join(table, "cond").select("sample_id", "pos", "token_id", "logit")
@@ -175,12 +190,14 @@ def _(spark, folder):
 
 @query("topk_filter", f"SELECT sample_id, pos, token_id, {R6('logit')} AS logit FROM k_kept")
 def _(spark, folder):
-    return _kept(spark, folder).select("sample_id", "pos", "token_id", r6("logit").alias("logit"))
+    flow = Flow(spark, folder)
+    return flow.kept.select("sample_id", "pos", "token_id", r6("logit").alias("logit"))
 
 
 @query("gumbel_argmax", "SELECT sample_id, pos, pred_id FROM k_pred")
 def _(spark, folder):
-    return _pred(spark, folder)
+    flow = Flow(spark, folder)
+    return flow.pred
 
 
 @query(
@@ -188,8 +205,9 @@ def _(spark, folder):
     f"SELECT sample_id, pos, CASE WHEN x = {MASK} AND pred_id IS NOT NULL THEN pred_id ELSE x END AS token_id FROM k_masked LEFT JOIN k_pred USING (sample_id, pos)",
 )
 def _(spark, folder):
-    canvas = _masked(spark, folder).select("sample_id", "pos", F.col("x").alias("token_id"))
-    return masking.fill_masked(canvas, _pred(spark, folder), MASK)
+    flow = Flow(spark, folder)
+    canvas = flow.masked.select("sample_id", "pos", F.col("x").alias("token_id"))
+    return masking.fill_masked(canvas, flow.pred, MASK)
 
 
 @query(
@@ -199,18 +217,17 @@ def _(spark, folder):
     FROM k_logits JOIN k_pred USING (sample_id, pos) GROUP BY 1, 2) USING (sample_id, pos)""",
 )
 def _(spark, folder):
-    canvas = _masked(spark, folder).select("sample_id", "pos", F.col("masked").alias("was_masked"))
-    out = decoding.confidence_scores(canvas, _logits(spark, folder), _pred(spark, folder))
+    flow = Flow(spark, folder)
+    canvas = flow.masked.select("sample_id", "pos", F.col("masked").alias("was_masked"))
+    out = decoding.confidence_scores(canvas, flow.logits, flow.pred)
     return out.select("sample_id", "pos", r6("score").alias("score"))
 
 
 @query(
     "critic_scores",
-    f"SELECT sample_id, pos, {R6(f'score + ({U(31, 4, chr(115) + chr(97) + chr(109) + chr(112) + chr(108) + chr(101) + chr(95) + chr(105) + chr(100), chr(112) + chr(111) + chr(115))} - 0.5) * 2.0 * 13 / 18')} AS score FROM k_canvas",
+    "SELECT sample_id, pos, " + R6("score + (" + U(31, 4, "sample_id", "pos") + " - 0.5) * 2.0 * 13 / 18") + " AS score FROM k_canvas",
 )
 def _(spark, folder):
-    from spotgrid.functions.keyed import uniform
-
     critic = inputs.tokens(spark, folder).withColumn("score", uniform(13, "sample_id", "pos"))
     out = decoding.critic_scores(critic, 4, 18, 31, 2.0)
     return out.select("sample_id", "pos", r6("score").alias("score"))
@@ -222,7 +239,8 @@ def _(spark, folder):
     SELECT sample_id, pos, token_id, CASE WHEN masked THEN pred_id ELSE x END AS critic_input FROM k_masked LEFT JOIN k_pred USING (sample_id, pos))""",
 )
 def _(spark, folder):
-    return masking.critic_labels(_masked(spark, folder), _pred(spark, folder))
+    flow = Flow(spark, folder)
+    return masking.critic_labels(flow.masked, flow.pred)
 
 
 @query(
@@ -230,7 +248,8 @@ def _(spark, folder):
     f"SELECT sample_id, pos, masked AND {U(17, 'sample_id')} < 0.75 AS usable FROM k_masked",
 )
 def _(spark, folder):
-    context = _masked(spark, folder).select("sample_id", "pos", F.col("masked").alias("usable"))
+    flow = Flow(spark, folder)
+    context = flow.masked.select("sample_id", "pos", F.col("masked").alias("usable"))
     return masking.condition_dropout(context, 0.25, 17)
 
 
@@ -240,7 +259,8 @@ def _(spark, folder):
     FROM k_masked k JOIN k_logits l USING (sample_id, pos) WHERE k.label <> -1 GROUP BY 1, 2)""",
 )
 def _(spark, folder):
-    out = losses.masked_cross_entropy(_logits(spark, folder), _masked(spark, folder))
+    flow = Flow(spark, folder)
+    out = losses.masked_cross_entropy(flow.logits, flow.masked)
     return out.select(r6("loss").alias("loss"))
 
 
@@ -301,8 +321,9 @@ part("g_start", f"SELECT sample_id, CAST(i AS INTEGER) AS pos, cond, {MASK} AS t
 
 @query("generate", _canvas_sql(6, 41))
 def _(spark, folder):
+    flow = Flow(spark, folder)
     run = generating.Decoding(inputs.SIDE, inputs.CODES, seed=41, timesteps=6)
-    return generating.generate(_conditions(spark, folder), _scorer(spark, folder), run)
+    return generating.generate(flow.conditions, flow.scorer, run)
 
 
 @query("generate_two_stage")
@@ -311,7 +332,7 @@ def _(spark, folder):
     book = inputs.codebook(spark, folder)
     fine = generating.Codec(book, inputs.CODES, inputs.SIZE, inputs.LAYERS)
     coarse = generating.Codec(book, inputs.CODES, inputs.SIZE // 2, inputs.LAYERS)
-    samples = _conditions(spark, folder)
+    samples = tables.embedding_conditions(spark, folder)
     low = generating.lowres_tokens(pixels, inputs.SIZE, coarse)
     base = scoring.fit_token_scorer(low, samples, 0.5)
     by_pos = generating.lowres_conditions(samples, low, coarse.side, fine.side, coarse.codes)
