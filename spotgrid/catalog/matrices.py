@@ -104,9 +104,9 @@ def _(spark, folder):
     weights = _weights(spark, folder)
     counts = matrix.project_counts(tables.scrna_long(spark, folder), weights)
     shared = matrix.project_embedding(_emb(spark, folder), weights)
-    counts = counts.select("gene_idx", F.lit(DIM).alias("channel"), "k", r6("value").alias("value"))
-    shared = shared.select(F.lit(-1).alias("gene_idx"), "channel", "k", r6("value").alias("value"))
-    return counts.unionByName(shared)
+    counts = counts.select("gene_idx", F.lit(DIM).alias("channel"), F.posexplode("vec").alias("k", "v"))
+    shared = shared.select(F.lit(-1).alias("gene_idx"), "channel", F.posexplode("vec").alias("k", "v"))
+    return counts.unionByName(shared).select("gene_idx", "channel", "k", r6("v").alias("value"))
 
 
 @query("context_mask", "SELECT gene_idx, channel, bool_or(v <> 0) AS usable FROM m_context GROUP BY 1, 2")

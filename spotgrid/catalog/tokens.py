@@ -173,19 +173,15 @@ def _(spark, folder):
 
 @query(
     "guide_negative",
-    f"""SELECT sample_id, pos, token_id, {R6('coalesce(b.logit, -9.0) + (coalesce(a.logit, -9.0) - coalesce(b.logit, -9.0)) * 2')} AS logit
-    FROM (SELECT sample_id, c.pos, c.token_id, c.logit FROM e_cond JOIN s_cond c USING (cond)) a
-    FULL JOIN (SELECT sample_id, c.pos, c.token_id, c.logit FROM e_cond JOIN s_cond c ON c.cond = (e_cond.cond + 1) % 10) b USING (sample_id, pos, token_id)""",
+    f"""SELECT cond, neg_cond, pos, token_id, {R6('coalesce(b.logit, -9.0) + (coalesce(a.logit, -9.0) - coalesce(b.logit, -9.0)) * 2')} AS logit
+    FROM (SELECT cond, (cond + 1) % 10 AS neg_cond, pos, token_id, logit FROM s_cond) a
+    FULL JOIN (SELECT (cond + 9) % 10 AS cond, cond AS neg_cond, pos, token_id, logit FROM s_cond) b USING (cond, neg_cond, pos, token_id)""",
 )
 def _(spark, folder):
     flow = Flow(spark, folder)
-    table = flow.scorer.cond
-    samples = flow.conditions
-    good = samples.join(table, "cond").select("sample_id", "pos", "token_id", "logit")
-    other = samples.select("sample_id", ((F.col("cond") + 1) % 10).alias("cond"))
-    bad = other.join(table, "cond").select("sample_id", "pos", "token_id", "logit")
-    out = decoding.guide_negative(good, bad, 2.0, -9.0)
-    return out.select("sample_id", "pos", "token_id", r6("logit").alias("logit"))
+    pairs = flow.conditions.select("cond", ((F.col("cond") + 1) % 10).alias("neg_cond")).distinct()
+    out = flow.scorer.away_from(pairs, 2.0, -9.0)
+    return out.select("cond", "neg_cond", "pos", "token_id", r6("logit").alias("logit"))
 
 
 @query("topk_filter", f"SELECT sample_id, pos, token_id, {R6('logit')} AS logit FROM k_kept")

@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 from spotgrid.functions.arrays import any_nonzero, fill_gaps, l2_normalize
 from spotgrid.functions.scalars import flatten_pos, grid_side, unflatten_pos
 from spotgrid.operators.raster import patch_vectors, unpatch
-from spotgrid.plans.sizing import BROADCAST_LIMIT, bounded
+from spotgrid.operators.vector_sums import sum_vectors
+from spotgrid.plans.sizing import BROADCAST_LIMIT, bounded, vector_slices
 
 # Default number of codes and decay of the moving average.
 CODES = 512
@@ -47,38 +48,8 @@ def fit_codebook(vectors: DataFrame, k: int = CODES, seed: int = 0, rounds: int
 
 
 def code_sums(members: DataFrame) -> DataFrame:
-    """``(code_id, n, total)``: count and element-wise sum of the member vectors.
-
-    Sums are per (code, element) with map-side partials, so one code may hold any
-    share of the rows; only ``dim`` sums per code are gathered into an array.
-    """
-    cells = members.select("code_id", F.posexplode("vec").alias("d", "v"))
-    sums = cells.groupBy("code_id", "d").agg(F.sum(F.col("v").cast("double")).alias("s"), F.count(F.lit(1)).alias("n"))
-    entry = F.struct(F.col("d").alias("pos"), F.col("s").alias("item"))
-    packed = sums.groupBy("code_id").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(entry)).alias("entries"))
-    return packed.select("code_id", "n", F.col("entries.item").alias("total"))
-
-
-def _slices(codebook: DataFrame, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and unit vectors of the codes, in slices of at most ``limit`` bytes.
-
-    One pass over the codebook; the driver never holds more than one slice.
-    """
-
-    def packed(rows: list) -> tuple[np.ndarray, np.ndarray]:
-        rows.sort(key=lambda r: r[0])
-        vecs = np.array([v for _, v in rows], dtype=np.float64)
-        norms = np.maximum(np.sqrt((vecs * vecs).sum(axis=1, keepdims=True)), 1e-12)
-        return np.array([i for i, _ in rows], dtype=np.int32), (vecs / norms).T.copy()
-
-    held: list = []
-    for row in codebook.select("code_id", "vec").toLocalIterator():
-        held.append((row["code_id"], row["vec"]))
-        if len(held) * (8 * len(row["vec"]) + 8) >= limit:
-            yield packed(held)
-            held = []
-    if held:
-        yield packed(held)
+    """``(code_id, n, total)``: count and element-wise sum of the member vectors."""
+    return sum_vectors(members, "code_id")
 
 
 def assign_codes(vectors: DataFrame, codebook: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
@@ -96,8 +67,9 @@ def assign_codes(vectors: DataFrame, codebook: DataFrame, limit: int = BROADCAST
     )
     digits, elements = TIE_DIGITS, BLOCK_ELEMENTS
     out = vectors.withColumns({"code_id": F.lit(-1), "sim": F.lit(-2.0).cast("double")})
-    for ids, units in _slices(codebook, limit):
-        shared = spark.sparkContext.broadcast((ids, units))
+    for ids, codes in vector_slices(codebook.select("code_id", "vec"), limit):
+        units = codes / np.maximum(np.sqrt((codes * codes).sum(axis=1, keepdims=True)), 1e-12)
+        shared = spark.sparkContext.broadcast((ids.astype(np.int32), units.T.copy()))
 
         def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, units = shared.value

@@ -154,6 +154,7 @@ def generate(
 
     by_table = isinstance(scorer, TokenScorer) and critic is None
     if isinstance(scorer, TokenScorer):
+        scorer = scorer.saved()
         for column in extra:
             canvas = resolve_conditions(canvas, scorer, column)
     if by_table:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spotgrid.functions.arrays import dot, l2_normalize
-from spotgrid.plans.sizing import BROADCAST_LIMIT
+from spotgrid.plans.sizing import BROADCAST_LIMIT, vector_slices
 
 # Fixed value: factor on the cosine similarity.
 SCALE = 8.0
@@ -20,24 +20,6 @@ SCALE = 8.0
 BLOCK_ELEMENTS = 1 << 22
 
 
-def _context_slices(context: DataFrame, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Usable keys (unit length) and values in slices of at most ``limit`` bytes, in one pass."""
-
-    def packed(rows: list) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.array([k for k, _ in rows], dtype=np.float64)
-        keys /= np.maximum(np.sqrt((keys * keys).sum(axis=1, keepdims=True)), 1e-12)
-        return keys.T.copy(), np.array([v for _, v in rows], dtype=np.float64)
-
-    held: list = []
-    for row in context.where("usable").select("key_vec", "value_vec").toLocalIterator():
-        held.append((row["key_vec"], row["value_vec"]))
-        if len(held) * 8 * (len(row["key_vec"]) + len(row["value_vec"])) >= limit:
-            yield packed(held)
-            held = []
-    if held:
-        yield packed(held)
-
-
 def soft_lookup(
     queries: DataFrame,
     context: DataFrame,
@@ -83,8 +65,10 @@ def soft_lookup(
         F.array(*[F.lit(float(x)) for x in start_value]).alias("acc"),
     )
 
-    for part in _context_slices(context, limit):
-        shared = spark.sparkContext.broadcast(part)
+    usable = context.where("usable").select("key_id", "key_vec", "value_vec")
+    for _, keys, values in vector_slices(usable, limit, ("key_vec", "value_vec")):
+        keys = keys / np.maximum(np.sqrt((keys * keys).sum(axis=1, keepdims=True)), 1e-12)
+        shared = spark.sparkContext.broadcast((keys.T.copy(), values))
 
         def absorb(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             keys, values = shared.value

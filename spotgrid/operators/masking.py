@@ -39,8 +39,9 @@ def mask_tokens(
     sample = Window.partitionBy("sample_id")
     time = uniform(seed, "sample_id")
     drawn = tokens.withColumn("_draw", uniform(seed, "sample_id", "pos"))
-    counted = drawn.withColumn("_len", F.count(F.lit(1)).over(sample))
-    ranked = counted.withColumn("_rank", F.row_number().over(sample.orderBy("_draw", "pos")) - 1)
+    # Ranking first lets the count reuse its sort.
+    ranked = drawn.withColumn("_rank", F.row_number().over(sample.orderBy("_draw", "pos")) - 1)
+    ranked = ranked.withColumn("_len", F.count(F.lit(1)).over(sample))
     hidden = F.greatest(F.bround(schedule(time) * F.col("_len")), F.lit(1.0))
     masked = ranked.withColumn("masked", F.col("_rank") < hidden)
     out = masked.select(
@@ -64,8 +65,8 @@ def mask_subset(masked: DataFrame, prob: float, seed: int, min_mask: int = 0) ->
     """
     inside = Window.partitionBy("sample_id", "masked")
     drawn = masked.withColumn("_draw", uniform(seed, "sample_id", "pos"))
-    counted = drawn.withColumn("_m", F.count(F.lit(1)).over(inside))
-    ranked = counted.withColumn("_rank", F.row_number().over(inside.orderBy("_draw", "pos")) - 1)
+    ranked = drawn.withColumn("_rank", F.row_number().over(inside.orderBy("_draw", "pos")) - 1)
+    ranked = ranked.withColumn("_m", F.count(F.lit(1)).over(inside))
     shown = F.col("masked") & (F.col("_rank") < F.greatest(F.col("_m") * F.lit(float(prob)), F.lit(float(min_mask))))
     return ranked.select(
         *[c for c in masked.columns if c != "x"], where_masked(shown, F.col("token_id"), F.col("x")).alias("x")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spotgrid.functions.arrays import add_vectors, fill_gaps
 from spotgrid.functions.keyed import uniform
+from spotgrid.operators.vector_sums import sparse_times_dense
 from spotgrid.plans.sizing import bounded
 
 # Fixed value: default width of a cell embedding.
@@ -74,23 +75,18 @@ def embed_counts(counts: DataFrame, cell_emb: DataFrame) -> DataFrame:
 
 
 def project_counts(counts: DataFrame, weights: DataFrame) -> DataFrame:
-    """Count channel: sparse matrix times dense matrix, ``(gene_idx, k, value)``.
-
-    ``weights(cell_idx, w)`` has one vector per cell.  Products are summed per
-    (gene, k) with map-side partial sums, so a gene with very many cells is
-    reduced before the shuffle.
-    """
-    joined = counts.where(F.col("count") != 0).join(weights, "cell_idx")
-    terms = joined.select("gene_idx", F.col("count").cast("double").alias("count"), F.posexplode("w").alias("k", "w"))
-    return terms.groupBy("gene_idx", "k").agg(F.sum(F.col("count") * F.col("w")).alias("value"))
+    """Count channel: ``(gene_idx, vec)``, sparse counts times ``weights(cell_idx, w)``."""
+    dense = weights.select("cell_idx", F.col("w").alias("vec"))
+    product = sparse_times_dense(counts, "gene_idx", "cell_idx", "count", dense)
+    return product.select("gene_idx", F.col("total").alias("vec"))
 
 
 def project_embedding(cell_emb: DataFrame, weights: DataFrame) -> DataFrame:
-    """Embedding channels: ``(channel, k, value)``, computed once because all genes share them."""
-    joined = cell_emb.join(weights, "cell_idx")
-    terms = joined.select(F.posexplode("vec").alias("channel", "v"), "w")
-    terms = terms.select("channel", "v", F.posexplode("w").alias("k", "w"))
-    return terms.groupBy("channel", "k").agg(F.sum(F.col("v") * F.col("w")).alias("value"))
+    """Embedding channels: ``(channel, vec)``, computed once because all genes share them."""
+    entries = cell_emb.select("cell_idx", F.posexplode("vec").alias("channel", "v"))
+    dense = weights.select("cell_idx", F.col("w").alias("vec"))
+    product = sparse_times_dense(entries, "channel", "cell_idx", "v", dense)
+    return product.select("channel", F.col("total").alias("vec"))
 
 
 def context_mask(context: DataFrame) -> DataFrame:

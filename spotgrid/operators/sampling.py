@@ -30,7 +30,7 @@ def random_ranks(df: DataFrame, key: str, seed: int, epoch: str | Column | None
     source = df if epoch is None else df.withColumn("epoch", F.col(epoch) if isinstance(epoch, str) else epoch)
     draw = uniform(seed, *group, key)
     drawn = source.withColumn("_draw", draw)
-    drawn = drawn.withColumn("_bucket", F.floor(F.col("_draw") * F.lit(buckets)).cast("int"))
+    drawn = drawn.withColumn("_bucket", F.coalesce(F.floor(F.col("_draw") * F.lit(buckets)).cast("int"), F.lit(0)))
 
     sizes = drawn.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))

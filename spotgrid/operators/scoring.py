@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotgrid.operators.decoding import GUIDANCE, guide, guided
+from spotgrid.plans.session import cut_lineage
 
 # Condition of rows that stand for "no condition".
 NULL_COND = -1
@@ -26,6 +27,10 @@ class TokenScorer:
     cond: DataFrame
     null: DataFrame
 
+    def saved(self) -> TokenScorer:
+        """The same scorer with its tables materialised, for repeated use."""
+        return TokenScorer(cut_lineage(self.cond), cut_lineage(self.null))
+
     def with_null(self) -> DataFrame:
         """Null logits under the null condition, in the layout of ``cond``."""
         return self.null.select(F.lit(NULL_COND).cast("long").alias("cond"), "pos", "token_id", "logit")
