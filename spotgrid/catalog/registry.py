@@ -18,7 +18,7 @@ def query(name: str, sql: str | None = None):
     def register(fn: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = fn
         if sql is not None:
-            SQL[name] = with_parts(sql)
+            SQL[name] = sql if sql.startswith("WITH ") else with_parts(sql)
         return fn
 
     return register
