@@ -76,16 +76,20 @@ class Flow:
         return scoring.fit_token_scorer(self.tokens, self.conditions, 0.5)
 
     @cached_property
-    def hidden(self):
-        return self.masked.where("masked").join(self.conditions, "sample_id")
+    def guided(self):
+        """Guided logits per condition and position, shared by all samples."""
+        return self.scorer.guided(3.0)
 
     @cached_property
-    def logits(self):
-        return scoring.score_function(self.scorer, 3.0)(self.hidden)
+    def hidden(self):
+        return self.masked.where("masked").join(self.conditions, "sample_id")
 
     @cached_property
     def kept(self):
-        return decoding.topk_filter(self.logits, inputs.CODES)
+        """Filtered per condition and position before any sample is joined."""
+        kept = decoding.topk_filter(self.guided, inputs.CODES, keys=scoring.COND_KEYS)
+        hidden = self.hidden.select("sample_id", "pos", "cond")
+        return hidden.join(kept, ["cond", "pos"]).select("sample_id", "pos", "token_id", "logit")
 
     @cached_property
     def pred(self):
@@ -214,8 +218,9 @@ def _(spark, folder):
 )
 def _(spark, folder):
     flow = Flow(spark, folder)
-    canvas = flow.masked.select("sample_id", "pos", F.col("masked").alias("was_masked"))
-    out = decoding.confidence_scores(canvas, flow.logits, flow.pred)
+    canvas = flow.masked.join(flow.conditions, "sample_id")
+    canvas = canvas.select("sample_id", "pos", "cond", F.col("masked").alias("was_masked"))
+    out = decoding.confidence_scores(canvas, flow.guided, flow.pred, keys=scoring.COND_KEYS)
     return out.select("sample_id", "pos", r6("score").alias("score"))
 
 
@@ -256,7 +261,8 @@ def _(spark, folder):
 )
 def _(spark, folder):
     flow = Flow(spark, folder)
-    out = losses.masked_cross_entropy(flow.logits, flow.masked)
+    labels = flow.masked.join(flow.conditions, "sample_id")
+    out = losses.masked_cross_entropy(flow.guided, labels, keys=scoring.COND_KEYS)
     return out.select(r6("loss").alias("loss"))
 
 

@@ -60,26 +60,55 @@ def log_normalizer(logits: DataFrame, keys: tuple[str, ...] = SAMPLE_KEYS) -> Da
 
 
 def softmax_at(logits: DataFrame, picked: DataFrame, column: str, keys: tuple[str, ...] = SAMPLE_KEYS) -> DataFrame:
-    """``(*keys, column, prob)``: probability of one picked token per distribution."""
-    marked = logits.join(picked.select(*keys, column), list(keys))
-    peaked = marked.withColumn("_peak", F.max("logit").over(Window.partitionBy(*keys)))
-    mass = F.exp(F.col("logit") - F.col("_peak"))
-    chosen = F.sum(F.when(F.col("token_id") == F.col(column), mass).otherwise(0.0))
-    return peaked.groupBy(*keys, column).agg((chosen / F.sum(mass)).alias("prob"))
-
+    """Add ``prob`` to ``picked``: the softmax of the token in ``column`` under its distribution.
 
-def confidence_scores(canvas: DataFrame, logits: DataFrame, pred: DataFrame, can_remask: bool = False) -> DataFrame:
+    Two equi-joins, by token and by distribution; a token without a logit row has
+    probability zero.
+    """
+    at = logits.select(*keys, F.col("token_id").alias(column), F.col("logit").alias("_at"))
+    joined = picked.join(at, [*keys, column], "left").join(log_normalizer(logits, keys), list(keys), "left")
+    prob = F.coalesce(F.exp(F.col("_at") - F.col("logz")), F.lit(0.0))
+    return joined.select(*[joined[c] for c in picked.columns], prob.alias("prob"))
+
+
+def confidence_scores(
+    canvas: DataFrame,
+    logits: DataFrame,
+    pred: DataFrame,
+    can_remask: bool = False,
+    keys: tuple[str, ...] = SAMPLE_KEYS,
+) -> DataFrame:
     """``(sample_id, pos, score)``: one minus the softmax of the prediction.
 
-    ``logits`` are the unfiltered ones.  ``canvas`` has ``was_masked``; positions
-    that were not hidden get the settled score unless ``can_remask``.
+    ``logits`` are the unfiltered ones.  ``canvas`` has ``was_masked`` and the
+    ``keys``; positions that were not hidden get the settled score unless
+    ``can_remask``.
     """
-    probs = softmax_at(logits, pred, "pred_id").select("sample_id", "pos", "prob")
-    joined = canvas.join(probs, ["sample_id", "pos"], "left")
-    score = F.lit(1.0) - F.coalesce("prob", F.lit(0.0))
+    joined = canvas.join(pred.select("sample_id", "pos", "pred_id"), ["sample_id", "pos"], "left")
+    score = F.lit(1.0) - F.col("prob")
     if not can_remask:
         score = F.when(F.col("was_masked"), score).otherwise(F.lit(SETTLED_SCORE))
-    return joined.select("sample_id", "pos", score.alias("score"))
+    return softmax_at(logits, joined, "pred_id", keys).select("sample_id", "pos", score.alias("score"))
+
+
+def predict(
+    logits: DataFrame, vocab: int, thres: float, temperature: float, seed: int, salt: tuple = ()
+) -> DataFrame:
+    """Filter, sample and rate in one pass: ``(sample_id, pos, pred_id, prob)``.
+
+    Same result as :func:`topk_filter`, :func:`gumbel_argmax` and
+    :func:`softmax_at` one after the other, but the logits are read once and
+    shuffled once.
+    """
+    keys = list(SAMPLE_KEYS)
+    order = Window.partitionBy(*keys).orderBy(F.desc("logit"), F.asc("token_id"))
+    ranked = logits.select(*keys, "token_id", "logit", F.row_number().over(order).alias("_rank"), F.first("logit").over(order).alias("_peak"))
+    value = noisy_logit(F.col("logit"), temperature, seed, *salt, *keys, "token_id")
+    mass = F.exp(F.col("logit") - F.col("_peak"))
+    entry = F.struct(value.alias("v"), (-F.col("token_id")).alias("t"), mass.alias("mass"))
+    kept = F.when(F.col("_rank") <= kept_logits(vocab, thres), entry)
+    found = ranked.groupBy(*keys).agg(F.max(kept).alias("best"), F.sum(mass).alias("total"))
+    return found.select(*keys, (-F.col("best.t")).alias("pred_id"), (F.col("best.mass") / F.col("total")).alias("prob"))
 
 
 def critic_noise(score: Column, left: int, timesteps: int, noise_scale: float, seed: int, *keys) -> Column:

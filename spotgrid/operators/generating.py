@@ -13,19 +13,17 @@ from spotgrid.operators.codebook import detokenize, tokenize
 from spotgrid.operators.decoding import (
     GUIDANCE,
     TOPK_THRES,
-    confidence_scores,
     critic_scores,
-    gumbel_argmax,
     kept_logits,
     log_normalizer,
     noisy_logit,
+    predict,
     topk_filter,
 )
 from spotgrid.operators.masking import (
     SETTLED_SCORE,
     TIMESTEPS,
     Step,
-    fill_masked,
     init_canvas,
     remask_topk,
     schedule_steps,
@@ -112,16 +110,20 @@ def _general_step(canvas: DataFrame, scorer: ScoreFunction, critic: Critic | Non
     """One step with a pluggable scorer (and critic) over long logits."""
     hidden = remask_topk(canvas, step.hidden, run.mask_id).withColumn("was_masked", F.col("token_id") == run.mask_id)
     asked = hidden if run.can_remask else hidden.where("was_masked")
-    logits = scorer(asked)
-    filtered = topk_filter(logits, run.vocab, run.thres)
-    pred = gumbel_argmax(filtered, step.temperature, run.seed, salt=(step.index,))
-    filled = fill_masked(hidden, pred, run.mask_id)
+    pred = predict(scorer(asked), run.vocab, run.thres, step.temperature, run.seed, (step.index,))
+    joined = hidden.join(pred, ["sample_id", "pos"], "left")
+    token = F.when(F.col("was_masked"), F.coalesce("pred_id", F.col("token_id"))).otherwise(F.col("token_id"))
+    score = F.lit(1.0) - F.coalesce("prob", F.lit(0.0))
+    if not run.can_remask:
+        score = F.when(F.col("was_masked"), score).otherwise(F.lit(SETTLED_SCORE))
+    extra = [c for c in canvas.columns if c not in ("sample_id", "pos", "token_id", "score")]
+    filled = joined.select("sample_id", "pos", *extra, token.alias("token_id"), score.alias("score"))
     if critic is None:
-        scores = confidence_scores(filled, logits, pred, run.can_remask)
-    else:
-        judged = critic(filled.select("sample_id", "pos", "token_id"))
-        scores = critic_scores(judged, step.index, run.timesteps, run.seed, run.critic_noise)
-    return filled.drop("score", "was_masked").join(scores, ["sample_id", "pos"])
+        return filled
+    filled = cut_lineage(filled.drop("score"))
+    judged = critic(filled.select("sample_id", "pos", "token_id"))
+    scores = critic_scores(judged, step.index, run.timesteps, run.seed, run.critic_noise)
+    return filled.join(scores, ["sample_id", "pos"])
 
 
 def generate(

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spotgrid.functions.scalars import safe_div, safe_log, sigmoid
-from spotgrid.operators.decoding import SAMPLE_KEYS
+from spotgrid.operators.decoding import SAMPLE_KEYS, log_normalizer
 from spotgrid.operators.masking import IGNORE_INDEX
 
 # Fixed value: upper bound of the adaptive generator weight.
@@ -53,21 +53,18 @@ def bce_gen(fakes: DataFrame) -> DataFrame:
     return fakes.agg((-F.avg(safe_log(sigmoid(F.col("fake")), "add"))).alias("loss"))
 
 
-def masked_cross_entropy(logits: DataFrame, labels: DataFrame, ignore_index: int = IGNORE_INDEX) -> DataFrame:
+def masked_cross_entropy(
+    logits: DataFrame, labels: DataFrame, ignore_index: int = IGNORE_INDEX, keys: tuple[str, ...] = SAMPLE_KEYS
+) -> DataFrame:
     """Mean cross entropy over positions whose label is not ignored.
 
-    ``labels(sample_id, pos, label)``.  A label without a logit row has
+    ``labels`` has the ``keys`` and ``label``.  A label without a logit row has
     probability zero, so its loss is infinite.
     """
-    keys = list(SAMPLE_KEYS)
     wanted = labels.where(F.col("label") != ignore_index).select(*keys, "label")
-    joined = wanted.join(logits, keys, "left")
-    peaked = joined.withColumn("_peak", F.max("logit").over(Window.partitionBy(*keys)))
-    hit = F.max(F.when(F.col("token_id") == F.col("label"), F.col("logit")))
-    logz = F.max("_peak") + F.log(F.sum(F.exp(F.col("logit") - F.col("_peak"))))
-    missing = F.lit(float("inf"))
-    per_pos = peaked.groupBy(*keys).agg(F.coalesce(logz - hit, missing).alias("ce"))
-    return per_pos.agg(F.avg("ce").alias("loss"))
+    at = logits.select(*keys, F.col("token_id").alias("label"), F.col("logit").alias("_at"))
+    joined = wanted.join(at, [*keys, "label"], "left").join(log_normalizer(logits, keys), list(keys), "left")
+    return joined.agg(F.avg(F.coalesce(F.col("logz") - F.col("_at"), F.lit(float("inf")))).alias("loss"))
 
 
 def bce_with_logits(rows: DataFrame) -> DataFrame:
