@@ -22,10 +22,10 @@ SCRNA_FILE = "scRNA_count_sorted.csv"
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(line, value)``: 0-based number of every non-blank line, in file order.
+    """``(file_no, line, total_line, value)`` of every non-blank line, counted from 0 in file order.
 
-    A scan gives each line an id that grows inside its file block; blocks are
-    then put in order by (file, offset) and shifted by the lines before them.
+    A scan gives each line an id that grows by one inside its file block; blocks
+    are then put in order by (file, offset) and shifted by the lines before them.
     Only the small block table is ordered in one task.  The tagged lines are
     materialised first, because a second scan may be split differently when the
     number of executors changes.
@@ -39,12 +39,18 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     in_file = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_in_file", F.coalesce(F.sum("_n").over(in_file), F.lit(0)))
     files = blocks.groupBy("_file").agg(F.sum("_n").alias("_total"))
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0)))
-    offset = (F.col("_in_file") + F.col("_before") - F.col("_lo")).alias("_shift")
-    offsets = blocks.join(files, "_file").select("_file", "_block", offset)
+    by_name = Window.orderBy("_file")
+    before = by_name.rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select(
+        "_file",
+        (F.row_number().over(by_name) - 1).alias("file_no"),
+        F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"),
+    )
+    shift = (F.col("_in_file") - F.col("_lo")).alias("_shift")
+    offsets = blocks.join(files, "_file").select("_file", "_block", shift, "file_no", "_before")
+    line = F.col("_id") + F.col("_shift")
     joined = kept.join(offsets, ["_file", "_block"])
-    return joined.select((F.col("_id") + F.col("_shift")).alias("line"), "_file", "value")
+    return joined.select("file_no", line.alias("line"), (line + F.col("_before")).alias("total_line"), "value")
 
 
 def _fields(line: Column, sep: str) -> Column:
@@ -60,15 +66,11 @@ def _fields(line: Column, sep: str) -> Column:
 
 
 def _with_header(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """First line of each file apart from the numbered body lines ``(row, value)``."""
+    """The first header line, and the numbered body lines ``(row, value)`` without the header of each file."""
     lines = numbered_lines(spark, path)
-    firsts = lines.groupBy("_file").agg(F.min("line").alias("line"))
-    order = Window.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    firsts = firsts.withColumn("_headers", F.count(F.lit(1)).over(order))
-    body = lines.join(firsts.withColumnRenamed("line", "_first"), "_file").where(F.col("line") > F.col("_first"))
-    body = body.select((F.col("line") - F.col("_headers")).alias("row"), "value")
-    header = lines.where(F.col("line") == 0).select("value")
-    return header, body
+    header = lines.where("file_no = 0 and line = 0").select("value")
+    row = F.col("total_line") - F.col("file_no") - 1
+    return header, lines.where("line > 0").select(row.alias("row"), "value")
 
 
 def _named(header: DataFrame, sep: str, skip: int, index: str, name: str) -> DataFrame:
