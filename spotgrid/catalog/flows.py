@@ -41,7 +41,8 @@ for _round in range(ROUNDS):
     ),
 )
 def _(spark, folder):
-    _, metrics = refine_codebook(inputs.patches(spark, folder), inputs.codebook(spark, folder), ROUNDS)
+    blocks = cut_lineage(inputs.patches(spark, folder))
+    _, metrics = refine_codebook(blocks, inputs.codebook(spark, folder, blocks), ROUNDS)
     return metrics.select("step", r6("value").alias("value"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spotgrid.functions.scalars import flatten_pos
 from spotgrid.operators.codebook import assign_codes, code_sums
 from spotgrid.operators.raster import patch_vectors
+from spotgrid.plans.session import cut_lineage
 from spotgrid.sources import tables
 
 # Embedding images: 8 x 8 pixels, 2 x 2 blocks, so 4 x 4 positions; one code per (label, position).
@@ -23,17 +24,19 @@ def patches(spark: SparkSession, folder: str) -> DataFrame:
     return patch_vectors(tables.embedding_pixels(spark, folder), SIZE, LAYERS)
 
 
-def codebook(spark: SparkSession, folder: str) -> DataFrame:
+def codebook(spark: SparkSession, folder: str, blocks: DataFrame | None = None) -> DataFrame:
     """Mean block per (label, position)."""
+    blocks = patches(spark, folder) if blocks is None else blocks
     labels = tables.embedding_conditions(spark, folder).select(F.col("sample_id").cast("int").alias("gene_idx"), "cond")
     code = F.col("cond") * (SIDE * SIDE) + flatten_pos(F.col("prow"), F.col("pcol"), SIDE)
-    members = patches(spark, folder).join(labels, "gene_idx").select(code.cast("int").alias("code_id"), "vec")
+    members = blocks.join(labels, "gene_idx").select(code.cast("int").alias("code_id"), "vec")
     return code_sums(members).select("code_id", F.transform("total", lambda x: x / F.col("n")).alias("vec"))
 
 
 def assigned(spark: SparkSession, folder: str) -> DataFrame:
     """Blocks with their code."""
-    return assign_codes(patches(spark, folder), codebook(spark, folder))
+    blocks = cut_lineage(patches(spark, folder))
+    return assign_codes(blocks, codebook(spark, folder, blocks))
 
 
 def tokens(spark: SparkSession, folder: str) -> DataFrame:

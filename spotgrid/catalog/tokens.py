@@ -328,6 +328,40 @@ def _(spark, folder):
     return generating.generate(flow.conditions, flow.scorer, run)
 
 
+def _inverse_sql(timesteps: int, seed: int) -> str:
+    """Unrolled SQL of the decoding loop with one draw per position."""
+    for step in masking.schedule_steps(inputs.SIDE**2, timesteps):
+        i, before = step.index, f"i_step{step.index - 1}" if step.index else "g_start"
+        part(
+            f"i_hide{i}",
+            f"""SELECT sample_id, pos, cond, token_id, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, pos) <= {step.hidden} AS hide,
+            {U(seed, i, 'sample_id', 'pos')} AS u FROM {before}""",
+        )
+        part(f"i_heat{i}", f"SELECT *, exp((logit - max(logit) OVER (PARTITION BY cond, pos)) / CAST({max(step.temperature, 1e-10)!r} AS DOUBLE)) AS w FROM g_cands")
+        part(
+            f"i_sums{i}",
+            f"""SELECT cond, pos, token_id, prob, sum(w) OVER (PARTITION BY cond, pos ORDER BY token_id) AS upto, sum(w) OVER (PARTITION BY cond, pos) AS total FROM i_heat{i}""",
+        )
+        part(
+            f"i_pick{i}",
+            f"""SELECT sample_id, h.pos, min(c.token_id) AS pred, arg_min(prob, c.token_id) AS prob FROM i_hide{i} h
+            JOIN i_sums{i} c ON c.cond = h.cond AND c.pos = h.pos WHERE h.hide AND c.upto > h.u * c.total GROUP BY 1, 2""",
+        )
+        part(
+            f"i_step{i}",
+            f"""SELECT sample_id, pos, cond, CASE WHEN hide THEN pred ELSE token_id END AS token_id,
+            CASE WHEN hide THEN round(1 - prob, 9) ELSE -1e5 END AS score FROM i_hide{i} LEFT JOIN i_pick{i} USING (sample_id, pos)""",
+        )
+    return f"SELECT sample_id, pos, token_id FROM i_step{timesteps - 1}"
+
+
+@query("generate_inverse", _inverse_sql(6, 41))
+def _(spark, folder):
+    flow = Flow(spark, folder)
+    run = generating.Decoding(inputs.SIDE, inputs.CODES, seed=41, timesteps=6, sampler="inverse")
+    return generating.generate(flow.conditions, flow.scorer, run)
+
+
 @query("generate_two_stage")
 def _(spark, folder):
     pixels = tables.embedding_pixels(spark, folder)

@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spotgrid.functions.arrays import let
+from spotgrid.functions.keyed import uniform
 from spotgrid.functions.scalars import grid_side
 from spotgrid.operators.codebook import detokenize, tokenize
 from spotgrid.operators.decoding import (
     GUIDANCE,
+    TEMPERATURE_FLOOR,
     TOPK_THRES,
     critic_scores,
     kept_logits,
@@ -45,7 +48,12 @@ Critic = Callable[[DataFrame], DataFrame]
 
 @dataclass(frozen=True)
 class Decoding:
-    """Settings of one generation run."""
+    """Settings of one generation run.
+
+    ``sampler='gumbel'`` adds keyed noise to every candidate; ``'inverse'`` draws
+    from the same distribution with one number per position, which is what a
+    large vocabulary wants.
+    """
 
     side: int
     vocab: int
@@ -58,12 +66,17 @@ class Decoding:
     no_mask_prob: float = 0.0
     critic_noise: float = 1.0
     cut_every: int = 6
+    sampler: str = "gumbel"
 
     @property
     def mask_id(self) -> int:
         return self.vocab
 
-    def check(self, critic: Critic | None) -> None:
+    def check(self, by_table: bool, critic: Critic | None) -> None:
+        if self.sampler not in ("gumbel", "inverse"):
+            raise ValueError(f"unknown sampler {self.sampler!r}")
+        if self.sampler == "inverse" and not by_table:
+            raise ValueError("the inverse sampler needs a token scorer without critic")
         if self.can_remask and critic is None and self.no_mask_prob <= 0:
             raise ValueError("revising settled positions needs a scorer fitted with no_mask_prob > 0")
 
@@ -78,7 +91,50 @@ def candidate_table(logits: DataFrame, vocab: int, thres: float, keys: tuple[str
     logz = log_normalizer(logits, keys)
     kept = topk_filter(logits, vocab, thres, keys).join(logz, list(keys))
     entry = F.struct("token_id", "logit", F.exp(F.col("logit") - F.col("logz")).alias("prob"))
-    return kept.groupBy(*keys).agg(F.collect_list(entry).alias("candidates"))
+    return kept.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("candidates"))
+
+
+def _gumbel_pick(step: Step, run: Decoding) -> Column:
+    """Candidate with the highest noisy logit: ``struct(token, prob)``."""
+
+    def entry(c: Column) -> Column:
+        keys = (step.index, F.col("sample_id"), F.col("pos"), c["token_id"])
+        value = noisy_logit(c["logit"], step.temperature, run.seed, *keys)
+        return F.struct(value.alias("v"), (-c["token_id"]).alias("t"), c["prob"].alias("prob"))
+
+    best = F.array_max(F.transform("candidates", entry))
+    return let(best, lambda b: F.struct((-b["t"]).alias("token"), b["prob"].alias("prob")))
+
+
+def _inverse_pick(step: Step, run: Decoding) -> Column:
+    """Candidate under the running sum of weights at one uniform draw: ``struct(token, prob)``."""
+    heat = F.lit(1.0 / max(step.temperature, TEMPERATURE_FLOOR))
+    draw = uniform(run.seed, step.index, "sample_id", "pos")
+    start = F.struct(
+        F.lit(0.0).alias("acc"), F.lit(-1).alias("token"), F.lit(0.0).alias("prob"), F.lit(False).alias("done")
+    )
+
+    def walk(weighted: Column, target: Column) -> Column:
+        def visit(state: Column, c: Column) -> Column:
+            acc = state["acc"] + c["w"]
+            here = F.struct(
+                acc.alias("acc"), c["token_id"].alias("token"), c["prob"].alias("prob"), (acc > target).alias("done")
+            )
+            return F.when(state["done"], state).otherwise(here)
+
+        return F.aggregate(weighted, start, visit, lambda s: F.struct(s["token"].alias("token"), s["prob"].alias("prob")))
+
+    def weigh(peak: Column) -> Column:
+        return F.transform(
+            "candidates", lambda c: F.struct(c["token_id"], c["prob"], F.exp((c["logit"] - peak) * heat).alias("w"))
+        )
+
+    def choose(weighted: Column) -> Column:
+        total = F.aggregate(weighted, F.lit(0.0), lambda acc, c: acc + c["w"])
+        return let(total * draw, lambda target: walk(weighted, target))
+
+    peak = F.array_max(F.transform("candidates", lambda c: c["logit"]))
+    return let(peak, lambda p: let(weigh(p), choose))
 
 
 def _table_step(canvas: DataFrame, candidates: DataFrame, keys: list[str], step: Step, run: Decoding) -> DataFrame:
@@ -94,12 +150,9 @@ def _table_step(canvas: DataFrame, candidates: DataFrame, keys: list[str], step:
     side = candidates.withColumnRenamed(first, f"_{first}")
     joined = ranked.join(side, [f"_{first}", *keys[1:]], "left")
 
-    def entry(c):
-        value = noisy_logit(c["logit"], step.temperature, run.seed, step.index, F.col("sample_id"), F.col("pos"), c["token_id"])
-        return F.struct(value.alias("v"), (-c["token_id"]).alias("t"), c["prob"].alias("prob"))
-
-    picked = joined.withColumn("_best", F.array_max(F.transform("candidates", entry)))
-    token = F.when(F.col("_hide"), F.coalesce(-F.col("_best.t"), F.lit(run.mask_id))).otherwise(F.col("token_id"))
+    pick = _gumbel_pick(step, run) if run.sampler == "gumbel" else _inverse_pick(step, run)
+    picked = joined.withColumn("_best", pick)
+    token = F.when(F.col("_hide"), F.coalesce("_best.token", F.lit(run.mask_id))).otherwise(F.col("token_id"))
     score = F.lit(1.0) - F.coalesce("_best.prob", F.lit(0.0))
     if not run.can_remask:
         score = F.when(F.col("_hide"), score).otherwise(F.lit(SETTLED_SCORE))
@@ -143,7 +196,11 @@ def generate(
     stage.  The lineage is cut every ``run.cut_every`` steps, either by a
     checkpoint or, with ``snapshots``, by tables a later run resumes from.
     """
-    run.check(critic)
+    by_table = isinstance(scorer, TokenScorer) and critic is None
+    run.check(by_table, critic)
+    spark = samples.sparkSession
+    # The canvas is small in bytes and costly per row, so its partitions are not left to size-based coalescing.
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     seq_len = run.side * run.side
     if isinstance(scorer, TokenScorer) and "cond" not in samples.columns:
         samples = samples.withColumn("cond", F.lit(NULL_COND))
@@ -154,7 +211,6 @@ def generate(
         blank = init_canvas(samples, run.side, run.mask_id)
         canvas = blank.join(samples.select("sample_id", *extra), "sample_id") if extra else blank
 
-    by_table = isinstance(scorer, TokenScorer) and critic is None
     if isinstance(scorer, TokenScorer):
         scorer = scorer.saved()
         for column in extra:
@@ -173,13 +229,14 @@ def generate(
         scorer = score_function(scorer, run.cond_scale, MISSING_LOGIT)
 
     steps = schedule_steps(seq_len, run.timesteps, run.temperature)
-    done = latest_step(samples.sparkSession, snapshots) if snapshots else None
+    done = latest_step(spark, snapshots) if snapshots else None
     if done is None:
-        canvas = cut_lineage(canvas.repartition("sample_id"))
+        canvas = cut_lineage(canvas)
     else:
-        canvas = load_snapshot(samples.sparkSession, snapshots, done)
+        canvas = load_snapshot(spark, snapshots, done)
         steps = steps[done + 1 :]
 
+    canvas = canvas.repartition(spread, "sample_id")
     for step in steps:
         if by_table:
             canvas = _table_step(canvas, candidates, keys, step, run)
@@ -188,9 +245,9 @@ def generate(
         last = step.left == 0
         if snapshots and (last or (step.index + 1) % run.cut_every == 0):
             write_snapshot(canvas, snapshots, step.index)
-            canvas = load_snapshot(samples.sparkSession, snapshots, step.index)
+            canvas = load_snapshot(spark, snapshots, step.index).repartition(spread, "sample_id")
         elif not last and (step.index + 1) % (run.cut_every if by_table else 1) == 0:
-            canvas = cut_lineage(canvas)
+            canvas = cut_lineage(canvas).repartition(spread, "sample_id")
     return canvas.select("sample_id", "pos", "token_id")
 
 

@@ -22,14 +22,36 @@ ScoreFunction = Callable[[DataFrame], DataFrame]
 
 @dataclass(frozen=True)
 class TokenScorer:
-    """Logit tables: ``cond(cond, pos, token_id, logit)`` and ``null(pos, token_id, logit)``."""
+    """Token counts ``seen(cond, pos, token_id, n)`` and the smoothing weight; logit tables follow."""
 
-    cond: DataFrame
-    null: DataFrame
+    seen: DataFrame
+    alpha: float
 
     def saved(self) -> TokenScorer:
-        """The same scorer with its tables materialised, for repeated use."""
-        return TokenScorer(cut_lineage(self.cond), cut_lineage(self.null))
+        """The same scorer with its counts materialised, for repeated use."""
+        return TokenScorer(cut_lineage(self.seen), self.alpha)
+
+    @property
+    def prior(self) -> DataFrame:
+        """``(token_id, p)``: share of every token."""
+        by_token = self.seen.groupBy("token_id").agg(F.sum("n").alias("_n"))
+        total = self.seen.agg(F.sum("n").alias("_total"))
+        return by_token.crossJoin(F.broadcast(total)).select("token_id", (F.col("_n") / F.col("_total")).alias("p"))
+
+    def _logits(self, counts: DataFrame) -> DataFrame:
+        logit = F.log(F.col("n") + F.lit(float(self.alpha)) * F.col("p"))
+        return counts.join(self.prior, "token_id").withColumn("logit", logit)
+
+    @property
+    def cond(self) -> DataFrame:
+        """``(cond, pos, token_id, logit)``."""
+        return self._logits(self.seen).select("cond", "pos", "token_id", "logit")
+
+    @property
+    def null(self) -> DataFrame:
+        """``(pos, token_id, logit)`` whatever the condition."""
+        counts = self.seen.groupBy("pos", "token_id").agg(F.sum("n").alias("n"))
+        return self._logits(counts).select("pos", "token_id", "logit")
 
     def with_null(self) -> DataFrame:
         """Null logits under the null condition, in the layout of ``cond``."""
@@ -68,26 +90,19 @@ class TokenScorer:
 def fit_token_scorer(tokens: DataFrame, conditions: DataFrame, alpha: float = 1.0) -> TokenScorer:
     """Smoothed counts ``ln(n + alpha * p(token))`` with and without the condition.
 
-    ``conditions(sample_id[, pos], cond)``.  Counts are partial aggregates by
-    (cond, pos, token); the null and prior tables roll those counts up again
-    instead of reading the tokens a second time.
+    ``conditions(sample_id[, pos], cond)``.  Tokens are read once and counted by
+    (cond, pos, token) with map-side partials; null and prior tables roll those
+    counts up again.
     """
     on = ["sample_id", "pos"] if "pos" in conditions.columns else ["sample_id"]
     joined = tokens.join(conditions, on)
-    seen = joined.groupBy("cond", "pos", "token_id").agg(F.count(F.lit(1)).alias("n"))
-    by_pos = seen.groupBy("pos", "token_id").agg(F.sum("n").alias("n"))
-    by_token = seen.groupBy("token_id").agg(F.sum("n").alias("_n"))
-    total = seen.agg(F.sum("n").alias("_total"))
-    prior = by_token.crossJoin(F.broadcast(total)).select("token_id", (F.col("_n") / F.col("_total")).alias("_p"))
-    logit = F.log(F.col("n") + F.lit(float(alpha)) * F.col("_p"))
-    cond = seen.join(prior, "token_id").select(F.col("cond").cast("long").alias("cond"), "pos", "token_id", logit.alias("logit"))
-    null = by_pos.join(prior, "token_id").select("pos", "token_id", logit.alias("logit"))
-    return TokenScorer(cond, null)
+    cond = F.col("cond").cast("long").alias("cond")
+    return TokenScorer(joined.groupBy(cond, "pos", "token_id").agg(F.count(F.lit(1)).alias("n")), alpha)
 
 
 def resolve_conditions(rows: DataFrame, scorer: TokenScorer, column: str = "cond") -> DataFrame:
     """Replace a condition the scorer has never seen at a position by the null condition."""
-    known = scorer.cond.select(F.col("cond").alias(column), "pos").distinct().withColumn("_known", F.lit(True))
+    known = scorer.seen.select(F.col("cond").alias(column), "pos").distinct().withColumn("_known", F.lit(True))
     joined = rows.withColumn(column, F.col(column).cast("long")).join(known, [column, "pos"], "left")
     cond = F.when(F.col("_known"), F.col(column)).otherwise(F.lit(NULL_COND).cast("long"))
     return joined.select(*[cond.alias(c) if c == column else F.col(c) for c in rows.columns])

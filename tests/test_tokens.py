@@ -192,3 +192,25 @@ def test_dropout_is_per_sample(spark):
     got = masking.condition_dropout(context, 0.5, 3).groupBy("sample_id").agg(F.countDistinct("usable").alias("n"))
     assert got.where("n != 1").count() == 0
     assert masking.condition_dropout(context, 1.0, 3).where("usable").count() == 0
+
+
+def test_inverse_sampler(spark, scorer):
+    inverse = run(timesteps=3, sampler="inverse")
+    got = generating.generate(conditions(spark), scorer, inverse)
+    check_full(got)
+    assert rows(got) == rows(generating.generate(conditions(spark).repartition(3), scorer, inverse))
+    with pytest.raises(ValueError):
+        generating.generate(conditions(spark), scoring.score_function(scorer, 3.0), inverse)
+
+
+@pytest.mark.parametrize("sampler", ["gumbel", "inverse"])
+def test_samplers_follow_the_softmax(spark, sampler):
+    seen = spark.createDataFrame([(0, 0, t, n) for t, n in ((0, 10), (1, 30), (2, 60))], "cond long, pos int, token_id int, n long")
+    one_cell = scoring.TokenScorer(seen, 0.0)
+    settings = generating.Decoding(1, 3, 5, timesteps=2, cond_scale=1.0, thres=0.0, temperature=2.0, sampler=sampler)
+    # Two steps: the first samples at temperature 1, the last is greedy, so look at the first step alone.
+    step = masking.Step(0, 1, 1, 1.0)
+    cells = generating.candidate_table(one_cell.guided(1.0), 3, 0.0, ("cond", "pos"))
+    canvas = spark.range(4000).selectExpr("id as sample_id", "0 as pos", "cast(0 as long) as cond", "3 as token_id", "0.0D as score")
+    got = {r[0]: r[1] for r in rows(generating._table_step(canvas, cells, ["cond", "pos"], step, settings).groupBy("token_id").count())}
+    assert all(abs(got[t] / 4000 - share) < 0.03 for t, share in ((0, 0.1), (1, 0.3), (2, 0.6)))
