@@ -52,15 +52,19 @@ def code_sums(members: DataFrame) -> DataFrame:
     return sum_vectors(members, "code_id")
 
 
-def assign_codes(vectors: DataFrame, codebook: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
+def assign_codes(
+    vectors: DataFrame, codebook: DataFrame, limit: int = BROADCAST_LIMIT, held: list | None = None
+) -> DataFrame:
     """Add ``code_id`` and ``sim``: the code with the highest cosine similarity, ties to the lowest id.
 
     All pairs are inherent here, so they run as matrix products over Arrow
     batches.  The codebook is broadcast in slices of a checked size and the best
     code so far travels with the row from slice to slice; a codebook beyond the
-    limit only means more slices.
+    limit only means more slices.  ``held`` collects the broadcasts for a caller
+    that releases them once the result is materialised.
     """
     spark = vectors.sparkSession
+    held = [] if held is None else held
     names = vectors.columns
     schema = T.StructType(
         [*vectors.schema.fields, T.StructField("code_id", T.IntegerType()), T.StructField("sim", T.DoubleType())]
@@ -70,6 +74,7 @@ def assign_codes(vectors: DataFrame, codebook: DataFrame, limit: int = BROADCAST
     for ids, codes in vector_slices(codebook.select("code_id", "vec"), limit):
         units = codes / np.maximum(np.sqrt((codes * codes).sum(axis=1, keepdims=True)), 1e-12)
         shared = spark.sparkContext.broadcast((ids.astype(np.int32), units.T.copy()))
+        held.append(shared)
 
         def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, units = shared.value

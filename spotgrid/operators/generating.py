@@ -40,6 +40,10 @@ from spotgrid.sinks.snapshots import latest_step, load_snapshot, write_snapshot
 # Bytes of one (token, logit, probability) candidate in a row.
 CANDIDATE_BYTES = 40
 
+# Scores are compared at this many digits, so that equal probabilities tie (and the
+# lower position wins) whatever the order of summation was.
+SCORE_DIGITS = 9
+
 # A floor for logits missing on one side of a negative condition.
 MISSING_LOGIT = -20.0
 
@@ -153,7 +157,7 @@ def _table_step(canvas: DataFrame, candidates: DataFrame, keys: list[str], step:
     pick = _gumbel_pick(step, run) if run.sampler == "gumbel" else _inverse_pick(step, run)
     picked = joined.withColumn("_best", pick)
     token = F.when(F.col("_hide"), F.coalesce("_best.token", F.lit(run.mask_id))).otherwise(F.col("token_id"))
-    score = F.lit(1.0) - F.coalesce("_best.prob", F.lit(0.0))
+    score = F.round(F.lit(1.0) - F.coalesce("_best.prob", F.lit(0.0)), SCORE_DIGITS)
     if not run.can_remask:
         score = F.when(F.col("_hide"), score).otherwise(F.lit(SETTLED_SCORE))
     return picked.select("sample_id", "pos", *[k for k in keys if k != "pos"], token.alias("token_id"), score.alias("score"))
@@ -166,7 +170,7 @@ def _general_step(canvas: DataFrame, scorer: ScoreFunction, critic: Critic | Non
     pred = predict(scorer(asked), run.vocab, run.thres, step.temperature, run.seed, (step.index,))
     joined = hidden.join(pred, ["sample_id", "pos"], "left")
     token = F.when(F.col("was_masked"), F.coalesce("pred_id", F.col("token_id"))).otherwise(F.col("token_id"))
-    score = F.lit(1.0) - F.coalesce("prob", F.lit(0.0))
+    score = F.round(F.lit(1.0) - F.coalesce("prob", F.lit(0.0)), SCORE_DIGITS)
     if not run.can_remask:
         score = F.when(F.col("was_masked"), score).otherwise(F.lit(SETTLED_SCORE))
     extra = [c for c in canvas.columns if c not in ("sample_id", "pos", "token_id", "score")]

@@ -44,7 +44,8 @@ def refine_codebook(
     keep, add = F.lit(float(decay)), F.lit(1.0 - decay)
     metrics = []
     for step in range(0 if done is None else done + 1, rounds):
-        assigned = assign_codes(vectors.select("vec"), state.select("code_id", "vec"))
+        held: list = []
+        assigned = assign_codes(vectors.select("vec"), state.select("code_id", "vec"), held=held)
         sums = sum_vectors(assigned.select("code_id", extended.alias("vec")), "code_id")
         width = F.size("sums") - 1
         fresh = sums.select("code_id", F.col("n").alias("new_n"), F.col("total").alias("sums")).select(
@@ -58,6 +59,8 @@ def refine_codebook(
         updated = joined.select("code_id", n.alias("n"), total.alias("total"), gap.alias("gap"), "new_n", "dim")
         vec = F.transform("total", lambda x: x / F.greatest("n", F.lit(1e-12)))
         updated = cut_lineage(updated.withColumn("vec", l2_normalize(vec) if normalize else vec))
+        for broadcast in held:
+            broadcast.destroy()
         loss = updated.agg(F.sum("gap") / F.sum(F.col("new_n") * F.col("dim"))).first()[0]
         metrics.append((step, 1, "commitment", loss))
         state = updated.select("code_id", "n", "total", "vec")
