@@ -42,6 +42,8 @@ HEADLINE = [
     "topk_filter",
     "confidence_scores",
     "generate",
+    "generate_inverse",
+    "refine_codebook",
     "soft_lookup",
     "recon_loss_l1",
     "masked_cross_entropy",

@@ -102,6 +102,18 @@ def _(spark, folder):
     return cells.select("gene_idx", "prow", "pcol", "pos", F.col("value").cast("double").alias("value"))
 
 
+@query(
+    "patch_statistic",
+    f"""SELECT gene_idx, CAST(px // 4 AS INTEGER) AS prow, CAST(py // 4 AS INTEGER) AS pcol, {R6('sum(value) / 16')} AS mean,
+    {R6('CASE WHEN count(*) = 16 THEN max(value) ELSE greatest(max(value), 0) END')} AS peak FROM t_pixels GROUP BY 1, 2, 3""",
+)
+def _(spark, folder):
+    pixels = _pixels(spark, folder)
+    mean = raster.patch_statistic(pixels, 16, 2).withColumn("mean", r6(F.col("vec")[0])).drop("vec")
+    peak = raster.patch_statistic(pixels, 16, 2, "max").withColumn("peak", r6(F.col("vec")[0])).drop("vec")
+    return mean.join(peak, ["gene_idx", "prow", "pcol"])
+
+
 @query("unpatch", "SELECT gene_idx, px, py, CAST(value AS DOUBLE) AS value FROM t_pixels")
 def _(spark, folder):
     back = raster.unpatch(raster.patch_vectors(_pixels(spark, folder), 16, 2), 2)

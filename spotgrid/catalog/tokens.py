@@ -324,7 +324,7 @@ part("g_start", f"SELECT sample_id, CAST(i AS INTEGER) AS pos, cond, {MASK} AS t
 @query("generate", _canvas_sql(6, 41))
 def _(spark, folder):
     flow = Flow(spark, folder)
-    run = generating.Decoding(inputs.SIDE, inputs.CODES, seed=41, timesteps=6)
+    run = generating.Decoding(inputs.SIDE, inputs.CODES, seed=41, timesteps=6, sampler="gumbel")
     return generating.generate(flow.conditions, flow.scorer, run)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +34,7 @@ from spotgrid.operators.masking import (
 from spotgrid.operators.raster import resize_nearest
 from spotgrid.operators.scoring import NULL_COND, ScoreFunction, TokenScorer, resolve_conditions, score_function
 from spotgrid.plans.session import cut_lineage
-from spotgrid.plans.sizing import bounded
+from spotgrid.plans.sizing import fits
 from spotgrid.sinks.snapshots import latest_step, load_snapshot, write_snapshot
 
 # Bytes of one (token, logit, probability) candidate in a row.
@@ -55,8 +55,9 @@ class Decoding:
     """Settings of one generation run.
 
     ``sampler='gumbel'`` adds keyed noise to every candidate; ``'inverse'`` draws
-    from the same distribution with one number per position, which is what a
-    large vocabulary wants.
+    from the same distribution with one number per position and needs a scorer
+    table.  By default a scorer table is drawn from by ``'inverse'`` and anything
+    else by ``'gumbel'``.
     """
 
     side: int
@@ -70,34 +71,67 @@ class Decoding:
     no_mask_prob: float = 0.0
     critic_noise: float = 1.0
     cut_every: int = 6
-    sampler: str = "gumbel"
+    sampler: str | None = None
 
     @property
     def mask_id(self) -> int:
         return self.vocab
 
-    def check(self, by_table: bool, critic: Critic | None) -> None:
-        if self.sampler not in ("gumbel", "inverse"):
-            raise ValueError(f"unknown sampler {self.sampler!r}")
-        if self.sampler == "inverse" and not by_table:
+    def resolved(self, by_table: bool, critic: Critic | None) -> Decoding:
+        """The settings with a sampler chosen, or an error if they do not fit together."""
+        sampler = self.sampler or ("inverse" if by_table else "gumbel")
+        if sampler not in ("gumbel", "inverse"):
+            raise ValueError(f"unknown sampler {sampler!r}")
+        if sampler == "inverse" and not by_table:
             raise ValueError("the inverse sampler needs a token scorer without critic")
         if self.can_remask and critic is None and self.no_mask_prob <= 0:
             raise ValueError("revising settled positions needs a scorer fitted with no_mask_prob > 0")
+        return replace(self, sampler=sampler)
+
+
+def _kept_with_prob(logits: DataFrame, vocab: int, thres: float, keys: tuple[str, ...]) -> DataFrame:
+    """Filtered logits with their unfiltered softmax ``prob``; all parts share one shuffle on the keys."""
+    logz = log_normalizer(logits, keys)
+    kept = topk_filter(logits, vocab, thres, keys).join(logz, list(keys))
+    return kept.select(*keys, "token_id", "logit", F.exp(F.col("logit") - F.col("logz")).alias("prob"))
 
 
 def candidate_table(logits: DataFrame, vocab: int, thres: float, keys: tuple[str, ...]) -> DataFrame:
-    """Filtered candidates with their unfiltered softmax: ``(*keys, candidates)``.
+    """Candidates per distribution: ``(*keys, candidates)``.
 
     Scores depend on condition and position only, so filter and softmax are done
     once per key and not once per sample and step.  A candidate list has at most
-    ``kept_logits(vocab, thres)`` entries.  All parts share one shuffle on the keys.
+    ``kept_logits(vocab, thres)`` entries.
     """
-    logz = log_normalizer(logits, keys)
-    kept = topk_filter(logits, vocab, thres, keys).join(logz, list(keys))
-    entry = F.struct("token_id", "logit", F.exp(F.col("logit") - F.col("logz")).alias("prob"))
+    entry = F.struct("token_id", "logit", "prob")
+    kept = _kept_with_prob(logits, vocab, thres, keys)
     return kept.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("candidates"))
 
 
+def draw_table(logits: DataFrame, vocab: int, thres: float, keys: tuple[str, ...], steps: list[Step]) -> DataFrame:
+    """Candidates with the upper edges of their share at each step's temperature.
+
+    ``(*keys, tokens, probs, edges_0, edges_1, ...)``: a uniform draw ``u`` picks
+    the first candidate whose edge exceeds ``u``.  The running sums are windows
+    over the shared distributions, so a position only searches.
+    """
+    kept = _kept_with_prob(logits, vocab, thres, keys)
+    whole = Window.partitionBy(*keys)
+    peaked = kept.withColumn("_peak", F.max("logit").over(whole))
+    heat = lambda step: F.lit(1.0 / max(step.temperature, TEMPERATURE_FLOOR))
+    weights = {f"_w{step.index}": F.exp((F.col("logit") - F.col("_peak")) * heat(step)) for step in steps}
+    upto = whole.orderBy("token_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = {f"_u{step.index}": F.sum(f"_w{step.index}").over(upto) for step in steps}
+    entry = F.struct("token_id", "prob", *sums)
+    packed = peaked.withColumns(weights).withColumns(sums).groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("e"))
+
+    def edges(step: Step) -> Column:
+        running = F.col(f"e._u{step.index}")
+        return F.transform(running, lambda x: x / F.element_at(running, -1)).alias(f"edges_{step.index}")
+
+    return packed.select(*keys, F.col("e.token_id").alias("tokens"), F.col("e.prob").alias("probs"), *map(edges, steps))
+
+
 def _gumbel_pick(step: Step, run: Decoding) -> Column:
     """Candidate with the highest noisy logit: ``struct(token, prob)``."""
 
@@ -111,37 +145,16 @@ def _gumbel_pick(step: Step, run: Decoding) -> Column:
 
 
 def _inverse_pick(step: Step, run: Decoding) -> Column:
-    """Candidate under the running sum of weights at one uniform draw: ``struct(token, prob)``."""
-    heat = F.lit(1.0 / max(step.temperature, TEMPERATURE_FLOOR))
+    """Candidate whose share holds one uniform draw: ``struct(token, prob)``."""
     draw = uniform(run.seed, step.index, "sample_id", "pos")
-    start = F.struct(
-        F.lit(0.0).alias("acc"), F.lit(-1).alias("token"), F.lit(0.0).alias("prob"), F.lit(False).alias("done")
-    )
-
-    def walk(weighted: Column, target: Column) -> Column:
-        def visit(state: Column, c: Column) -> Column:
-            acc = state["acc"] + c["w"]
-            here = F.struct(
-                acc.alias("acc"), c["token_id"].alias("token"), c["prob"].alias("prob"), (acc > target).alias("done")
-            )
-            return F.when(state["done"], state).otherwise(here)
-
-        return F.aggregate(weighted, start, visit, lambda s: F.struct(s["token"].alias("token"), s["prob"].alias("prob")))
+    below = lambda u: F.aggregate(f"edges_{step.index}", F.lit(0), lambda n, edge: n + F.when(edge <= u, 1).otherwise(0))
+    pick = lambda at: F.struct(F.get("tokens", at).alias("token"), F.get("probs", at).alias("prob"))
+    return let(let(draw, below), pick)
 
-    def weigh(peak: Column) -> Column:
-        return F.transform(
-            "candidates", lambda c: F.struct(c["token_id"], c["prob"], F.exp((c["logit"] - peak) * heat).alias("w"))
-        )
 
-    def choose(weighted: Column) -> Column:
-        total = F.aggregate(weighted, F.lit(0.0), lambda acc, c: acc + c["w"])
-        return let(total * draw, lambda target: walk(weighted, target))
-
-    peak = F.array_max(F.transform("candidates", lambda c: c["logit"]))
-    return let(peak, lambda p: let(weigh(p), choose))
-
-
-def _table_step(canvas: DataFrame, candidates: DataFrame, keys: list[str], step: Step, run: Decoding) -> DataFrame:
+def _table_step(
+    canvas: DataFrame, candidates: DataFrame, keys: list[str], step: Step, run: Decoding, small: bool = True
+) -> DataFrame:
     """One step against a candidate table: a window per sample and one join, nothing exploded."""
     order = Window.partitionBy("sample_id").orderBy(F.desc("score"), F.asc("pos"))
     ranked = canvas.withColumn("_hide", F.row_number().over(order) <= step.hidden)
@@ -151,7 +164,10 @@ def _table_step(canvas: DataFrame, candidates: DataFrame, keys: list[str], step:
         ranked = ranked.withColumn(f"_{first}", F.when(F.col("_hide"), F.col(first)))
     else:
         ranked = ranked.withColumn(f"_{first}", F.col(first))
-    side = candidates.withColumnRenamed(first, f"_{first}")
+    used = ["candidates"] if run.sampler == "gumbel" else ["tokens", "probs", f"edges_{step.index}"]
+    side = candidates.select(F.col(first).alias(f"_{first}"), *keys[1:], *used)
+    if small:
+        side = F.broadcast(side)
     joined = ranked.join(side, [f"_{first}", *keys[1:]], "left")
 
     pick = _gumbel_pick(step, run) if run.sampler == "gumbel" else _inverse_pick(step, run)
@@ -201,11 +217,11 @@ def generate(
     checkpoint or, with ``snapshots``, by tables a later run resumes from.
     """
     by_table = isinstance(scorer, TokenScorer) and critic is None
-    run.check(by_table, critic)
+    run = run.resolved(by_table, critic)
     spark = samples.sparkSession
     # The canvas is small in bytes and costly per row, so its partitions are not left to size-based coalescing.
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seq_len = run.side * run.side
+    steps = schedule_steps(run.side * run.side, run.timesteps, run.temperature)
     if isinstance(scorer, TokenScorer) and "cond" not in samples.columns:
         samples = samples.withColumn("cond", F.lit(NULL_COND))
     extra = [c for c in ("cond", "neg_cond") if c in samples.columns]
@@ -226,13 +242,15 @@ def generate(
             logits = scorer.away_from(pairs, run.cond_scale, MISSING_LOGIT)
         else:
             logits = scorer.guided(run.cond_scale)
-        candidates = cut_lineage(candidate_table(logits, run.vocab, run.thres, tuple(keys)))
-        rows = candidates.count()
-        candidates = bounded(candidates, rows, 64 + CANDIDATE_BYTES * kept_logits(run.vocab, run.thres))
+        if run.sampler == "gumbel":
+            candidates = candidate_table(logits, run.vocab, run.thres, tuple(keys))
+        else:
+            candidates = draw_table(logits, run.vocab, run.thres, tuple(keys), steps)
+        candidates = cut_lineage(candidates)
+        small = fits(candidates.count(), 64 + CANDIDATE_BYTES * kept_logits(run.vocab, run.thres))
     elif isinstance(scorer, TokenScorer):
         scorer = score_function(scorer, run.cond_scale, MISSING_LOGIT)
 
-    steps = schedule_steps(seq_len, run.timesteps, run.temperature)
     done = latest_step(spark, snapshots) if snapshots else None
     if done is None:
         canvas = cut_lineage(canvas)
@@ -243,7 +261,7 @@ def generate(
     canvas = canvas.repartition(spread, "sample_id")
     for step in steps:
         if by_table:
-            canvas = _table_step(canvas, candidates, keys, step, run)
+            canvas = _table_step(canvas, candidates, keys, step, run, small)
         else:
             canvas = _general_step(canvas, scorer, critic, step, run)
         last = step.left == 0

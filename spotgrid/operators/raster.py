@@ -127,6 +127,28 @@ def patch_vectors(pixels: DataFrame, image_size: int, layers: int) -> DataFrame:
     return grouped.agg(fill_gaps(F.collect_list(entry), d * d, F.lit(0.0).cast("float")).alias("vec"))
 
 
+def patch_statistic(pixels: DataFrame, image_size: int, layers: int, kind: str = "mean") -> DataFrame:
+    """One number per pixel block instead of all its pixels: ``vec`` has length one.
+
+    ``mean`` counts absent pixels as zero; ``sum`` and ``max`` (of a block with
+    zeros, at least zero) follow.  Partial aggregates only.
+    """
+    grid_side(image_size, layers)
+    cells = 1 << (2 * layers)
+    value = F.col("value").cast("double")
+    block = lambda axis: F.shiftright(F.col(axis).cast("int"), layers)
+    full = F.count(F.lit(1)) == F.lit(cells)
+    results = {
+        "mean": F.sum(value) / F.lit(cells),
+        "sum": F.sum(value),
+        "max": F.when(full, F.max(value)).otherwise(F.greatest(F.max(value), F.lit(0.0))),
+    }
+    if kind not in results:
+        raise ValueError(f"unknown kind {kind!r}")
+    grouped = pixels.groupBy("gene_idx", block("px").alias("prow"), block("py").alias("pcol"))
+    return grouped.agg(F.array(results[kind]).alias("vec"))
+
+
 def unpatch(patches: DataFrame, layers: int) -> DataFrame:
     """Inverse of :func:`patch_vectors`; zeros are dropped."""
     d = 1 << layers

@@ -96,7 +96,7 @@ def test_zero_temperature_is_greedy(spark, scorer):
 
 
 def run(**kw):
-    return generating.Decoding(side=4, vocab=9, seed=8, **{"timesteps": 5, "thres": 0.5, **kw})
+    return generating.Decoding(side=4, vocab=9, seed=8, **{"timesteps": 5, "thres": 0.5, "sampler": "gumbel", **kw})
 
 
 def check_full(got):
@@ -195,12 +195,12 @@ def test_dropout_is_per_sample(spark):
 
 
 def test_inverse_sampler(spark, scorer):
-    inverse = run(timesteps=3, sampler="inverse")
+    inverse = run(timesteps=3, sampler=None)
     got = generating.generate(conditions(spark), scorer, inverse)
     check_full(got)
     assert rows(got) == rows(generating.generate(conditions(spark).repartition(3), scorer, inverse))
     with pytest.raises(ValueError):
-        generating.generate(conditions(spark), scoring.score_function(scorer, 3.0), inverse)
+        generating.generate(conditions(spark), scoring.score_function(scorer, 3.0), run(sampler="inverse"))
 
 
 @pytest.mark.parametrize("sampler", ["gumbel", "inverse"])
@@ -210,7 +210,11 @@ def test_samplers_follow_the_softmax(spark, sampler):
     settings = generating.Decoding(1, 3, 5, timesteps=2, cond_scale=1.0, thres=0.0, temperature=2.0, sampler=sampler)
     # Two steps: the first samples at temperature 1, the last is greedy, so look at the first step alone.
     step = masking.Step(0, 1, 1, 1.0)
-    cells = generating.candidate_table(one_cell.guided(1.0), 3, 0.0, ("cond", "pos"))
+    logits, keys = one_cell.guided(1.0), ("cond", "pos")
+    if sampler == "gumbel":
+        cells = generating.candidate_table(logits, 3, 0.0, keys)
+    else:
+        cells = generating.draw_table(logits, 3, 0.0, keys, [step])
     canvas = spark.range(4000).selectExpr("id as sample_id", "0 as pos", "cast(0 as long) as cond", "3 as token_id", "0.0D as score")
     got = {r[0]: r[1] for r in rows(generating._table_step(canvas, cells, ["cond", "pos"], step, settings).groupBy("token_id").count())}
     assert all(abs(got[t] / 4000 - share) < 0.03 for t, share in ((0, 0.1), (1, 0.3), (2, 0.6)))
