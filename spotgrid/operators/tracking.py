@@ -79,15 +79,20 @@ def ema_by_key(
         F.min(F.col(order).cast("long")).alias("_first"), F.min_by(F.col(value).cast("double"), F.col(order)).alias("_start")
     )
 
+    def composed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every row's map composed with all before it, by doubling spans."""
+        span = 1
+        while span < len(a):
+            next_a, next_b = a.copy(), b.copy()
+            next_a[span:] = a[span:] * a[:-span]
+            next_b[span:] = a[span:] * b[:-span] + b[span:]
+            a, b, span = next_a, next_b, span * 2
+        return a, b
+
     def prefixes(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_at", kind="stable")
-        a, b = pdf["_a"].to_numpy(), pdf["_b"].to_numpy()
-        pa_, pb = np.empty(len(a)), np.empty(len(a))
-        run_a, run_b = 1.0, 0.0
-        for i in range(len(a)):
-            run_a, run_b = a[i] * run_a, a[i] * run_b + b[i]
-            pa_[i], pb[i] = run_a, run_b
-        return pdf.assign(_a=pa_, _b=pb)
+        a, b = composed(pdf["_a"].to_numpy(), pdf["_b"].to_numpy())
+        return pdf.assign(_a=a, _b=b)
 
     local = maps.groupBy("_key", "_block").applyInPandas(prefixes, maps.schema)
     whole = local.groupBy("_key", "_block").agg(F.max_by(F.struct("_a", "_b"), F.col("_at")).alias("m"))
@@ -99,11 +104,10 @@ def ema_by_key(
 
     def carries(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_block", kind="stable")
-        value, out = float(pdf["_start"].iloc[0]), []
-        for a, b in zip(pdf["_a"], pdf["_b"]):
-            out.append(value)
-            value = a * value + b
-        return pdf[["_key", "_block"]].assign(_carry=out)
+        a, b = composed(pdf["_a"].to_numpy(), pdf["_b"].to_numpy())
+        start = float(pdf["_start"].iloc[0])
+        before = np.append(start, (a * start + b)[:-1])
+        return pdf[["_key", "_block"]].assign(_carry=before)
 
     carried = whole.groupBy("_key").applyInPandas(carries, carry_schema)
     joined = local.join(carried, ["_key", "_block"], "left").join(start.select("_key", "_first"), "_key", "left")
