@@ -164,14 +164,12 @@ def _(spark, folder):
 @query(
     "guide",
     f"""SELECT cond, pos, token_id, {R6('coalesce(u.logit, -9.0) + (coalesce(c.logit, -9.0) - coalesce(u.logit, -9.0)) * 3')} AS logit
-    FROM (SELECT * FROM s_cond WHERE cond = 0) c FULL JOIN (SELECT CAST(0 AS BIGINT) AS cond, pos, token_id, logit FROM s_null) u USING (cond, pos, token_id)""",
+    FROM s_cond c FULL JOIN (SELECT cond, pos, token_id, s_null.logit FROM (SELECT DISTINCT cond, pos FROM s_cond) JOIN s_null USING (pos)) u USING (cond, pos, token_id)""",
 )
 def _(spark, folder):
     flow = Flow(spark, folder)
-    scorer = flow.scorer
-    first = scorer.cond.where("cond = 0")
-    null = scorer.null.withColumn("cond", F.lit(0).cast("long"))
-    out = decoding.guide(first, null, 3.0, floor=-9.0, keys=("cond", "pos"))
+    null = flow.scorer.seen.select("cond", "pos").distinct().join(flow.scorer.null, "pos")
+    out = decoding.guide(flow.scorer.cond, null, 3.0, floor=-9.0, keys=("cond", "pos"))
     return out.select("cond", "pos", "token_id", r6("logit").alias("logit"))
 
 
@@ -268,7 +266,7 @@ def _(spark, folder):
 
 part(
     "a_pairs",
-    """SELECT gene_idx, prow, pcol, cvec, 8 * list_cosine_similarity([v0, v1, v2, v3], cvec) AS s FROM e_sims WHERE code_id % 16 <> 3
+    """SELECT gene_idx, prow, pcol, cvec, 8 * list_cosine_similarity([v0, v1, v2, v3], cvec) AS s FROM e_sims WHERE cvec[1] >= cvec[2]
     UNION ALL SELECT gene_idx, prow, pcol, [CAST(0.5 AS DOUBLE), 0.5, 0.5, 0.5], 8 * list_cosine_similarity([v0, v1, v2, v3], [CAST(1 AS DOUBLE), 0, 0, 0]) FROM e_patches""",
 )
 
@@ -281,7 +279,7 @@ part(
 )
 def _(spark, folder):
     queries = inputs.patches(spark, folder).select(F.struct("gene_idx", "prow", "pcol").alias("query_id"), "vec")
-    usable = (F.col("code_id") % 16 != 3).alias("usable")
+    usable = (F.col("vec")[0] >= F.col("vec")[1]).alias("usable")
     context = inputs.codebook(spark, folder).select(
         F.col("code_id").alias("key_id"), F.col("vec").alias("key_vec"), F.col("vec").alias("value_vec"), usable
     )
