@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from spotgrid.llm import quality_rules  # noqa: F401
+from spotgrid.llm import chat, quality_rules  # noqa: F401
 from spotgrid.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
