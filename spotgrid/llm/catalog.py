@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from spotgrid.llm import chat, mixing, pieces, quality_crf, quality_rules, sharding, simhash  # noqa: F401
+from spotgrid.llm import chat, mixing, pieces, quality_crf, quality_rules, sharding, simhash, token_files  # noqa: F401
 from spotgrid.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
