@@ -1,20 +1,56 @@
-"""The corpus pipeline: stages over whole documents, each written and read again."""
+"""The corpus pipeline: stages over whole documents, each written and read again.
+
+Documents that the quality rules or the classifier reject go; one document of each
+group of near copies stays; sources are mixed to their target weights, where a
+document that the mix takes twice appears twice and one that it leaves out goes;
+what remains is encoded.  All stages but the last return the columns of their
+input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spotgrid.llm.quality_rules import keep_good
+from spotgrid.llm import mixing, pieces, quality_crf, quality_rules, simhash
 from spotgrid.llm.registry import table
 from spotgrid.plans.session import shared_folder
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return keep_good(docs)
+    return quality_rules.keep_good(docs)
+
+
+def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones among them, scores at its threshold or more."""
+    return quality_crf.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that of the smallest id."""
+    return simhash.keep_one(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.take(docs)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each document's pieces, and whether they gave its text back."""
+    both = pieces.encode(docs.select("doc_id", "text"), decoded="decoded")
+    return both.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_ids"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
-STAGES = [("quality rules", rules_stage)]
+STAGES = [
+    ("quality rules", rules_stage),
+    ("quality classifier", classifier_stage),
+    ("SimHash near-dedup", near_copies_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("SentencePiece encoding and decoding", encoding_stage),
+]
+#: The classifier and the searches are beyond SQL; tests hold every stage against plain versions.
 ORACLE_SQL = None
 
 

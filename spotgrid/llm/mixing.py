@@ -104,6 +104,28 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, see
     )
 
 
+def take(docs: DataFrame, **options: object) -> DataFrame:
+    """The rows of ``docs`` as often as :func:`mix` takes them whole; columns unchanged.
+
+    Rows alike in id, source and text are told apart by nothing, so what is taken of
+    them together is dealt to them in turn.
+    """
+    copies = mix(docs, **options).where(F.col("copies") > 0)
+    per_text = copies.groupBy("doc_id", "source", "text_key").agg(F.sum("copies").alias("copies"))
+    keys = ["k_id", "k_source", "k_text", "k_copies"]
+    while set(keys) & set(docs.columns):  # names of the caller's columns stay free
+        keys = [f"{k}_" for k in keys]
+    tag = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n"))  # noqa: E731  a null is a key of its own
+    wanted = per_text.select(tag("doc_id").alias(keys[0]), tag("source").alias(keys[1]), F.col("text_key").alias(keys[2]), F.col("copies").alias(keys[3]))
+    own = docs.withColumns({keys[0]: tag("doc_id"), keys[1]: tag("source"), keys[2]: F.md5(text_or_empty())})
+    joined = own.join(wanted, keys[:3])
+    place = F.row_number().over(Window.partitionBy(*keys[:3]).orderBy(*keys[:3])) - 1
+    alike = F.count(F.lit(1)).over(Window.partitionBy(*keys[:3]))
+    numbered = joined.withColumns({keys[0]: place, keys[1]: alike})
+    share = F.floor((F.col(keys[3]) - 1 - F.col(keys[0])) / F.col(keys[1])) + 1
+    return numbered.withColumn(keys[3], F.explode(F.array_repeat(F.lit(1), share.cast("int")))).select(*docs.columns)
+
+
 OP6_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, md5(coalesce(text, '')) AS text_key,
