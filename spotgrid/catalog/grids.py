@@ -8,6 +8,7 @@ from spotgrid.catalog import inputs
 from spotgrid.catalog.registry import R6, part, query, r6
 from spotgrid.operators import raster
 from spotgrid.operators.mosaics import mosaic
+from spotgrid.plans.dataset import SampleSet
 from spotgrid.plans.flagship import expression_maps
 from spotgrid.sources import tables
 
@@ -67,6 +68,55 @@ def _(spark, folder):
     )
 
 
+part("b_genes", "SELECT CAST(doc_id AS INTEGER) AS gene_idx, 'gene' || (doc_id + 7) % 1000 AS gene FROM documents")
+part("b_counts", "SELECT CAST(conv_id AS INTEGER) AS gene_idx, CAST(turn AS INTEGER) AS cell_idx, CAST(length(text) AS DOUBLE) AS cnt FROM conversations")
+
+
+def _documents_as_genes(spark, folder):
+    """One gene per document; few have an image or counts."""
+    docs = tables.table(spark, folder, "documents")
+    name = F.concat(F.lit("gene"), ((F.col("doc_id") + 7) % 1000).cast("string"))
+    return docs.select(F.col("doc_id").cast("int").alias("gene_idx"), name.alias("gene"))
+
+
+def _turns_as_counts(spark, folder):
+    turns = tables.table(spark, folder, "conversations")
+    return turns.select(
+        F.col("conv_id").cast("int").alias("gene_idx"), F.col("turn").cast("int").alias("cell_idx"), F.length("text").cast("float").alias("count")
+    )
+
+
+def _sample_set(spark, folder, scrna_genes=None):
+    pixels = tables.embedding_pixels(spark, folder)
+    return SampleSet(pixels, _turns_as_counts(spark, folder), _documents_as_genes(spark, folder), inputs.SIZE, scrna_genes)
+
+
+@query(
+    "paired_arrays",
+    """SELECT g.gene_idx, 'count' AS part, CAST(i AS INTEGER) AS pos, coalesce(cnt, 0) AS value FROM b_genes g CROSS JOIN (SELECT unnest(range(8)) AS i)
+    LEFT JOIN b_counts c ON c.gene_idx = g.gene_idx AND c.cell_idx = i
+    UNION ALL SELECT g.gene_idx, 'image', CAST(i AS INTEGER), coalesce(CAST(e.value AS DOUBLE), 0) FROM b_genes g CROSS JOIN (SELECT unnest(range(64)) AS i)
+    LEFT JOIN e_pixels e ON e.gene_idx = g.gene_idx AND e.px * 8 + e.py = i""",
+)
+def _(spark, folder):
+    pairs = _sample_set(spark, folder).arrays(8)
+    cells = lambda part, array: pairs.select("gene_idx", F.lit(part).alias("part"), F.posexplode(array).alias("pos", "value"))
+    both = cells("count", "counts").unionByName(cells("image", "image"))
+    return both.select("gene_idx", "part", "pos", F.col("value").cast("double").alias("value"))
+
+
+@query(
+    "paired_by_name",
+    """SELECT g.gene_idx, 'count' AS part, cell_idx AS i, 0 AS j, cnt AS value FROM b_counts c
+    JOIN (SELECT CAST(page_id AS INTEGER) AS from_idx, 'gene' || page_id AS gene FROM pages) p ON p.from_idx = c.gene_idx JOIN b_genes g ON g.gene = p.gene WHERE cnt <> 0
+    UNION ALL SELECT gene_idx, 'image', px, py, CAST(value AS DOUBLE) FROM e_pixels""",
+)
+def _(spark, folder):
+    pages = tables.table(spark, folder, "pages")
+    names = pages.select(F.col("page_id").cast("int").alias("gene_idx"), F.concat(F.lit("gene"), F.col("page_id").cast("string")).alias("gene"))
+    return _sample_set(spark, folder, names).by_name().pairs()
+
+
 part(
     "e_small",
     "SELECT gene_idx, CAST(o AS INTEGER) AS px, CAST(q AS INTEGER) AS py, value FROM (SELECT unnest(range(5)) AS o), (SELECT unnest(range(5)) AS q), e_pixels"

@@ -21,7 +21,7 @@ from spotgrid.sources.checks import validate_dataset
 
 def _write_lines(lines: DataFrame, order: str, header: str, path: str) -> None:
     """Write ``line`` in global order, each part file starting with the header."""
-    ordered = lines.repartitionByRange(4, order).sortWithinPartitions(order)
+    ordered = lines.repartitionByRange(order).sortWithinPartitions(order)
     options = {"header": "true", "sep": "\u0001", "quote": "", "escape": "", "emptyValue": ""}
     ordered.select(F.col("line").alias(header)).write.options(**options).csv(path)
 
@@ -111,23 +111,33 @@ def _(spark, folder):
 
 @query(
     "validate_dataset",
-    """SELECT 'divisible' AS "check", 'image size 18, divisor 4' AS detail
-    UNION ALL SELECT 'sequence', 'tokens 16, limit 12'
-    UNION ALL SELECT 'tokens', 'position ' || max(pos) || ', limit 12' FROM e_tokens HAVING max(pos) >= 12
-    UNION ALL SELECT 'codebook', 'cells ' || max(cell_idx) + 1 || ', codes 64' FROM t_scrna HAVING max(cell_idx) + 1 <> 64""",
+    """SELECT 'spots' AS "check", 'spots ' || (SELECT count(*) FROM t_spots) || ', count rows ' || count(*) AS detail
+        FROM documents HAVING count(*) <> (SELECT count(*) FROM t_spots)
+    UNION ALL SELECT 'genes', 'genes ' || count(*) || ', matrix rows ' || (SELECT count(*) FROM t_genes)
+        FROM part HAVING count(*) > (SELECT count(*) FROM t_genes)
+    UNION ALL SELECT 'divisible', 'image size 7, divisor 2'
+    UNION ALL SELECT 'inputs', 'exactly one of counts and embeddings is needed'
+    UNION ALL SELECT 'condition', 'super-resolution needs a condition image size'
+    UNION ALL SELECT 'sequence', 'tokens 9, limit 8'
+    UNION ALL SELECT 'codebook', 'cells ' || count(*) || ', codes 64' FROM supplier HAVING count(*) <> 64
+    UNION ALL SELECT 'image', 'pixel ' || max(greatest(px, py)) || ', image size 7' FROM e_pixels HAVING max(greatest(px, py)) >= 7
+    UNION ALL SELECT 'tokens', 'position ' || max(pos) || ', limit 8' FROM e_tokens HAVING max(pos) >= 8""",
 )
 def _(spark, folder):
     return validate_dataset(
         tables.spots(spark, folder),
-        tables.insitu_long(spark, folder),
+        tables.table(spark, folder, "documents").select(F.col("doc_id").alias("spot_id")),
+        tables.table(spark, folder, "part").select("p_partkey"),
         tables.genes(spark, folder),
-        tables.scrna_long(spark, folder),
-        image_size=18,
-        layers=2,
+        tables.table(spark, folder, "supplier").select("s_suppkey"),
+        image_size=7,
+        layers=1,
         codebook_size=64,
-        seq_len=12,
+        seq_len=8,
         pixels=tables.embedding_pixels(spark, folder),
         tokens=inputs.tokens(spark, folder),
+        has_embeddings=True,
+        superres=True,
     )
 
 

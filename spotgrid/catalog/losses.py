@@ -110,8 +110,9 @@ def _(spark, folder):
 
 @query(
     "epoch_validation",
-    f"""SELECT CAST(step // 13 + 1 AS BIGINT) AS epoch, CAST((step // 13 + 1) * 13 - 1 AS BIGINT) AS last_step, {R6('avg(value)')} AS val_loss
-    FROM (SELECT event_id // 5 AS step, value FROM events) GROUP BY 1, 2""",
+    f"""SELECT * FROM (SELECT CAST(step // 13 + 1 AS BIGINT) AS epoch, CAST((step // 13 + 1) * 13 - 1 AS BIGINT) AS last_step, {R6('avg(value)')} AS val_loss
+    FROM (SELECT event_id // 5 AS step, value FROM events) GROUP BY 1, 2)
+    WHERE last_step <= (SELECT max(event_id // 5) FROM events)""",
 )
 def _(spark, folder):
     losses_by_step = tables.event_metrics(spark, folder, 5).select("step", "value")

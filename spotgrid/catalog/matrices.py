@@ -61,11 +61,11 @@ def _(spark, folder):
 
 @query(
     "num_cells_genes",
-    "SELECT count(DISTINCT cell_idx) AS num_cells, count(DISTINCT gene_idx) AS num_genes FROM t_scrna",
+    "SELECT (SELECT count(*) FROM supplier) AS num_cells, (SELECT count(*) FROM t_genes) AS num_genes",
 )
 def _(spark, folder):
-    counts = tables.scrna_long(spark, folder)
-    return matrix.num_cells(counts).crossJoin(matrix.num_genes(counts))
+    cells = tables.table(spark, folder, "supplier").select("s_suppkey")
+    return matrix.num_cells(cells).crossJoin(F.broadcast(matrix.num_genes(tables.genes(spark, folder))))
 
 
 @query(
@@ -82,6 +82,32 @@ def _(spark, folder):
     return cells.select("gene_idx", "cell_idx", F.col("value").cast("double").alias("value"))
 
 
+@query(
+    "dense_counts",
+    """SELECT CAST(g.page_id AS INTEGER) AS gene_idx, CAST(i AS INTEGER) AS cell_idx, CAST(coalesce(length(c.text), 0) AS DOUBLE) AS value
+    FROM pages g CROSS JOIN (SELECT unnest(range(8)) AS i) LEFT JOIN conversations c ON c.conv_id = g.page_id AND c.turn = i""",
+)
+def _(spark, folder):
+    genes = tables.table(spark, folder, "pages").select(F.col("page_id").cast("int").alias("gene_idx"))
+    turns = tables.table(spark, folder, "conversations")
+    counts = turns.select(
+        F.col("conv_id").cast("int").alias("gene_idx"), F.col("turn").cast("int").alias("cell_idx"), F.length("text").cast("float").alias("count")
+    )
+    dense = matrix.dense_counts(counts, 8, genes, block=3)
+    return dense.select("gene_idx", "cell_idx", F.col("count").cast("double").alias("value"))
+
+
+@query(
+    "dense_context_mask",
+    f"""SELECT CAST(g.p_partkey AS INTEGER) AS gene_idx, CAST(d AS INTEGER) AS channel, d < {DIM} OR s.l_partkey IS NOT NULL AS usable
+    FROM part g CROSS JOIN (SELECT unnest(range({DIM + 1})) AS d) LEFT JOIN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity <> 0) s ON s.l_partkey = g.p_partkey""",
+)
+def _(spark, folder):
+    genes = tables.table(spark, folder, "part").select(F.col("p_partkey").cast("int").alias("gene_idx"))
+    sold = tables.table(spark, folder, "lineitem").select(F.col("l_partkey").cast("int").alias("gene_idx"), F.col("l_quantity").alias("count"))
+    return matrix.dense_context_mask(sold, _emb(spark, folder), genes, DIM)
+
+
 @query("cell_embedding", f"SELECT cell_idx, d, {R6('v')} AS value FROM m_emb")
 def _(spark, folder):
     cells = _emb(spark, folder).select("cell_idx", F.posexplode("vec").alias("d", "v"))

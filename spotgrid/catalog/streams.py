@@ -14,7 +14,7 @@ from spotgrid.streaming import partials
 def _as_files(df, spark):
     """The rows in several files, as they would arrive, and a stream over them."""
     path = shared_folder(spark, "arrivals")
-    df.repartition(6, "ord").write.parquet(path)
+    df.repartition("ord").write.parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 

@@ -14,9 +14,9 @@ DIV_FLOOR = 1e-8
 
 
 def clamp(value: Column, lo: float, hi: float) -> Column:
-    """Clip to [lo, hi]; NULL stays NULL."""
+    """Clip to [lo, hi]; NULL stays NULL and NaN stays NaN."""
     clipped = F.greatest(F.least(value, F.lit(float(hi))), F.lit(float(lo)))
-    return F.when(value.isNotNull(), clipped)
+    return F.when(value.isNotNull(), F.when(F.isnan(value), value.cast("double")).otherwise(clipped))
 
 
 def dim_divisor(layers: int | Column) -> Column:

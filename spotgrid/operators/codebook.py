@@ -36,9 +36,11 @@ def fit_codebook(vectors: DataFrame, k: int = CODES, seed: int = 0, rounds: int
     Code 0 is the blank code for zero vectors, which have no direction; codes
     1 .. k-1 are the plain means of their members, so decoding keeps the scale.
     """
-    usable = vectors.where(any_nonzero(F.col("vec"))).select("vec")
+    if k < 3:
+        raise ValueError("a codebook needs the blank code and two more")
+    usable = vectors.select(known(F.col("vec")).alias("vec")).where(any_nonzero(F.col("vec")))
     features = usable.select("vec", array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("features"))
-    means = KMeans(k=max(k - 1, 2), distanceMeasure="cosine", seed=seed, maxIter=rounds, initSteps=2)
+    means = KMeans(k=k - 1, distanceMeasure="cosine", seed=seed, maxIter=rounds, initSteps=2)
     assigned = means.fit(features).transform(features)
     members = assigned.select((F.col("prediction") + 1).cast("int").alias("code_id"), "vec")
     learned = code_sums(members).select("code_id", F.transform("total", lambda x: x / F.col("n")).alias("vec"))
@@ -47,9 +49,14 @@ def fit_codebook(vectors: DataFrame, k: int = CODES, seed: int = 0, rounds: int
     return blank.unionByName(learned)
 
 
+def known(vec: Column) -> Column:
+    """The vector with missing components (null or NaN) as zero."""
+    return F.transform(vec, lambda x: F.when(x.isNull() | F.isnan(x), F.lit(0.0).cast("double")).otherwise(x.cast("double")))
+
+
 def code_sums(members: DataFrame) -> DataFrame:
-    """``(code_id, n, total)``: count and element-wise sum of the member vectors."""
-    return sum_vectors(members, "code_id")
+    """``(code_id, n, total)``: count and element-wise sum of the member vectors; missing components count as zero."""
+    return sum_vectors(members.withColumn("vec", known(F.col("vec"))), "code_id")
 
 
 def assign_codes(
@@ -57,6 +64,8 @@ def assign_codes(
 ) -> DataFrame:
     """Add ``code_id`` and ``sim``: the code with the highest cosine similarity, ties to the lowest id.
 
+    A missing component (null or NaN) counts as zero.
+
     All pairs are inherent here, so they run as matrix products over Arrow
     batches.  The codebook is broadcast in slices of a checked size and the best
     code so far travels with the row from slice to slice; a codebook beyond the
@@ -84,6 +93,7 @@ def assign_codes(
                     continue
                 vecs = batch.column(names.index("vec")).flatten().to_numpy(zero_copy_only=False)
                 vecs = vecs.astype(np.float64).reshape(batch.num_rows, units.shape[0])
+                vecs = np.where(np.isnan(vecs), 0.0, vecs)
                 vecs = vecs / np.maximum(np.sqrt((vecs * vecs).sum(axis=1, keepdims=True)), 1e-12)
                 code = batch.column(len(names)).to_numpy().copy()
                 sim = batch.column(len(names) + 1).to_numpy().copy()
@@ -148,11 +158,14 @@ def decode_from_ids(
     return tokens.join(side, "token_id").select("sample_id", "pos", F.col("code_vec").alias("vec"))
 
 
-def tokenize(pixels: DataFrame, codebook: DataFrame, image_size: int, layers: int) -> DataFrame:
+def tokenize(
+    pixels: DataFrame, codebook: DataFrame, image_size: int, layers: int, samples: DataFrame | None = None
+) -> DataFrame:
     """Images to ``tokens(sample_id, pos, token_id)``, one per grid cell.
 
     Only blocks that hold a pixel are compared; all others have no direction and
-    take the lowest code id, the blank code of :func:`fit_codebook`.
+    take the lowest code id, the blank code of :func:`fit_codebook`.  With
+    ``samples(sample_id)`` every sample of that table has tokens, blank images too.
     """
     side = grid_side(image_size, layers)
     assigned = assign_codes(patch_vectors(pixels, image_size, layers), codebook)
@@ -162,15 +175,20 @@ def tokenize(pixels: DataFrame, codebook: DataFrame, image_size: int, layers: in
         F.col("code_id").alias("token_id"),
     )
     blank = F.broadcast(codebook.agg(F.min("code_id").alias("blank")))
-    return fill_positions(seen, side * side, blank)
+    return fill_positions(seen, side * side, blank, samples)
 
 
-def fill_positions(seen: DataFrame, seq_len: int, blank: DataFrame) -> DataFrame:
-    """Complete every sample to ``seq_len`` positions with the one-row ``blank`` token."""
+def fill_positions(seen: DataFrame, seq_len: int, blank: DataFrame, samples: DataFrame | None = None) -> DataFrame:
+    """Complete every sample (of ``samples``, if given) to ``seq_len`` positions with the one-row ``blank`` token."""
     entry = F.struct(F.col("pos").alias("pos"), F.col("token_id").alias("item"))
-    grouped = seen.groupBy("sample_id").agg(F.collect_list(entry).alias("entries")).crossJoin(blank)
+    grouped = seen.groupBy("sample_id").agg(F.collect_list(entry).alias("entries"))
+    if samples is not None:
+        every = samples.select(F.col("sample_id").cast("long").alias("sample_id")).distinct()
+        grouped = every.join(grouped, "sample_id", "left")
+    none = F.array().cast("array<struct<pos:int,item:int>>")
+    filled = grouped.crossJoin(blank).withColumn("entries", F.coalesce("entries", none))
     dense = fill_gaps(F.col("entries"), seq_len, F.col("blank"))
-    return grouped.select("sample_id", F.posexplode(dense).alias("pos", "token_id"))
+    return filled.select("sample_id", F.posexplode(dense).alias("pos", "token_id"))
 
 
 def detokenize(

@@ -286,16 +286,16 @@ class Codec:
     def side(self) -> int:
         return grid_side(self.image_size, self.layers)
 
-    def encode(self, pixels: DataFrame) -> DataFrame:
-        return tokenize(pixels, self.codebook, self.image_size, self.layers)
+    def encode(self, pixels: DataFrame, samples: DataFrame | None = None) -> DataFrame:
+        return tokenize(pixels, self.codebook, self.image_size, self.layers, samples)
 
     def decode(self, tokens: DataFrame) -> DataFrame:
         return detokenize(tokens, self.codebook, self.image_size, self.layers, self.codes)
 
 
-def lowres_tokens(pixels: DataFrame, in_size: int, codec: Codec) -> DataFrame:
-    """Resize images to the codec's size and encode them."""
-    return codec.encode(resize_nearest(pixels, in_size, codec.image_size))
+def lowres_tokens(pixels: DataFrame, in_size: int, codec: Codec, samples: DataFrame | None = None) -> DataFrame:
+    """Resize images to the codec's size and encode them; of every sample, if given."""
+    return codec.encode(resize_nearest(pixels, in_size, codec.image_size), samples)
 
 
 def lowres_conditions(samples: DataFrame, low: DataFrame, low_side: int, side: int, codes: int) -> DataFrame:
@@ -330,18 +330,9 @@ def generate_two_stage(
     cond_codec = cond_codec or base_codec
     first = Decoding(base_codec.side, base_codec.codes, seed, timesteps, **settings)
     low_image = cut_lineage(base_codec.decode(generate(samples, base, first)))
-    low = lowres_tokens(low_image, base_codec.image_size, cond_codec)
     # A sample whose low-resolution image is blank has no pixels; it keeps the blank token everywhere.
-    low = _with_blank_samples(low, samples, cond_codec)
+    low = lowres_tokens(low_image, base_codec.image_size, cond_codec, samples)
     conditions = lowres_conditions(samples, low, cond_codec.side, superres_codec.side, cond_codec.codes)
     second = Decoding(superres_codec.side, superres_codec.codes, seed + 1, superres_timesteps or timesteps, **settings)
     image = superres_codec.decode(generate(conditions, superres, second))
     return (image, low_image) if return_lowres else image
-
-
-def _with_blank_samples(low: DataFrame, samples: DataFrame, codec: Codec) -> DataFrame:
-    blank = F.broadcast(codec.codebook.agg(F.min("code_id").alias("token_id")))
-    missing = samples.select("sample_id").join(low.select("sample_id").distinct(), "sample_id", "left_anti")
-    positions = F.explode(F.sequence(F.lit(0), F.lit(codec.side * codec.side - 1)))
-    filled = missing.crossJoin(blank).select("sample_id", positions.alias("pos"), "token_id")
-    return low.unionByName(filled)

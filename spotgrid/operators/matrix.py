@@ -17,41 +17,46 @@ EMBED_DIM = 18
 MAX_VECTOR = 1 << 22
 
 
-def num_cells(counts: DataFrame) -> DataFrame:
-    """One-row table ``num_cells``."""
-    return counts.agg(F.countDistinct("cell_idx").alias("num_cells"))
+def num_cells(cells: DataFrame) -> DataFrame:
+    """One-row table ``num_cells``: rows of the cell table, cells without any count included."""
+    return cells.agg(F.count(F.lit(1)).alias("num_cells"))
 
 
-def num_genes(counts: DataFrame) -> DataFrame:
-    """One-row table ``num_genes``."""
-    return counts.agg(F.countDistinct("gene_idx").alias("num_genes"))
+def num_genes(genes: DataFrame) -> DataFrame:
+    """One-row table ``num_genes``: rows of the gene table, genes without any count included."""
+    return genes.agg(F.count(F.lit(1)).alias("num_genes"))
 
 
-def gene_vector_blocks(counts: DataFrame, cells: int, block: int) -> DataFrame:
+def gene_vector_blocks(counts: DataFrame, cells: int, block: int, genes: DataFrame | None = None) -> DataFrame:
     """Count vectors cut into blocks of cells: ``(gene_idx, block, counts)``.
 
     A group has at most ``block`` entries, however many cells there are.  A block
-    without entries is all zero and absent.
+    without entries is all zero; it is absent unless ``genes(gene_idx)`` asks for
+    all blocks of all its genes.
     """
     pos = (F.col("cell_idx") % F.lit(block)).cast("int")
     entry = F.struct(pos.alias("pos"), F.col("count").cast("float").alias("item"))
     at = F.floor(F.col("cell_idx") / F.lit(block)).cast("int")
     grouped = counts.groupBy("gene_idx", at.alias("block")).agg(F.collect_list(entry).alias("entries"))
+    if genes is not None:
+        numbers = F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-cells // block) - 1))))
+        grouped = genes.select("gene_idx", numbers.alias("block")).join(grouped, ["gene_idx", "block"], "left")
+        grouped = grouped.withColumn("entries", F.coalesce("entries", F.array().cast("array<struct<pos:int,item:float>>")))
     size = F.least(F.lit(block), F.lit(cells) - F.col("block") * F.lit(block))
     return grouped.select("gene_idx", "block", fill_gaps(F.col("entries"), size, F.lit(0.0).cast("float")).alias("counts"))
 
 
-def gene_vectors(counts: DataFrame, cells: int) -> DataFrame:
-    """Whole count vector per gene in cell order: ``(gene_idx, counts)``."""
+def gene_vectors(counts: DataFrame, cells: int, genes: DataFrame | None = None) -> DataFrame:
+    """Whole count vector per gene in cell order: ``(gene_idx, counts)``; with ``genes``, of every gene."""
     if cells > MAX_VECTOR:
         raise ValueError(f"{cells} cells do not fit one row; use gene_vector_blocks")
-    return gene_vector_blocks(counts, cells, cells).select("gene_idx", "counts")
+    return gene_vector_blocks(counts, cells, cells, genes).select("gene_idx", "counts")
 
 
-def dense_counts(counts: DataFrame, cells: int, block: int = 4096) -> DataFrame:
-    """Counts with explicit zero rows inside every block that has an entry."""
-    blocks = gene_vector_blocks(counts, cells, min(block, cells))
+def dense_counts(counts: DataFrame, cells: int, genes: DataFrame, block: int = 4096) -> DataFrame:
+    """``(gene_idx, cell_idx, count)`` of every cell of every gene, zeros included."""
     size = min(block, cells)
+    blocks = gene_vector_blocks(counts, cells, size, genes)
     exploded = blocks.select("gene_idx", "block", F.posexplode("counts").alias("pos", "count"))
     return exploded.select("gene_idx", (F.col("block") * size + F.col("pos")).cast("int").alias("cell_idx"), "count")
 
@@ -95,6 +100,19 @@ def context_mask(context: DataFrame) -> DataFrame:
     return values.groupBy("gene_idx", "channel").agg(F.bool_or(F.col("v") != 0).alias("usable"))
 
 
+def dense_context_mask(counts: DataFrame, cell_emb: DataFrame, genes: DataFrame, dim: int) -> DataFrame:
+    """:func:`context_mask` over every cell of every gene, without making the dense context.
+
+    All genes share the embedding channels; the count channel, numbered ``dim``, is
+    usable if the gene has a count that is not zero.
+    """
+    shared = context_mask(cell_emb.select(F.lit(0).alias("gene_idx"), "vec")).select("channel", "usable")
+    some = counts.where(F.col("count") != 0).select("gene_idx").distinct().withColumn("_some", F.lit(True))
+    own = genes.select("gene_idx").join(some, "gene_idx", "left")
+    own = own.select("gene_idx", F.lit(dim).alias("channel"), F.coalesce("_some", F.lit(False)).alias("usable"))
+    return genes.select("gene_idx").crossJoin(bounded(shared, dim, 16)).unionByName(own)
+
+
 def embed_tokens(
     tokens: DataFrame, token_emb: DataFrame, pos_emb: DataFrame, vocab: int, seq_len: int, dim: int
 ) -> DataFrame:

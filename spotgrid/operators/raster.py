@@ -68,11 +68,12 @@ def rasterize_points(points: DataFrame, image_size: int, key: str = "gene") -> D
     return last.select(key, "px", "py", value.alias("value")).where(F.col("value") != 0)
 
 
-def dense_images(pixels: DataFrame, height: int, width: int | None = None) -> DataFrame:
+def dense_images(pixels: DataFrame, height: int, width: int | None = None, genes: DataFrame | None = None) -> DataFrame:
     """One row-major ``ARRAY<FLOAT>`` per gene, zeros filled in.
 
     Two bounded steps: at most ``width`` entries per image row, then at most
-    ``height`` rows per image.
+    ``height`` rows per image.  With ``genes(gene_idx)`` every gene of that table
+    has an image, blank if it has no pixel; else genes with pixels have.
     """
     width = width or height
     zero = F.lit(0.0).cast("float")
@@ -81,7 +82,11 @@ def dense_images(pixels: DataFrame, height: int, width: int | None = None) -> Da
     blank = F.array_repeat(zero, width)
     entry = F.struct(F.col("px").alias("pos"), F.col("row").alias("item"))
     images = rows.groupBy("gene_idx").agg(fill_gaps(F.collect_list(entry), height, blank).alias("rows"))
-    return images.select("gene_idx", F.flatten("rows").alias("image"))
+    images = images.select("gene_idx", F.flatten("rows").alias("image"))
+    if genes is None:
+        return images
+    every = genes.select("gene_idx").join(images, "gene_idx", "left")
+    return every.select("gene_idx", F.coalesce("image", F.array_repeat(zero, height * width)).alias("image"))
 
 
 def sparse_pixels(images: DataFrame, width: int) -> DataFrame:
@@ -168,6 +173,12 @@ def repeat_channels(pixels: DataFrame, n: int = 3) -> DataFrame:
     return pixels.withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
+def renumbered_counts(counts: DataFrame, insitu_genes: DataFrame, scrna_genes: DataFrame) -> DataFrame:
+    """Counts under the in-situ index of the gene with the same name; names of one side only go."""
+    renumber = scrna_genes.select(F.col("gene_idx").alias("from_idx"), "gene").join(insitu_genes.select("gene_idx", "gene"), "gene")
+    return counts.withColumnRenamed("gene_idx", "from_idx").join(renumber, "from_idx").select("gene_idx", "cell_idx", "count")
+
+
 def paired_samples(counts: DataFrame, pixels: DataFrame, insitu_genes: DataFrame, scrna_genes: DataFrame | None = None) -> DataFrame:
     """For each in-situ gene its count entries and its pixels, in sparse form.
 
@@ -178,8 +189,7 @@ def paired_samples(counts: DataFrame, pixels: DataFrame, insitu_genes: DataFrame
     if scrna_genes is None:
         kept = counts.join(insitu_genes.select("gene_idx"), "gene_idx", "left_semi")
     else:
-        renumber = scrna_genes.select(F.col("gene_idx").alias("from_idx"), "gene").join(insitu_genes, "gene")
-        kept = counts.withColumnRenamed("gene_idx", "from_idx").join(renumber, "from_idx")
+        kept = renumbered_counts(counts, insitu_genes, scrna_genes)
     vector = kept.where(F.col("count") != 0).select(
         "gene_idx",
         F.lit("count").alias("part"),
@@ -198,7 +208,10 @@ def paired_samples(counts: DataFrame, pixels: DataFrame, insitu_genes: DataFrame
 
 
 def paired_arrays(vectors: DataFrame, images: DataFrame) -> DataFrame:
-    """``samples(gene_idx, counts, image)`` from dense vectors and dense images."""
+    """``samples(gene_idx, counts, image)`` from dense vectors and dense images.
+
+    Sides made with the same ``genes`` table hold every gene, so none is lost here.
+    """
     return vectors.join(images, "gene_idx").select("gene_idx", "counts", "image")
 
 

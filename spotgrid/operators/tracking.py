@@ -33,13 +33,16 @@ def epoch_length(batch_size: int, batches: int, unit: str = "samples") -> int:
 def epoch_validation(losses: DataFrame, batch_size: int, batches: int, unit: str = "samples") -> DataFrame:
     """``(epoch, last_step, val_loss)`` from validation batch losses ``(step, value)``.
 
-    Epochs count from 1 and close every ``epoch_length`` steps; the validation
-    loss is the plain mean over batch losses, so a short batch weighs as much.
+    Epochs count from 1 and close every ``epoch_length`` steps; steps after the
+    last one that closed report nothing.  The validation loss is the plain mean
+    over batch losses, so a short batch weighs as much.
     """
     period = epoch_length(batch_size, batches, unit)
+    last = F.broadcast(losses.agg(F.max("step").alias("_last")))
     epoch = (F.floor(F.col("step") / F.lit(period)) + 1).cast("long")
     means = losses.groupBy(epoch.alias("epoch")).agg(F.avg("value").alias("val_loss"))
-    return means.select("epoch", (F.col("epoch") * F.lit(period) - 1).alias("last_step"), "val_loss")
+    closed = means.select("epoch", (F.col("epoch") * F.lit(period) - 1).alias("last_step"), "val_loss").crossJoin(last)
+    return closed.where(F.col("last_step") <= F.col("_last")).drop("_last")
 
 
 def ema_by_key(

@@ -12,9 +12,10 @@ def _violation(row: DataFrame, check: str, failed: str, detail: str) -> DataFram
 
 def validate_dataset(
     spots: DataFrame,
-    insitu: DataFrame,
+    count_rows: DataFrame,
     genes: DataFrame,
-    scrna: DataFrame,
+    matrix_genes: DataFrame,
+    cells: DataFrame,
     image_size: int,
     layers: int,
     codebook_size: int | None = None,
@@ -28,17 +29,18 @@ def validate_dataset(
 ) -> DataFrame:
     """``violations(check, detail)``: one row per failed check, none if all hold.
 
-    Every check is a one-row aggregate with partial sums; nothing is collected.
+    ``count_rows``, ``matrix_genes`` and ``cells`` have a row per line or column of
+    the files, counts or not.  Every check is a one-row aggregate with partial
+    sums; nothing is collected.
     """
-    located = spots.agg(F.count(F.lit(1)).alias("spots"), F.coalesce(F.max("spot_id"), F.lit(-1)).alias("top"))
-    counted = insitu.agg(F.coalesce(F.max("spot_id"), F.lit(-1)).alias("top_count"))
-    pair = located.crossJoin(F.broadcast(counted))
-    found = _violation(
-        pair, "spots", "top_count > top or spots != top + 1", "concat('spots ', spots, ', highest count row ', top_count)"
-    )
-    listed = genes.agg(F.count(F.lit(1)).alias("genes"))
-    rows = scrna.agg(F.coalesce(F.max("gene_idx") + 1, F.lit(0)).alias("gene_rows"))
-    named = listed.crossJoin(F.broadcast(rows))
+
+    def total(rows: DataFrame, name: str) -> DataFrame:
+        return rows.agg(F.count(F.lit(1)).alias(name))
+
+    pair = total(spots, "spots").crossJoin(F.broadcast(total(count_rows, "count_rows")))
+    found = _violation(pair, "spots", "spots != count_rows", "concat('spots ', spots, ', count rows ', count_rows)")
+    listed = total(genes, "genes")
+    named = listed.crossJoin(F.broadcast(total(matrix_genes, "gene_rows")))
     found = found.unionByName(
         _violation(named, "genes", "genes > gene_rows", "concat('genes ', genes, ', matrix rows ', gene_rows)")
     )
@@ -58,9 +60,8 @@ def validate_dataset(
         if failed:
             found = found.unionByName(one.select(F.lit(check).alias("check"), F.lit(detail).alias("detail")))
     if codebook_size is not None:
-        cells = scrna.agg(F.coalesce(F.max("cell_idx") + 1, F.lit(0)).alias("cells"))
         found = found.unionByName(
-            _violation(cells, "codebook", f"cells != {codebook_size}", f"concat('cells ', cells, ', codes {codebook_size}')")
+            _violation(total(cells, "cells"), "codebook", f"cells != {codebook_size}", f"concat('cells ', cells, ', codes {codebook_size}')")
         )
     if pixels is not None:
         edge = pixels.agg(F.coalesce(F.max(F.greatest("px", "py")), F.lit(-1)).alias("edge"))

@@ -13,29 +13,37 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spotgrid.plans.session import cut_lineage
+from spotgrid.plans.session import pin_splits, shared_folder
+from spotgrid.plans.sizing import bounded
 
 # File names of a data set.
 INSITU_FILE = "Insitu_count.txt"
 LOCATION_FILE = "Locations.txt"
 SCRNA_FILE = "scRNA_count_sorted.csv"
 
+# Upper bound on the bytes of one row of the block table.
+BLOCK_ROW_BYTES = 512
+
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(file_no, line, total_line, value)`` of every non-blank line, counted from 0 in file order.
 
-    A scan gives each line an id that grows by one inside its file block; blocks
-    are then put in order by (file, offset) and shifted by the lines before them.
-    Only the small block table is ordered in one task.  The tagged lines are
-    materialised first, because a second scan may be split differently when the
-    number of executors changes.
+    A scan gives each line an id that grows by one inside its file block.  A first
+    pass counts the lines of every block; blocks are put in order by (file, offset)
+    and shifted by the lines before them, and the second pass looks its block up.
+    No text is written or shuffled, and only the block table is ordered in one
+    task.  Splits are pinned for the session, and a line outside the range that its
+    block had in the first pass raises.
     """
+    pin_splits(spark)
     text = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
     )
-    solid = text.where(F.col("value").rlike("\\S"))
-    kept = cut_lineage(solid.withColumn("_id", F.monotonically_increasing_id()))
-    blocks = kept.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_lo"))
+    kept = text.where(F.col("value").rlike("\\S")).withColumn("_id", F.monotonically_increasing_id())
+    counted = shared_folder(spark, "blocks")
+    kept.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_lo")).write.parquet(counted)
+    blocks = spark.read.parquet(counted)
+    n_blocks = blocks.count()
     in_file = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_in_file", F.coalesce(F.sum("_n").over(in_file), F.lit(0)))
     files = blocks.groupBy("_file").agg(F.sum("_n").alias("_total"))
@@ -47,12 +55,27 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"),
     )
     shift = (F.col("_in_file") - F.col("_lo")).alias("_shift")
-    offsets = blocks.join(files, "_file").select("_file", "_block", shift, "file_no", "_before")
-    line = F.col("_id") + F.col("_shift")
-    joined = kept.join(offsets, ["_file", "_block"])
+    offsets = blocks.join(files, "_file").select("_file", "_block", "_lo", "_n", shift, "file_no", "_before")
+    joined = kept.join(bounded(offsets, n_blocks, BLOCK_ROW_BYTES), ["_file", "_block"], "left")
+    same = F.coalesce((F.col("_id") >= F.col("_lo")) & (F.col("_id") < F.col("_lo") + F.col("_n")), F.lit(False))
+    moved = F.raise_error(F.lit("the files were split differently in the second pass")).cast("long")
+    line = F.when(same, F.col("_id") + F.col("_shift")).otherwise(moved)
     return joined.select("file_no", line.alias("line"), (line + F.col("_before")).alias("total_line"), "value")
 
 
+def first_line(spark: SparkSession, path: str) -> DataFrame:
+    """One-row table ``value``: the first non-blank line of the first file, by name, that has one.
+
+    Only a file's first block is asked, which ``take`` reads alone; one line comes to the driver.
+    """
+    for name in sorted(spark.read.text(path).inputFiles()):
+        lines = spark.read.text(name).where((F.col("_metadata.file_block_start") == 0) & F.col("value").rlike("\\S"))
+        found = lines.select("value").take(1)
+        if found:
+            return spark.createDataFrame([(found[0]["value"],)], "value string")
+    return spark.createDataFrame([], "value string")
+
+
 def _fields(line: Column, sep: str) -> Column:
     """Fields of a line; quoted fields may hold the separator."""
     mark = f"\\Q{sep}\\E"
@@ -68,9 +91,8 @@ def _fields(line: Column, sep: str) -> Column:
 def _with_header(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The first header line, and the numbered body lines ``(row, value)`` without the header of each file."""
     lines = numbered_lines(spark, path)
-    header = lines.where("file_no = 0 and line = 0").select("value")
     row = F.col("total_line") - F.col("file_no") - 1
-    return header, lines.where("line > 0").select(row.alias("row"), "value")
+    return first_line(spark, path), lines.where("line > 0").select(row.alias("row"), "value")
 
 
 def _named(header: DataFrame, sep: str, skip: int, index: str, name: str) -> DataFrame:
@@ -83,14 +105,17 @@ def gene_index(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
 
     Serves both directions: name to index and index to name.
     """
-    first = spark.read.text(path).where(F.col("value").rlike("\\S")).limit(1)
-    return _named(first, sep, 0, "gene_idx", "gene")
+    return _named(first_line(spark, path), sep, 0, "gene_idx", "gene")
 
 
 def header_width(spark: SparkSession, path: str, sep: str, skip: int = 0) -> DataFrame:
     """One-row table ``width``: number of header fields after ``skip`` index columns."""
-    first = spark.read.text(path).where(F.col("value").rlike("\\S")).limit(1)
-    return first.select((F.size(_fields(F.col("value"), sep)) - F.lit(skip)).alias("width"))
+    return first_line(spark, path).select((F.size(_fields(F.col("value"), sep)) - F.lit(skip)).alias("width"))
+
+
+def _first_field(line: Column, sep: str) -> Column:
+    """The first field alone; the rest of a line without quotes is not split."""
+    return F.when(line.startswith('"'), _fields(line, sep)[0]).otherwise(F.split(line, f"\\Q{sep}\\E", 2)[0])
 
 
 def _exploded(body: DataFrame, width: DataFrame, sep: str, skip: int, keep_zeros: bool) -> DataFrame:
@@ -115,7 +140,10 @@ def read_wide_counts(
     The row number is the spot, the column number the gene; blank cells are NULL.
     Repeated header names stay distinct genes.
     """
-    header, body = _with_header(spark, path)
+    return _wide_counts(*_with_header(spark, path), sep, keep_zeros)
+
+
+def _wide_counts(header: DataFrame, body: DataFrame, sep: str, keep_zeros: bool) -> tuple[DataFrame, DataFrame]:
     width = header.select(F.size(_fields(F.col("value"), sep)).alias("width"))
     cells = _exploded(body, width, sep, 0, keep_zeros)
     counts = cells.select(F.col("row").cast("long").alias("spot_id"), F.col("col").alias("gene_idx"), "value")
@@ -145,13 +173,13 @@ def read_count_matrix(
     counts = cells.select(
         F.col("row").cast("int").alias("gene_idx"), F.col("col").alias("cell_idx"), F.col("value").alias("count")
     )
-    genes = body.select(F.col("row").cast("int").alias("gene_idx"), _fields(F.col("value"), sep)[0].alias("gene"))
+    genes = body.select(F.col("row").cast("int").alias("gene_idx"), _first_field(F.col("value"), sep).alias("gene"))
     return counts, genes, _named(header, sep, 1, "cell_idx", "cell")
 
 
 @dataclass(frozen=True)
 class DataSet:
-    """The tables of one data set."""
+    """The tables of one data set; ``count_rows(spot_id)`` has a row per line of the spots-by-genes file."""
 
     insitu: DataFrame
     genes: DataFrame
@@ -159,12 +187,15 @@ class DataSet:
     scrna: DataFrame
     scrna_genes: DataFrame
     cells: DataFrame
+    count_rows: DataFrame
 
 
 def load_dataset(spark: SparkSession, folder: str) -> DataSet:
     """Read the three fixed file names of a folder, with or without a trailing slash."""
     base = folder.rstrip("/")
-    insitu, genes = read_wide_counts(spark, f"{base}/{INSITU_FILE}")
+    header, body = _with_header(spark, f"{base}/{INSITU_FILE}")
+    insitu, genes = _wide_counts(header, body, "\t", False)
+    count_rows = body.select(F.col("row").cast("long").alias("spot_id"))
     spots = read_locations(spark, f"{base}/{LOCATION_FILE}")
     scrna, scrna_genes, cells = read_count_matrix(spark, f"{base}/{SCRNA_FILE}")
-    return DataSet(insitu, genes, spots, scrna, scrna_genes, cells)
+    return DataSet(insitu, genes, spots, scrna, scrna_genes, cells, count_rows)

@@ -90,14 +90,12 @@ def test_load_dataset(spark, tmp_path, slash):
 def test_checks(spark):
     from spotgrid.sources.checks import validate_dataset
 
-    spots = spark.createDataFrame([(0, 0.0, 0.0), (1, 1.0, 1.0)], "spot_id long, x double, y double")
-    insitu = spark.createDataFrame([(2, 0, 1.0)], "spot_id long, gene_idx int, value float")
-    genes = spark.createDataFrame([(0, "a"), (1, "b")], "gene_idx int, gene string")
-    scrna = spark.createDataFrame([(0, 3, 1.0)], "gene_idx int, cell_idx int, count float")
+    spots = spark.createDataFrame([(i, 0.0, 0.0) for i in range(4)], "spot_id long, x double, y double")
+    genes = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "gene_idx int, gene string")
+    cells = spark.range(4)
     found = validate_dataset(
-        spots, insitu, genes, scrna, 16, 2, codebook_size=4, has_embeddings=True, superres=True, seq_len=16
+        spots, spark.range(2), genes, genes.limit(2), cells, 16, 2, codebook_size=5, has_embeddings=True, superres=True, seq_len=16
     )
-    assert [r[0] for r in rows(found)] == ["condition", "genes", "inputs", "spots"]
-    good = insitu.selectExpr("cast(1 as long) as spot_id", "gene_idx", "value")
-    fine = validate_dataset(spots, good, genes.where("gene_idx = 0"), scrna, 16, 2, codebook_size=4)
+    assert [r[0] for r in rows(found)] == ["codebook", "condition", "genes", "inputs", "spots"]
+    fine = validate_dataset(spots, spark.range(4), genes, genes, cells, 16, 2, codebook_size=4)
     assert fine.count() == 0

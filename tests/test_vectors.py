@@ -137,5 +137,7 @@ def test_gene_vectors_and_blocks(spark):
     assert blocks == {(0, 0): [0, 5, 0, 0], (0, 1): [0, 0, 2], (1, 0): [0, 0, 0, 1]}
     with pytest.raises(ValueError):
         matrix.gene_vectors(counts, matrix.MAX_VECTOR + 1)
-    dense = matrix.dense_counts(counts, 7, block=4)
-    assert dense.count() == 11 and dense.where("count != 0").count() == 3
+    genes = spark.createDataFrame([(0,), (1,), (2,)], "gene_idx int")
+    dense = matrix.dense_counts(counts, 7, genes, block=4)
+    assert dense.count() == 21 and dense.where("count != 0").count() == 3 and dense.where("gene_idx = 2").count() == 7
+    assert {r["gene_idx"]: list(r["counts"]) for r in matrix.gene_vectors(counts, 7, genes).collect()}[2] == [0] * 7
