@@ -225,7 +225,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     """``doc_id, text_key, fp, label, component_id`` per row of ``doc_id, text``; ``text_key`` is a hash of the text."""
     prints = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_key"), fingerprints(F.col("text"), shingle).alias("fp"))
     prints = stored(prints, "simhash-prints")
-    return prints.join(components(prints, radius), "fp").select("doc_id", "text_key", "fp", "label", "component_id")
+    # Stored, so that this join stands alone and Spark can split a fingerprint of many rows.
+    return prints.join(stored(components(prints, radius), "simhash-components"), "fp").select("doc_id", "text_key", "fp", "label", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
