@@ -23,8 +23,12 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones among them, scores at its threshold or more."""
-    return quality_crf.keep_good(docs, table(spark, sf_dir, "labels"))
+    """Documents that the classifier scores at its threshold or more.
+
+    It is fitted on labelled rows of the whole table: the rules before this stage
+    leave hardly any bad example to learn from.
+    """
+    return quality_crf.keep_good(docs, table(spark, sf_dir, "labels"), taught_by=table(spark, sf_dir, "documents"))
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -235,9 +235,13 @@ def score_texts(model: Model, text: Column) -> Column:
     return scored(text)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` scored ``threshold`` or more, with their columns and nothing else."""
-    return docs.where(score_texts(train(docs, labels), F.col("text")) >= threshold)
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, taught_by: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` scored ``threshold`` or more, with their columns and nothing else.
+
+    The labelled texts come from ``taught_by``, or else from ``docs``.
+    """
+    model = train(docs if taught_by is None else taught_by, labels)
+    return docs.where(score_texts(model, F.col("text")) >= threshold)
 
 
 @query("op5_quality_classifier")
