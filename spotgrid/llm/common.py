@@ -40,5 +40,5 @@ def word_count(text: Column) -> Column:
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table to the shared folder and read it back: worked out once, safe when executors are lost."""
     path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
