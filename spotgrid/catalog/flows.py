@@ -51,37 +51,35 @@ part(
     f"""SELECT sample_id, cond, rk < trunc(CAST(0.75 AS DOUBLE) * n) AS train FROM (SELECT sample_id, cond, count(*) OVER () AS n,
     row_number() OVER (ORDER BY {U(5, 'sample_id')}, sample_id) - 1 AS rk FROM e_cond)""",
 )
-part("v_coarse", "SELECT sample_id, pos, token_id % 4 AS token_id FROM e_tokens")
-part("v_seen", "SELECT cond, pos, token_id, count(*) AS n FROM v_coarse JOIN v_split USING (sample_id) WHERE train GROUP BY 1, 2, 3")
-part("v_prior", "SELECT token_id, sum(n) / (SELECT sum(n) FROM v_seen) AS p FROM v_seen GROUP BY 1")
-part("v_cond", "SELECT cond, pos, token_id, ln(n + p) AS logit FROM v_seen JOIN v_prior USING (token_id)")
-part("v_null", "SELECT pos, token_id, ln(n + p) AS logit FROM (SELECT pos, token_id, sum(n) AS n FROM v_seen GROUP BY 1, 2) JOIN v_prior USING (token_id)")
-part(
-    "v_guided",
-    """SELECT c.cond, pos, token_id, u.logit + (c.logit - u.logit) * 1.5 AS logit FROM v_cond c JOIN v_null u USING (pos, token_id)
-    UNION ALL SELECT -1, pos, token_id, logit FROM v_null""",
-)
+part("v_seen", "SELECT cond, pos, token_id, count(*) AS n FROM e_tokens JOIN v_split USING (sample_id) WHERE train GROUP BY 1, 2, 3")
+part("v_null", "SELECT pos, token_id, sum(n) AS n FROM v_seen GROUP BY 1, 2")
+part("v_vocab", f"SELECT CAST(unnest(range({inputs.CODES})) AS INTEGER) AS token_id")
+part("v_prior", f"SELECT token_id, (coalesce(sum(n), 0) + 1) / ((SELECT sum(n) FROM v_seen) + {inputs.CODES}) AS p FROM v_vocab LEFT JOIN v_seen USING (token_id) GROUP BY 1")
 part(
     "v_hidden",
     f"""SELECT sample_id, pos, token_id, cond FROM (SELECT sample_id, pos, token_id, cond, count(*) OVER (PARTITION BY sample_id) AS n,
     row_number() OVER (PARTITION BY sample_id ORDER BY {U(5, 'sample_id', 'pos')}, pos) - 1 AS rk
-    FROM v_coarse JOIN v_split USING (sample_id) WHERE NOT train) WHERE rk < greatest(round_even(cos({U(5, 'sample_id')} * pi() * 0.5) * n, 0), 1.0)""",
+    FROM e_tokens JOIN v_split USING (sample_id) WHERE NOT train) WHERE rk < greatest(round_even(cos({U(5, 'sample_id')} * pi() * 0.5) * n, 0), 1.0)""",
+)
+part(
+    "v_dense",
+    """SELECT h.sample_id, h.pos, h.token_id AS label, t.token_id, ln(coalesce(u.n, 0) + p) AS bare,
+    ln(CASE WHEN k.cond IS NULL THEN coalesce(u.n, 0) ELSE coalesce(c.n, 0) END + p) AS own
+    FROM v_hidden h CROSS JOIN v_prior t LEFT JOIN (SELECT DISTINCT cond, pos FROM v_seen) k ON k.cond = h.cond AND k.pos = h.pos
+    LEFT JOIN v_seen c ON c.cond = h.cond AND c.pos = h.pos AND c.token_id = t.token_id LEFT JOIN v_null u ON u.pos = h.pos AND u.token_id = t.token_id""",
 )
 part(
     "v_rated",
-    """SELECT h.sample_id, h.pos, max(g.logit) FILTER (WHERE g.token_id = h.token_id) AS hit, ln(sum(exp(g.logit))) AS logz
-    FROM (SELECT v_hidden.*, CASE WHEN k.cond IS NULL THEN -1 ELSE v_hidden.cond END AS known FROM v_hidden
-          LEFT JOIN (SELECT DISTINCT cond, pos FROM v_cond) k ON k.cond = v_hidden.cond AND k.pos = v_hidden.pos) h
-    LEFT JOIN v_guided g ON g.cond = h.known AND g.pos = h.pos GROUP BY 1, 2""",
+    """SELECT sample_id, pos, ln(sum(exp(bare + (own - bare) * 1.5))) - max(CASE WHEN token_id = label THEN bare + (own - bare) * 1.5 END) AS ce
+    FROM v_dense GROUP BY 1, 2""",
 )
 
 
-@query("train_scorer", f"SELECT least({R6('avg(CASE WHEN hit IS NULL THEN 1e9 ELSE logz - hit END)')}, 1e6) AS loss FROM v_rated")
+@query("train_scorer", f"SELECT {R6('avg(ce)')} AS loss FROM v_rated")
 def _(spark, folder):
-    tokens = cut_lineage(inputs.tokens(spark, folder).withColumn("token_id", F.col("token_id") % 4))
-    conditions = tables.embedding_conditions(spark, folder)
-    _, loss = train_scorer(tokens, conditions, 4, 1.0, valid_frac=0.25, seed=5, scale=1.5)
-    return loss.select(F.least(r6("loss"), F.lit(1e6)).alias("loss"))
+    tokens = cut_lineage(inputs.tokens(spark, folder))
+    _, loss = train_scorer(tokens, tables.embedding_conditions(spark, folder), inputs.CODES, 1.0, valid_frac=0.25, seed=5, scale=1.5)
+    return loss.select(r6("loss").alias("loss"))
 
 
 @query("expression_generation")
@@ -91,9 +89,10 @@ def _(spark, folder):
     counts = cut_lineage(tables.scrna_long(spark, folder))
     cells = tables.table(spark, folder, "supplier").select(F.col("s_suppkey").cast("int").alias("cell_idx"))
     weights = matrix.cell_embedding(cells, 8, 9).withColumnRenamed("vec", "w")
-    samples = cut_lineage(gene_conditions(counts, weights, 4, seed=2))
+    genes = tables.genes(spark, folder)
+    samples = cut_lineage(gene_conditions(counts, weights, 4, seed=2, genes=genes))
     codec = generating.Codec(cut_lineage(fit_codebook(patch_vectors(pixels, 16, 2), 24, seed=3)), 24, 16, 2)
-    scorer = scoring.fit_token_scorer(cut_lineage(codec.encode(pixels)), samples)
-    run = generating.Decoding(codec.side, codec.codes, seed=6, timesteps=5)
+    scorer = scoring.fit_token_scorer(cut_lineage(codec.encode(pixels, samples)), samples)
+    run = generating.Decoding(codec.side, codec.codes, seed=6)
     image = codec.decode(generating.generate(samples, scorer, run))
     return image.select("gene_idx", "px", "py", r6("value").alias("value"))

@@ -203,9 +203,33 @@ def _(spark, folder):
     return out.select("step", "epoch", "batch_id", "slot", "c_custkey")
 
 
-@query("fit_codebook")
+FIT_ROUNDS = 4
+part(
+    "c_codes0",
+    f"""SELECT row_number() OVER (ORDER BY d, gene_idx, prow, pcol) AS code_id, vec FROM (SELECT {U(7, 'gene_idx', 'prow', 'pcol')} AS d, gene_idx, prow, pcol,
+    [v0, v1, v2, v3] AS vec FROM e_patches WHERE v0 <> 0 OR v1 <> 0 OR v2 <> 0 OR v3 <> 0 ORDER BY 1, 2, 3, 4 LIMIT 15)""",
+)
+for _round in range(FIT_ROUNDS):
+    part(
+        f"c_near{_round}",
+        f"""SELECT * FROM (SELECT p.*, c.code_id, row_number() OVER (PARTITION BY gene_idx, prow, pcol
+        ORDER BY round(list_cosine_similarity([v0, v1, v2, v3], c.vec), 9) DESC, c.code_id) AS rn FROM e_patches p CROSS JOIN c_codes{_round} c
+        WHERE v0 <> 0 OR v1 <> 0 OR v2 <> 0 OR v3 <> 0) WHERE rn = 1""",
+    )
+    part(
+        f"c_codes{_round + 1}",
+        f"""SELECT code_id, coalesce(m.vec, c.vec) AS vec FROM c_codes{_round} c LEFT JOIN
+        (SELECT code_id, [avg(v0), avg(v1), avg(v2), avg(v3)] AS vec FROM c_near{_round} GROUP BY 1) m USING (code_id)""",
+    )
+
+
+@query(
+    "fit_codebook",
+    f"""SELECT CAST(code_id AS INTEGER) AS code_id, CAST(d - 1 AS INTEGER) AS d, {R6('vec[d]')} AS value
+    FROM (SELECT 0 AS code_id, [CAST(0 AS DOUBLE), 0, 0, 0] AS vec UNION ALL SELECT code_id, vec FROM c_codes{FIT_ROUNDS}), (SELECT unnest([1, 2, 3, 4]) AS d)""",
+)
 def _(spark, folder):
-    learned = codebook.fit_codebook(inputs.patches(spark, folder), k=16, seed=7)
+    learned = codebook.fit_codebook(inputs.patches(spark, folder), k=16, seed=7, rounds=FIT_ROUNDS)
     cells = learned.select("code_id", F.posexplode("vec").alias("d", "v"))
     return cells.select("code_id", "d", r6("v").alias("value"))
 

@@ -73,7 +73,7 @@ def with_parts(text: str) -> str:
                 pending.append(PARTS[name])
     if not needed:
         return text
-    entries = ",\n".join(f"{name} AS ({body})" for name, body in PARTS.items() if name in needed)
+    entries = ",\n".join(f"{name} AS MATERIALIZED ({body})" for name, body in PARTS.items() if name in needed)
     return f"WITH {entries}\n{text}"
 
 

@@ -319,10 +319,10 @@ part(
 part("g_start", f"SELECT sample_id, CAST(i AS INTEGER) AS pos, cond, {MASK} AS token_id, CAST(0 AS DOUBLE) AS score FROM e_cond, (SELECT unnest(range(16)) AS i)")
 
 
-@query("generate", _canvas_sql(6, 41))
+@query("generate", _canvas_sql(generating.TIMESTEPS, 41))
 def _(spark, folder):
     flow = Flow(spark, folder)
-    run = generating.Decoding(inputs.SIDE, inputs.CODES, seed=41, timesteps=6, sampler="gumbel")
+    run = generating.Decoding(inputs.SIDE, inputs.CODES, seed=41, sampler="gumbel")
     return generating.generate(flow.conditions, flow.scorer, run)
 
 
@@ -353,10 +353,10 @@ def _inverse_sql(timesteps: int, seed: int) -> str:
     return f"SELECT sample_id, pos, token_id FROM i_step{timesteps - 1}"
 
 
-@query("generate_inverse", _inverse_sql(6, 41))
+@query("generate_inverse", _inverse_sql(generating.TIMESTEPS, 41))
 def _(spark, folder):
     flow = Flow(spark, folder)
-    run = generating.Decoding(inputs.SIDE, inputs.CODES, seed=41, timesteps=6, sampler="inverse")
+    run = generating.Decoding(inputs.SIDE, inputs.CODES, seed=41, sampler="inverse")
     return generating.generate(flow.conditions, flow.scorer, run)
 
 
@@ -371,5 +371,5 @@ def _(spark, folder):
     base = scoring.fit_token_scorer(low, samples, 0.5)
     by_pos = generating.lowres_conditions(samples, low, coarse.side, fine.side, coarse.codes)
     superres = scoring.fit_token_scorer(fine.encode(pixels), by_pos, 0.5)
-    image = generating.generate_two_stage(samples, base, coarse, superres, fine, seed=43, timesteps=4, superres_timesteps=3)
+    image = generating.generate_two_stage(samples, base, coarse, superres, fine, seed=43)
     return image.select("gene_idx", "px", "py", r6("value").alias("value"))

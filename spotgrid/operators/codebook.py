@@ -6,16 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spotgrid.functions.arrays import any_nonzero, fill_gaps, l2_normalize
+from spotgrid.functions.keyed import uniform
 from spotgrid.functions.scalars import flatten_pos, grid_side, unflatten_pos
 from spotgrid.operators.raster import patch_vectors, unpatch
 from spotgrid.operators.vector_sums import sum_vectors
+from spotgrid.plans.session import cut_lineage
 from spotgrid.plans.sizing import BROADCAST_LIMIT, bounded, vector_slices
 
 # Default number of codes and decay of the moving average.
@@ -35,18 +35,29 @@ def fit_codebook(vectors: DataFrame, k: int = CODES, seed: int = 0, rounds: int
 
     Code 0 is the blank code for zero vectors, which have no direction; codes
     1 .. k-1 are the plain means of their members, so decoding keeps the scale.
+    The start is the ``k - 1`` vectors with the lowest draws of their key, which is
+    all columns but ``vec``; a code without members stays as it is, and the rounds
+    end early once no code moves.  Equal input gives equal codes on any cluster.
     """
     if k < 3:
         raise ValueError("a codebook needs the blank code and two more")
-    usable = vectors.select(known(F.col("vec")).alias("vec")).where(any_nonzero(F.col("vec")))
-    features = usable.select("vec", array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("features"))
-    means = KMeans(k=k - 1, distanceMeasure="cosine", seed=seed, maxIter=rounds, initSteps=2)
-    assigned = means.fit(features).transform(features)
-    members = assigned.select((F.col("prediction") + 1).cast("int").alias("code_id"), "vec")
-    learned = code_sums(members).select("code_id", F.transform("total", lambda x: x / F.col("n")).alias("vec"))
-    width = usable.agg(F.first(F.size("vec")).alias("width"))
-    blank = width.select(F.lit(0).alias("code_id"), F.array_repeat(F.lit(0.0), F.col("width")).alias("vec"))
-    return blank.unionByName(learned)
+    keys = [c for c in vectors.columns if c != "vec"]
+    usable = cut_lineage(vectors.withColumn("vec", known(F.col("vec"))).where(any_nonzero(F.col("vec"))))
+    drawn = usable.select(uniform(seed, *keys).alias("_draw"), *keys, "vec").orderBy("_draw", *keys, "vec").limit(k - 1)
+    numbered = drawn.withColumn("code_id", F.row_number().over(Window.orderBy("_draw", *keys, "vec")))  # k - 1 rows
+    codes = cut_lineage(numbered.select(F.col("code_id").cast("int").alias("code_id"), "vec"))
+    for _ in range(rounds):
+        held: list = []
+        sums = code_sums(assign_codes(usable.select("vec"), codes, held=held))
+        means = sums.select("code_id", F.transform("total", lambda x: x / F.col("n")).alias("mean"))
+        moved = cut_lineage(codes.join(means, "code_id", "left").select("code_id", F.coalesce("mean", "vec").alias("vec"), F.col("vec").alias("old")))
+        for broadcast in held:
+            broadcast.destroy()
+        codes = moved.select("code_id", "vec")
+        if not moved.where(F.col("vec") != F.col("old")).limit(1).count():
+            break
+    blank = codes.limit(1).select(F.lit(0).alias("code_id"), F.transform("vec", lambda x: F.lit(0.0).cast("double")).alias("vec"))
+    return blank.unionByName(codes)
 
 
 def known(vec: Column) -> Column:

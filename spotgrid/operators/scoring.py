@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotgrid.operators.decoding import GUIDANCE, guide, guided
+from spotgrid.operators.masking import IGNORE_INDEX
 from spotgrid.plans.session import cut_lineage
 
 # Condition of rows that stand for "no condition".
@@ -53,6 +54,49 @@ class TokenScorer:
         counts = self.seen.groupBy("pos", "token_id").agg(F.sum("n").alias("n"))
         return self._logits(counts).select("pos", "token_id", "logit")
 
+    def smoothed_prior(self, vocab: int) -> DataFrame:
+        """``(token_id, p)`` of the tokens seen, one added to the count of each of ``vocab`` tokens.
+
+        A token that is not listed has ``1 / (total + vocab)``, see :meth:`_total`.
+        """
+        by_token = self.seen.groupBy("token_id").agg(F.sum("n").alias("_n"))
+        share = (F.col("_n") + 1) / (F.col("_total") + F.lit(vocab))
+        return by_token.crossJoin(F.broadcast(self._total())).select("token_id", share.alias("p"))
+
+    def _total(self) -> DataFrame:
+        return self.seen.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_total"))
+
+    def cross_entropy(self, labels: DataFrame, vocab: int, scale: float = GUIDANCE, ignore_index: int = IGNORE_INDEX) -> DataFrame:
+        """One-row ``loss`` over ``labels(cond, pos, label)``: the guided mean cross entropy over all ``vocab`` tokens.
+
+        Every token has the mass ``n + alpha * p`` with and without the condition, so
+        a label that was never seen has a finite loss.  No dense table is made: the
+        tokens without a count under a condition add a sum that depends on the
+        position alone, and those without any count add what is left of ``alpha``.
+        Labels have resolved conditions, see :func:`resolve_conditions`.
+        """
+        alpha, s = F.lit(float(self.alpha)), F.lit(float(scale))
+        prior = self.smoothed_prior(vocab)
+        null = self.seen.groupBy("pos", "token_id").agg(F.sum("n").alias("n0")).join(prior, "token_id")
+        null = null.select("pos", "token_id", (F.col("n0") + alpha * F.col("p")).alias("m0"), (alpha * F.col("p")).alias("m"))
+        away = F.pow("m0", 1 - s) * F.pow("m", s)  # guided mass of a token without a count under the condition
+        rest = null.groupBy("pos").agg((alpha - F.sum("m")).alias("unseen"), F.sum(away).alias("away"), F.sum("m0").alias("null_mass"))
+        cells = self.seen.join(null, ["pos", "token_id"]).withColumn("mc", F.col("n") + F.col("m"))
+        mass = F.pow("m0", 1 - s) * F.pow("mc", s)
+        more = cells.groupBy("cond", "pos").agg(F.sum(mass - away).alias("more"))
+        null_cond = F.lit(NULL_COND).cast("long")
+        norms = more.join(rest, "pos").select("cond", "pos", (F.col("unseen") + F.col("away") + F.col("more")).alias("z"))
+        norms = norms.unionByName(rest.select(null_cond.alias("cond"), "pos", (F.col("unseen") + F.col("null_mass")).alias("z")))
+        wanted = labels.where(F.col("label") != ignore_index).select(F.col("cond").cast("long").alias("cond"), "pos", F.col("label").alias("token_id"))
+        at = wanted.join(cells.select("cond", "pos", "token_id", "mc"), ["cond", "pos", "token_id"], "left")
+        at = at.join(null.select("pos", "token_id", "m0"), ["pos", "token_id"], "left").join(prior, "token_id", "left")
+        at = at.crossJoin(F.broadcast(self._total())).join(norms, ["cond", "pos"], "left")
+        m = alpha * F.coalesce("p", 1 / (F.col("_total") + F.lit(vocab)))
+        bare = F.coalesce("m0", m)
+        own = F.when(F.col("cond") == null_cond, bare).otherwise(F.coalesce("mc", m))
+        guided_mass = F.log(bare) + (F.log(own) - F.log(bare)) * s
+        return at.agg(F.avg(F.log(F.coalesce("z", alpha)) - guided_mass).alias("loss"))
+
     def with_null(self) -> DataFrame:
         """Null logits under the null condition, in the layout of ``cond``."""
         return self.null.select(F.lit(NULL_COND).cast("long").alias("cond"), "pos", "token_id", "logit")

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from spotgrid.functions.arrays import dot, l2_normalize
 from spotgrid.operators.codebook import DECAY, assign_codes
 from spotgrid.operators.decoding import GUIDANCE
-from spotgrid.operators.losses import masked_cross_entropy
 from spotgrid.operators.masking import mask_tokens
 from spotgrid.operators.sampling import SPLIT_SEED, VALID_FRAC, exact_split
-from spotgrid.operators.scoring import COND_KEYS, TokenScorer, fit_token_scorer, resolve_conditions
+from spotgrid.operators.scoring import TokenScorer, fit_token_scorer, resolve_conditions
 from spotgrid.operators.vector_sums import sum_vectors
 from spotgrid.plans.session import cut_lineage
 from spotgrid.sinks.snapshots import latest_step, load_snapshot, write_snapshot
@@ -81,8 +80,8 @@ def train_scorer(
     """Fit on the training samples and rate on the hold-out: ``(scorer, one-row loss)``.
 
     ``conditions(sample_id, cond)`` lists the samples.  The loss is the cross
-    entropy of hidden hold-out positions; a token the scorer has never seen there
-    makes it infinite.
+    entropy of hidden hold-out positions over the ``mask_id`` tokens of the
+    vocabulary; it is finite, since unseen tokens have mass too.
     """
     split = cut_lineage(exact_split(conditions, "sample_id", valid_frac, seed))
     train = split.where("split = 'train'").drop("split")
@@ -90,5 +89,5 @@ def train_scorer(
     scorer = fit_token_scorer(tokens, train, alpha).saved()
     hidden = mask_tokens(tokens.join(valid.select("sample_id"), "sample_id", "left_semi"), mask_id, seed)
     labels = resolve_conditions(hidden.join(valid, "sample_id"), scorer)
-    return scorer, masked_cross_entropy(scorer.guided(scale), labels, keys=COND_KEYS)
+    return scorer, scorer.cross_entropy(labels, mask_id, scale)
 
