@@ -73,7 +73,7 @@ class Flow:
 
     @cached_property
     def scorer(self):
-        return scoring.fit_token_scorer(self.tokens, self.conditions, 0.5)
+        return scoring.fit_token_scorer(self.tokens, self.conditions, 0.5).saved()
 
     @cached_property
     def guided(self):
@@ -181,8 +181,11 @@ def _(spark, folder):
 )
 def _(spark, folder):
     flow = Flow(spark, folder)
-    pairs = flow.conditions.select("cond", ((F.col("cond") + 1) % 10).alias("neg_cond")).distinct()
-    out = flow.scorer.away_from(pairs, 2.0, -9.0)
+    other = ((F.col("cond") + 1) % 10).alias("neg_cond")
+    keys = ("cond", "neg_cond", "pos")
+    wanted = flow.scorer.cond.select("cond", other, "pos", "token_id", "logit")
+    avoided = flow.scorer.cond.select(((F.col("cond") + 9) % 10).alias("cond"), F.col("cond").alias("neg_cond"), "pos", "token_id", "logit")
+    out = decoding.guide_negative(wanted, avoided, 2.0, floor=-9.0, keys=keys)
     return out.select("cond", "neg_cond", "pos", "token_id", r6("logit").alias("logit"))
 
 
@@ -326,31 +329,32 @@ def _(spark, folder):
     return generating.generate(flow.conditions, flow.scorer, run)
 
 
-def _inverse_sql(timesteps: int, seed: int) -> str:
-    """Unrolled SQL of the decoding loop with one draw per position."""
-    for step in masking.schedule_steps(inputs.SIDE**2, timesteps):
-        i, before = step.index, f"i_step{step.index - 1}" if step.index else "g_start"
+def _inverse_sql(timesteps: int, seed: int, name: str = "i", side: int = inputs.SIDE, start: str = "g_start", cands: str = "g_cands") -> str:
+    """Unrolled SQL of the decoding loop with one draw per position; its parts begin with ``name``."""
+    for step in masking.schedule_steps(side**2, timesteps):
+        i, before = step.index, f"{name}_step{step.index - 1}" if step.index else start
         part(
-            f"i_hide{i}",
+            f"{name}_hide{i}",
             f"""SELECT sample_id, pos, cond, token_id, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, pos) <= {step.hidden} AS hide,
             {U(seed, i, 'sample_id', 'pos')} AS u FROM {before}""",
         )
-        part(f"i_heat{i}", f"SELECT *, exp((logit - max(logit) OVER (PARTITION BY cond, pos)) / CAST({max(step.temperature, 1e-10)!r} AS DOUBLE)) AS w FROM g_cands")
+        heat = f"exp((logit - max(logit) OVER (PARTITION BY cond, pos)) / CAST({max(step.temperature, 1e-10)!r} AS DOUBLE))"
+        part(f"{name}_heat{i}", f"SELECT *, {heat} AS w FROM {cands}")
         part(
-            f"i_sums{i}",
-            f"""SELECT cond, pos, token_id, prob, sum(w) OVER (PARTITION BY cond, pos ORDER BY token_id) AS upto, sum(w) OVER (PARTITION BY cond, pos) AS total FROM i_heat{i}""",
+            f"{name}_sums{i}",
+            f"""SELECT cond, pos, token_id, prob, sum(w) OVER (PARTITION BY cond, pos ORDER BY token_id) AS upto, sum(w) OVER (PARTITION BY cond, pos) AS total FROM {name}_heat{i}""",
         )
         part(
-            f"i_pick{i}",
-            f"""SELECT sample_id, h.pos, min(c.token_id) AS pred, arg_min(prob, c.token_id) AS prob FROM i_hide{i} h
-            JOIN i_sums{i} c ON c.cond = h.cond AND c.pos = h.pos WHERE h.hide AND c.upto > h.u * c.total GROUP BY 1, 2""",
+            f"{name}_pick{i}",
+            f"""SELECT sample_id, h.pos, min(c.token_id) AS pred, arg_min(prob, c.token_id) AS prob FROM {name}_hide{i} h
+            JOIN {name}_sums{i} c ON c.cond = h.cond AND c.pos = h.pos WHERE h.hide AND c.upto > h.u * c.total GROUP BY 1, 2""",
         )
         part(
-            f"i_step{i}",
+            f"{name}_step{i}",
             f"""SELECT sample_id, pos, cond, CASE WHEN hide THEN pred ELSE token_id END AS token_id,
-            CASE WHEN hide THEN round(1 - prob, 9) ELSE -1e5 END AS score FROM i_hide{i} LEFT JOIN i_pick{i} USING (sample_id, pos)""",
+            CASE WHEN hide THEN round(1 - prob, 9) ELSE -1e5 END AS score FROM {name}_hide{i} LEFT JOIN {name}_pick{i} USING (sample_id, pos)""",
         )
-    return f"SELECT sample_id, pos, token_id FROM i_step{timesteps - 1}"
+    return f"SELECT sample_id, pos, token_id FROM {name}_step{timesteps - 1}"
 
 
 @query("generate_inverse", _inverse_sql(generating.TIMESTEPS, 41))
@@ -360,7 +364,70 @@ def _(spark, folder):
     return generating.generate(flow.conditions, flow.scorer, run)
 
 
-@query("generate_two_stage")
+def _tokens_sql(name: str, pixels: str, side: int) -> None:
+    """Parts that encode the 2 x 2 blocks of ``pixels`` by the nearest code; blocks without pixel get the lowest."""
+    sums = ", ".join(f"sum(CASE WHEN (px % 2) * 2 + py % 2 = {i} THEN CAST(CAST(value AS FLOAT) AS DOUBLE) ELSE 0 END) AS v{i}" for i in range(4))
+    part(f"{name}_blocks", f"SELECT gene_idx, CAST(px // 2 AS INTEGER) * {side} + CAST(py // 2 AS INTEGER) AS pos, {sums} FROM {pixels} GROUP BY 1, 2")
+    part(
+        f"{name}_best",
+        f"""SELECT * FROM (SELECT gene_idx, pos, code_id, row_number() OVER (PARTITION BY gene_idx, pos
+        ORDER BY round(list_cosine_similarity([v0, v1, v2, v3], cvec), 9) DESC, code_id) AS rn FROM {name}_blocks CROSS JOIN e_codebook) WHERE rn = 1""",
+    )
+    part(
+        f"{name}_tokens",
+        f"""SELECT sample_id, CAST(i AS INTEGER) AS pos, coalesce(code_id, (SELECT min(code_id) FROM e_codebook)) AS token_id
+        FROM e_cond CROSS JOIN (SELECT unnest(range({side * side})) AS i) LEFT JOIN {name}_best b ON b.gene_idx = sample_id AND b.pos = i""",
+    )
+
+
+def _scorer_sql(name: str, seen: str) -> None:
+    """Parts with the candidates of a scorer of weight 0.5 at the default guidance, null condition included."""
+    part(f"{name}_seen", seen)
+    part(f"{name}_prior", f"SELECT token_id, sum(n) / (SELECT sum(n) FROM {name}_seen) AS p FROM {name}_seen GROUP BY 1")
+    part(f"{name}_null", f"SELECT pos, token_id, ln(n + 0.5 * p) AS logit FROM (SELECT pos, token_id, sum(n) AS n FROM {name}_seen GROUP BY 1, 2) JOIN {name}_prior USING (token_id)")
+    part(
+        f"{name}_guided",
+        f"""SELECT c.cond, pos, token_id, u.logit + (ln(c.n + 0.5 * p) - u.logit) * 3 AS logit FROM {name}_seen c JOIN {name}_prior USING (token_id)
+        JOIN {name}_null u USING (pos, token_id) UNION ALL SELECT -1, pos, token_id, logit FROM {name}_null""",
+    )
+    part(
+        f"{name}_cands",
+        f"""SELECT cond, pos, token_id, logit, exp(logit) / z AS prob FROM (SELECT *, sum(exp(logit)) OVER (PARTITION BY cond, pos) AS z,
+        row_number() OVER (PARTITION BY cond, pos ORDER BY round(logit, 9) DESC, token_id) AS rk FROM {name}_guided) WHERE rk <= {KEPT}""",
+    )
+
+
+def _start_sql(name: str, conditions: str) -> None:
+    """Part with a hidden canvas over ``conditions(sample_id, pos, cond)``; unknown ones become the null condition."""
+    part(
+        f"{name}_start",
+        f"""SELECT sample_id, c.pos, CASE WHEN k.cond IS NULL THEN -1 ELSE c.cond END AS cond, {MASK} AS token_id, CAST(0 AS DOUBLE) AS score
+        FROM ({conditions}) c LEFT JOIN (SELECT DISTINCT cond, pos FROM {name}_seen) k ON k.cond = c.cond AND k.pos = c.pos""",
+    )
+
+
+def _pixels_sql(tokens: str, side: int) -> str:
+    """Pixels of decoded tokens, zeros absent."""
+    return f"""SELECT gene_idx, CAST(pos // {side} * 2 + i // 2 AS INTEGER) AS px, CAST(pos % {side} * 2 + i % 2 AS INTEGER) AS py, v AS value FROM (
+        SELECT CAST(sample_id AS INTEGER) AS gene_idx, pos, unnest(cvec) AS v, unnest(range(4)) AS i FROM ({tokens}) t JOIN e_codebook ON code_id = token_id) WHERE v <> 0"""
+
+
+_CODES, _LOW = inputs.CODES, inputs.SIDE // 2
+_UNDER = f"(i // {inputs.SIDE}) // 2 * {_LOW} + i % {inputs.SIDE} // 2"
+_BY_POS = f"SELECT sample_id, CAST(i AS INTEGER) AS pos, cond * {_CODES} + token_id AS cond FROM (SELECT unnest(range({inputs.SIDE**2})) AS i) JOIN LOW l ON l.pos = {_UNDER} JOIN e_cond USING (sample_id)"
+part("w_small", "SELECT gene_idx, px // 2 AS px, py // 2 AS py, value FROM e_pixels WHERE px % 2 = 0 AND py % 2 = 0")
+_tokens_sql("w_low", "w_small", _LOW)
+_scorer_sql("w_base", "SELECT cond, pos, token_id, count(*) AS n FROM w_low_tokens JOIN e_cond USING (sample_id) GROUP BY 1, 2, 3")
+_start_sql("w_base", f"SELECT sample_id, CAST(i AS INTEGER) AS pos, cond FROM e_cond, (SELECT unnest(range({_LOW**2})) AS i)")
+_tokens_sql("w_full", "e_pixels", inputs.SIDE)
+_scorer_sql("w_super", f"SELECT c.cond, c.pos, t.token_id, count(*) AS n FROM w_full_tokens t JOIN ({_BY_POS.replace('LOW', 'w_low_tokens')}) c USING (sample_id, pos) GROUP BY 1, 2, 3")
+part("w_image", _pixels_sql(_inverse_sql(generating.TIMESTEPS, 43, "w_one", _LOW, "w_base_start", "w_base_cands"), _LOW))
+_tokens_sql("w_again", "w_image", _LOW)
+_start_sql("w_super", _BY_POS.replace("LOW", "w_again_tokens"))
+_TWO_STAGE = _pixels_sql(_inverse_sql(generating.TIMESTEPS, 44, "w_two", inputs.SIDE, "w_super_start", "w_super_cands"), inputs.SIDE)
+
+
+@query("generate_two_stage", f"SELECT gene_idx, px, py, {R6('value')} AS value FROM ({_TWO_STAGE})")
 def _(spark, folder):
     pixels = tables.embedding_pixels(spark, folder)
     book = inputs.codebook(spark, folder)

@@ -150,9 +150,9 @@ def guide(
     return joined.select(*on, guided(c, n, scale).alias("logit"))
 
 
-def guide_negative(pos: DataFrame, neg: DataFrame, scale: float, floor: float) -> DataFrame:
+def guide_negative(pos: DataFrame, neg: DataFrame, scale: float, floor: float, keys: tuple[str, ...] = SAMPLE_KEYS) -> DataFrame:
     """Move away from the logits of a negative condition; missing rows count as ``floor``."""
-    on = [*SAMPLE_KEYS, "token_id"]
+    on = [*keys, "token_id"]
     joined = pos.select(*on, F.col("logit").alias("_p")).join(neg.select(*on, F.col("logit").alias("_n")), on, "full")
     p, n = F.coalesce("_p", F.lit(float(floor))), F.coalesce("_n", F.lit(float(floor)))
     return joined.select(*on, (n + (p - n) * F.lit(float(scale))).alias("logit"))
