@@ -10,8 +10,8 @@ from spotgrid.operators import generating, matrix, raster, scoring
 from spotgrid.operators.codebook import fit_codebook
 from spotgrid.operators.raster import patch_vectors
 from spotgrid.plans.dataset import gene_conditions
-from spotgrid.plans.session import cut_lineage
-from spotgrid.plans.training import refine_codebook, train_scorer
+from spotgrid.plans.session import cut_lineage, shared_folder
+from spotgrid.plans.training import refine_codebook, train_flow, train_scorer
 from spotgrid.sources import tables
 
 ROUNDS = 3
@@ -82,6 +82,57 @@ def _(spark, folder):
     return loss.select(r6("loss").alias("loss"))
 
 
+FLOW_STEPS, FLOW_BATCH = 29, 32
+part("y_batches", f"SELECT CAST(ceil(count(*) / {FLOW_BATCH}.0) AS BIGINT) AS per_epoch FROM v_split WHERE train")
+part(
+    "y_plan",
+    f"""SELECT epoch, sample_id, CASE WHEN CAST('0x' || substr(md5((5 + epoch) || ':' || sample_id), 1, 8) AS BIGINT) / CAST(4294967296.0 AS DOUBLE) < 0.75 THEN cond ELSE -1 END AS cond
+    FROM (SELECT epoch, sample_id, cond, row_number() OVER (PARTITION BY epoch ORDER BY {U(5, 'epoch', 'sample_id')}, sample_id) - 1 AS rk
+    FROM v_split CROSS JOIN (SELECT unnest(range({FLOW_STEPS})) AS epoch) WHERE train) CROSS JOIN y_batches WHERE epoch * per_epoch + rk // {FLOW_BATCH} < {FLOW_STEPS}""",
+)
+part("y_counts", "SELECT epoch, cond, pos, token_id, count(*) AS n FROM y_plan JOIN e_tokens USING (sample_id) GROUP BY 1, 2, 3, 4")
+part(
+    "y_seen",
+    f"""SELECT e.epoch, cond, pos, token_id, sum(n) AS n FROM (SELECT unnest(range({FLOW_STEPS})) AS epoch) e JOIN y_counts c ON c.epoch <= e.epoch CROSS JOIN y_batches
+    WHERE (e.epoch + 1) * per_epoch <= {FLOW_STEPS} GROUP BY 1, 2, 3, 4""",
+)
+part("y_null", "SELECT epoch, pos, token_id, sum(n) AS n FROM y_seen GROUP BY 1, 2, 3")
+part("y_total", "SELECT epoch, sum(n) AS n FROM y_seen GROUP BY 1")
+part("y_token", "SELECT epoch, token_id, sum(n) AS n FROM y_seen GROUP BY 1, 2")
+part(
+    "y_prior",
+    f"SELECT t.epoch, v.token_id, (coalesce(k.n, 0) + 1) / (t.n + {inputs.CODES}) AS p FROM y_total t CROSS JOIN v_vocab v LEFT JOIN y_token k ON k.epoch = t.epoch AND k.token_id = v.token_id",
+)
+part(
+    "y_dense",
+    """SELECT t.epoch, h.sample_id, h.pos, h.token_id AS label, t.token_id, ln(coalesce(u.n, 0) + p) AS bare,
+    ln(CASE WHEN k.cond IS NULL THEN coalesce(u.n, 0) ELSE coalesce(c.n, 0) END + p) AS own
+    FROM v_hidden h CROSS JOIN y_prior t LEFT JOIN (SELECT DISTINCT epoch, cond, pos FROM y_seen WHERE cond <> -1) k ON k.epoch = t.epoch AND k.cond = h.cond AND k.pos = h.pos
+    LEFT JOIN y_seen c ON c.epoch = t.epoch AND c.cond = h.cond AND c.pos = h.pos AND c.token_id = t.token_id
+    LEFT JOIN y_null u ON u.epoch = t.epoch AND u.pos = h.pos AND u.token_id = t.token_id""",
+)
+part(
+    "y_rated",
+    """SELECT epoch, sample_id, pos, ln(sum(exp(bare + (own - bare) * 1.5))) - max(CASE WHEN token_id = label THEN bare + (own - bare) * 1.5 END) AS ce
+    FROM y_dense GROUP BY 1, 2, 3""",
+)
+
+
+@query(
+    "train_flow",
+    f"""SELECT (epoch + 1) * per_epoch - 1 AS step, CAST(epoch + 1 AS INTEGER) AS epoch, 'valid' AS key, {R6('avg(ce)')} AS value FROM y_rated CROSS JOIN y_batches GROUP BY epoch, per_epoch
+    UNION ALL SELECT {FLOW_STEPS - 1}, NULL, 'told', CAST(sum(n) AS DOUBLE) FROM y_counts WHERE cond <> -1""",
+)
+def _(spark, folder):
+    tokens = cut_lineage(inputs.tokens(spark, folder))
+    conditions = tables.embedding_conditions(spark, folder)
+    settings = dict(valid_frac=0.25, seed=5, scale=1.5, dropout=0.25)
+    scorer, metrics = train_flow(tokens, conditions, inputs.CODES, FLOW_STEPS, FLOW_BATCH, shared_folder(spark, "flow"), **settings)
+    told = scorer.seen.where(F.col("cond") != scoring.NULL_COND).agg(F.sum("n").cast("double").alias("value"))
+    told = told.select(F.lit(FLOW_STEPS - 1).cast("long").alias("step"), F.lit(None).cast("int").alias("epoch"), F.lit("told").alias("key"), "value")
+    return metrics.withColumn("value", r6("value")).unionByName(told)
+
+
 @query("expression_generation")
 def _(spark, folder):
     """Expression maps generated from count vectors, with everything fitted on the tables."""

@@ -285,6 +285,6 @@ def _(spark, folder):
     )
 
 
-@query("detokenize", f"SELECT gene_idx, px, py, {R6('value')} AS value FROM e_recon")
+@query("detokenize", f"SELECT CAST(gene_idx AS BIGINT) AS gene_idx, px, py, {R6('value')} AS value FROM e_recon")
 def _(spark, folder):
     return inputs.recon(spark, folder).select("gene_idx", "px", "py", r6("value").alias("value"))

@@ -409,7 +409,7 @@ def _start_sql(name: str, conditions: str) -> None:
 def _pixels_sql(tokens: str, side: int) -> str:
     """Pixels of decoded tokens, zeros absent."""
     return f"""SELECT gene_idx, CAST(pos // {side} * 2 + i // 2 AS INTEGER) AS px, CAST(pos % {side} * 2 + i % 2 AS INTEGER) AS py, v AS value FROM (
-        SELECT CAST(sample_id AS INTEGER) AS gene_idx, pos, unnest(cvec) AS v, unnest(range(4)) AS i FROM ({tokens}) t JOIN e_codebook ON code_id = token_id) WHERE v <> 0"""
+        SELECT CAST(sample_id AS BIGINT) AS gene_idx, pos, unnest(cvec) AS v, unnest(range(4)) AS i FROM ({tokens}) t JOIN e_codebook ON code_id = token_id) WHERE v <> 0"""
 
 
 _CODES, _LOW = inputs.CODES, inputs.SIDE // 2

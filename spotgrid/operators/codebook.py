@@ -209,5 +209,5 @@ def detokenize(
     side = grid_side(image_size, layers)
     row, col = unflatten_pos(F.col("pos"), side)
     vectors = decode_from_ids(tokens, codebook, codes, 1 << (2 * layers))
-    patches = vectors.select(F.col("sample_id").cast("int").alias("gene_idx"), row.alias("prow"), col.alias("pcol"), "vec")
+    patches = vectors.select(F.col("sample_id").alias("gene_idx"), row.alias("prow"), col.alias("pcol"), "vec")
     return unpatch(patches, layers)

@@ -17,14 +17,18 @@ VALID_FRAC = 0.05
 SPLIT_SEED = 3407
 
 
-def random_ranks(df: DataFrame, key: str, seed: int, epoch: str | Column | None = None, buckets: int = BUCKETS) -> DataFrame:
+def random_ranks(
+    df: DataFrame, key: str, seed: int, epoch: str | Column | None = None, buckets: int = BUCKETS, most: Column | None = None
+) -> DataFrame:
     """Add the exact 0-based ``rank`` of every row in random order, and ``total``.
 
     The order is by (draw, key).  Each row falls in the bucket of its draw; its
     rank is the number of rows in lower buckets plus its rank inside the bucket.
     Since draws are uniform, one hash shuffle on the bucket spreads any data
     evenly, and only the per-bucket counts are ever put in one task.  With
-    ``epoch`` (a column of ``df``), every epoch is ordered on its own.
+    ``epoch`` (a column of ``df``), every epoch is ordered on its own.  With
+    ``most``, an expression over ``epoch`` and ``total``, buckets that begin at that
+    rank or later are left out before anything is ordered.
     """
     group = [] if epoch is None else ["epoch"]
     source = df if epoch is None else df.withColumn("epoch", F.col(epoch) if isinstance(epoch, str) else epoch)
@@ -41,12 +45,14 @@ def random_ranks(df: DataFrame, key: str, seed: int, epoch: str | Column | None
         F.coalesce(F.sum("_size").over(lower), F.lit(0)).alias("_offset"),
         F.sum("_size").over(whole).alias("total"),
     )
+    if most is not None:
+        offsets = offsets.where(F.col("_offset") < most)
     if not group:
         offsets = bounded(offsets, buckets, OFFSET_ROW_BYTES)
 
     inside = Window.partitionBy(*group, "_bucket").orderBy("_draw", key)
-    ranked = drawn.withColumn("_inside", F.row_number().over(inside) - 1)
-    joined = ranked.join(offsets, [*group, "_bucket"])
+    wanted = drawn.join(offsets, [*group, "_bucket"])
+    joined = wanted.withColumn("_inside", F.row_number().over(inside) - 1)
     kept = [c for c in source.columns if c not in group]
     rank = (F.col("_offset") + F.col("_inside")).cast("long")
     return joined.select(*group, *kept, rank.alias("rank"), F.col("total").cast("long").alias("total"))
@@ -89,7 +95,10 @@ def cycle_batches(
     size = df.agg(F.ceil(F.count(F.lit(1)) / F.lit(batch_size)).cast("long").alias("_batches"))
     passes = F.ceil(F.lit(needed) / F.col("_batches")).cast("int")
     reused = df.crossJoin(F.broadcast(size)).withColumn("_pass", F.explode(F.sequence(F.lit(0), passes - 1)))
-    ranked = random_ranks(reused, key, seed, epoch="_pass").select(
+    # The last pass is rarely used up; its later buckets are never ordered.
+    batches = F.ceil(F.col("total") / F.lit(batch_size))
+    most = (F.lit(needed) - F.col("epoch") * batches) * F.lit(batch_size)
+    ranked = random_ranks(reused, key, seed, epoch="_pass", most=most).select(
         "epoch", *df.columns, "_batches", *_batch_columns(batch_size)
     )
     position = F.col("epoch") * F.col("_batches") + F.col("batch_id")

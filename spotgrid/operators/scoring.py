@@ -45,8 +45,8 @@ class TokenScorer:
 
     @property
     def cond(self) -> DataFrame:
-        """``(cond, pos, token_id, logit)``."""
-        return self._logits(self.seen).select("cond", "pos", "token_id", "logit")
+        """``(cond, pos, token_id, logit)``; tokens counted without a condition are not listed."""
+        return self._logits(self.seen.where(F.col("cond") != NULL_COND)).select("cond", "pos", "token_id", "logit")
 
     @property
     def null(self) -> DataFrame:
@@ -81,7 +81,7 @@ class TokenScorer:
         null = null.select("pos", "token_id", (F.col("n0") + alpha * F.col("p")).alias("m0"), (alpha * F.col("p")).alias("m"))
         away = F.pow("m0", 1 - s) * F.pow("m", s)  # guided mass of a token without a count under the condition
         rest = null.groupBy("pos").agg((alpha - F.sum("m")).alias("unseen"), F.sum(away).alias("away"), F.sum("m0").alias("null_mass"))
-        cells = self.seen.join(null, ["pos", "token_id"]).withColumn("mc", F.col("n") + F.col("m"))
+        cells = self.seen.where(F.col("cond") != NULL_COND).join(null, ["pos", "token_id"]).withColumn("mc", F.col("n") + F.col("m"))
         mass = F.pow("m0", 1 - s) * F.pow("mc", s)
         more = cells.groupBy("cond", "pos").agg(F.sum(mass - away).alias("more"))
         null_cond = F.lit(NULL_COND).cast("long")

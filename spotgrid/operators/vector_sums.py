@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spotgrid.plans.sizing import BROADCAST_LIMIT, vector_slices
+from spotgrid.plans.sizing import BROADCAST_LIMIT, fits, vector_slices
 
 # Accumulators of one task are emitted when they reach this size.
 TASK_LIMIT = 64 * 1024 * 1024
@@ -90,21 +90,28 @@ def sparse_times_dense(
 ) -> DataFrame:
     """``(row, n, total)``: sparse matrix entries times a dense matrix ``(id, vec)``.
 
-    Entries are shuffled once, by row and block of columns, so a group is bounded
-    and a row with very many entries is split.  Tasks then multiply whole runs
-    with the dense rows, which are broadcast in slices of a checked size; each
-    slice reads only the entries of its own columns.  Per run one vector leaves
-    the task.
+    A dense matrix of at most ``limit`` bytes is broadcast: entries are shuffled
+    once, by row and block of columns, so a group is bounded and a row with very
+    many entries is split; tasks multiply whole runs, and per run one vector leaves
+    the task.  A larger matrix stays on the executors and is joined by column, with
+    the products added up inside tasks.
     """
     spark = entries.sparkSession
     schema = _partial_schema(entries.schema[row])
     chosen = entries.select(row, F.col(col).cast("long").alias("_col"), F.col(value).cast("double").alias("_value"))
     chosen = chosen.where(F.col("_value") != 0)
+    n, width = dense.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    if not n:
+        raise ValueError("the dense matrix is empty")
+    if not fits(n, 8 + 8 * width, limit):
+        side = dense.select(F.col(dense.columns[0]).cast("long").alias("_col"), "vec")
+        scaled = F.transform("vec", lambda x: x.cast("double") * F.col("_value"))
+        return sum_vectors(chosen.join(side, "_col").select(row, scaled.alias("vec")), row)
     block = F.floor(F.col("_col") / F.lit(CELL_BLOCK))
     placed = chosen.withColumn("_block", block).repartition(row, "_block").sortWithinPartitions(row, "_block")
 
     parts = []
-    for ids, vectors in vector_slices(dense, limit):
+    for ids, vectors in vector_slices(dense, 2 * limit):  # one slice
         shared = spark.sparkContext.broadcast((ids.astype(np.int64), vectors))
 
         def multiply(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -132,9 +139,4 @@ def sparse_times_dense(
                 yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
         parts.append(placed.select(row, "_col", "_value").mapInArrow(multiply, schema))
-    if not parts:
-        raise ValueError("the dense matrix is empty")
-    partials = parts[0]
-    for part in parts[1:]:
-        partials = partials.unionByName(part)
-    return merge_partials(partials, row)
+    return merge_partials(parts[0], row)

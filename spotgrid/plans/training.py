@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from spotgrid.functions.arrays import dot, l2_normalize
 from spotgrid.operators.codebook import DECAY, assign_codes
 from spotgrid.operators.decoding import GUIDANCE
-from spotgrid.operators.masking import mask_tokens
-from spotgrid.operators.sampling import SPLIT_SEED, VALID_FRAC, exact_split
-from spotgrid.operators.scoring import TokenScorer, fit_token_scorer, resolve_conditions
+from spotgrid.operators.masking import condition_dropout, mask_tokens
+from spotgrid.operators.sampling import SPLIT_SEED, VALID_FRAC, cycle_batches, exact_split
+from spotgrid.operators.scoring import NULL_COND, TokenScorer, fit_token_scorer, resolve_conditions
 from spotgrid.operators.vector_sums import sum_vectors
 from spotgrid.plans.session import cut_lineage
 from spotgrid.sinks.snapshots import latest_step, load_snapshot, write_snapshot
@@ -91,3 +91,57 @@ def train_scorer(
     labels = resolve_conditions(hidden.join(valid, "sample_id"), scorer)
     return scorer, scorer.cross_entropy(labels, mask_id, scale)
 
+
+def train_flow(
+    tokens: DataFrame,
+    conditions: DataFrame,
+    mask_id: int,
+    steps: int,
+    batch_size: int,
+    snapshots: str,
+    alpha: float = 1.0,
+    valid_frac: float = VALID_FRAC,
+    seed: int = SPLIT_SEED,
+    scale: float = GUIDANCE,
+    dropout: float = 0.0,
+    no_mask_prob: float = 0.0,
+) -> tuple[TokenScorer, DataFrame]:
+    """Fit the scorer batch by batch, with validation and a snapshot as every epoch closes.
+
+    ``steps`` batches are drawn pass after pass from the training samples of
+    ``conditions(sample_id, cond)``.  In every pass a sample loses its condition with
+    probability ``dropout`` and then counts for the null condition alone.  Counts
+    of a pass are added to those before it and saved under ``snapshots``; a later
+    call goes on after the last pass saved there.  Returns the scorer after the last
+    step and ``metrics(step, epoch, key, value)``: the hold-out loss of each epoch
+    that closed in this call, counted from 1.
+    """
+    spark = tokens.sparkSession
+    split = cut_lineage(exact_split(conditions, "sample_id", valid_frac, seed))
+    train = split.where("split = 'train'").drop("split")
+    valid = split.where("split = 'valid'").drop("split")
+    per_epoch = max(1, -(-train.count() // batch_size))
+    plan = cut_lineage(cycle_batches(train, "sample_id", batch_size, steps, seed=seed).select("epoch", "sample_id", "cond"))
+    held = tokens.join(valid.select("sample_id"), "sample_id", "left_semi")
+    hidden = cut_lineage(mask_tokens(held, mask_id, seed, no_mask_prob=no_mask_prob).where("masked").join(valid, "sample_id"))
+    done = latest_step(spark, snapshots)
+    seen = load_snapshot(spark, snapshots, done) if done is not None else None
+    metrics = []
+    for epoch in range(0 if done is None else done + 1, -(-steps // per_epoch)):
+        context = plan.where(F.col("epoch") == epoch).withColumn("usable", F.lit(True))
+        told = condition_dropout(context, dropout, seed + epoch)
+        cond = F.when(F.col("usable"), F.col("cond").cast("long")).otherwise(F.lit(NULL_COND).cast("long"))
+        fresh = fit_token_scorer(tokens, told.select("sample_id", cond.alias("cond")), alpha).seen
+        both = fresh if seen is None else seen.unionByName(fresh).groupBy("cond", "pos", "token_id").agg(F.sum("n").alias("n"))
+        last = min(steps, (epoch + 1) * per_epoch) - 1
+        if last + 1 < (epoch + 1) * per_epoch:  # the steps end inside this pass
+            seen = cut_lineage(both)
+            break
+        write_snapshot(both, snapshots, epoch)
+        seen = load_snapshot(spark, snapshots, epoch)
+        scorer = TokenScorer(seen, alpha)
+        loss = scorer.cross_entropy(resolve_conditions(hidden, scorer), mask_id, scale).first()[0]
+        metrics.append((last, epoch + 1, "valid", loss))
+    if seen is None:
+        raise ValueError("no steps to train")
+    return TokenScorer(seen, alpha), spark.createDataFrame(metrics, METRICS)
