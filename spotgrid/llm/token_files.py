@@ -21,6 +21,8 @@ table gives an empty file; other columns are ignored.  Memory: one block of
 from __future__ import annotations
 
 import os
+import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,13 +38,15 @@ from spotgrid.plans.sizing import bounded
 
 END_ID = 1
 BLOCK_TOKENS = 1 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 #: Bytes of text per range of ids, and the most ranges there are.
 RANGE_BYTES, MOST_RANGES = 32 << 20, 10_000
 
 BLOCK_SCHEMA = "part int, block int, n_tokens bigint, doc_ids array<bigint>, doc_tokens array<bigint>, ranks binary, control binary, data binary"
 #: Lengths of the four codes of each control byte.
 LENGTHS = np.stack([(np.arange(256) >> shift & 3) + 1 for shift in (0, 2, 4, 6)], axis=1).astype(np.int64)
+#: Ids below are counted in one array, larger ones by sorting.
+COUNTED_IDS = 1 << 22
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
 
 
@@ -76,11 +80,17 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 def pack_block(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """Ids by falling frequency (ties by id), and the packed ranks."""
-    known, places, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.argsort(-counts, kind="stable")
-    rank = np.empty(len(known), dtype=np.uint32)
-    rank[order] = np.arange(len(known))
-    return known[order].astype("<u4").tobytes(), *pack(rank[places])
+    if len(ids) and ids.max() >= COUNTED_IDS:
+        known, places, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    else:
+        every = np.bincount(ids)
+        known = np.flatnonzero(every)
+        places, counts = ids, every[known]
+    order = known[np.argsort(-counts, kind="stable")] if places is ids else np.argsort(-counts, kind="stable")
+    rank = np.empty(order.max(initial=0) + 1, dtype=np.uint32)
+    rank[order] = np.arange(len(order))
+    ranked = order if places is ids else known[order]
+    return ranked.astype("<u4").tobytes(), *pack(rank[places])
 
 
 def unpack_block(ranks: bytes, control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -88,25 +98,55 @@ def unpack_block(ranks: bytes, control: bytes, data: bytes, n: int) -> np.ndarra
     return np.frombuffer(ranks, dtype="<u4")[unpack(control, data, n)]
 
 
+class Cache:
+    """Two generations of entries: what is used stays, the rest goes when a generation is full."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, keys: set[bytes]) -> list[bytes]:
+        """Keys that neither generation holds; all others are in the young one after this."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        wanted = keys.difference(self.young)
+        self.young.update((k, self.old[k]) for k in wanted.intersection(self.old))
+        return list(wanted.difference(self.old))
+
+
 class WordEncoder:
-    """A tokenizer with a bounded cache of words, for rules under which white space parts all tokens."""
+    """A tokenizer with bounded caches of words, for rules under which white space parts all tokens.
+
+    A word of ASCII letters is one unit under these rules whatever its case, and so
+    are full stops and commas after it; the model segments such units directly.
+    """
+
+    plain = re.compile(rb"([A-Za-z]+)([.,]*)")
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.words, self.units = Cache(CACHE_WORDS), Cache(CACHE_WORDS)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
         words = [(t or "").encode().split() for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = list(set().union(*words).difference(self.cache))
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.cache.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(new, found))
-        return [b"".join(map(self.cache.__getitem__, w)) for w in words]
+        new = self.words.missing(set().union(*words))
+        known = self.words.young
+        matched = [(w, m) for w, m in zip(new, map(self.plain.fullmatch, new)) if m]
+        parts = [(w, m[1].lower(), m[2]) for w, m in matched]
+        units = {p for _, unit, tail in parts for p in (unit, tail) if p}
+        fresh = self.units.missing(units)
+        found_units = self.units.young
+        found_units.update((u, struct.pack(f"<{len(t)}I", *[x.id for x in t])) for u, t in ((u, self.model.tokenize(u.decode())) for u in fresh))
+        found_units[b""] = b""
+        known.update((w, found_units[unit] + found_units[tail]) for w, unit, tail in parts)
+        others = [w for w in new if w not in known]
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False)
+        known.update((w, struct.pack(f"<{len(e.ids)}I", *e.ids)) for w, e in zip(others, found))
+        return [b"".join(map(known.__getitem__, w)) for w in words]
 
 
 @lru_cache(maxsize=4)
