@@ -28,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ from spotgrid.plans.sizing import bounded
 END_ID = 1
 BLOCK_TOKENS = 1 << 20
 CACHE_WORDS = 300_000
+#: Bytes of text whose words are looked up together.
+PASS_BYTES = 8 << 20
 #: Bytes of text per range of ids, and the most ranges there are.
 RANGE_BYTES, MOST_RANGES = 32 << 20, 10_000
 
@@ -109,18 +112,24 @@ class Cache:
         if len(self.young) > self.most:
             self.young, self.old = {}, self.young
         wanted = keys.difference(self.young)
-        self.young.update((k, self.old[k]) for k in wanted.intersection(self.old))
-        return list(wanted.difference(self.old))
+        kept, new = [], []
+        for k in wanted:
+            (kept if k in self.old else new).append(k)
+        self.young.update((k, self.old[k]) for k in kept)
+        return new
 
 
 class WordEncoder:
     """A tokenizer with bounded caches of words, for rules under which white space parts all tokens.
 
-    A word of ASCII letters is one unit under these rules whatever its case, and so
-    are full stops and commas after it; the model segments such units directly.
+    Under these rules a token never joins an ASCII letter with the signs after it, and
+    the case of ASCII letters is lost, so a word is looked up as its letters in lower
+    case and its closing signs.  Words with digits, apostrophes or the marks of
+    special tokens, and those that end otherwise, are encoded as they are.  Units of
+    ASCII need no normalisation, and the model segments them directly.
     """
 
-    plain = re.compile(rb"([A-Za-z]+)([.,]*)")
+    plain = re.compile(rb"([A-Za-z\x80-\xff]*[A-Za-z])([!-&(-/:;=-@\[-`{}~]*)")
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
@@ -140,14 +149,19 @@ class WordEncoder:
         units = {p for _, unit, tail in parts for p in (unit, tail) if p}
         fresh = self.units.missing(units)
         found_units = self.units.young
-        found_units.update((u, struct.pack(f"<{len(t)}I", *[x.id for x in t])) for u, t in ((u, self.model.tokenize(u.decode())) for u in fresh))
+        bare = [u for u in fresh if u.isascii()]
+        found_units.update((u, struct.pack(f"<{len(t)}I", *[x.id for x in t])) for u, t in ((u, self.model.tokenize(u.decode())) for u in bare))
+        found_units.update(self._whole([u for u in fresh if not u.isascii()]))
         found_units[b""] = b""
         known.update((w, found_units[unit] + found_units[tail]) for w, unit, tail in parts)
-        others = [w for w in new if w not in known]
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False)
-        known.update((w, struct.pack(f"<{len(e.ids)}I", *e.ids)) for w, e in zip(others, found))
+        known.update(self._whole([w for w in new if w not in known]))
         return [b"".join(map(known.__getitem__, w)) for w in words]
 
+    def _whole(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Words with their ids, by all steps of the tokenizer."""
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return ((w, struct.pack(f"<{len(ids)}I", *ids)) for w, ids in zip(words, (e.ids for e in found)))
+
 
 @lru_cache(maxsize=4)
 def load(path: str) -> WordEncoder:
@@ -155,6 +169,14 @@ def load(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def _passes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of ids and texts with about ``PASS_BYTES`` of text each, or one longer text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // PASS_BYTES, prepend=-1)).tolist()
+    for start, end in zip(cuts, [*cuts[1:], batch.num_rows]):
+        yield batch.slice(start, end - start)
+
+
 def _write_blocks(path: str, end_id: int, block_tokens: int):
     end = np.array([end_id], dtype="<u4").tobytes()
 
@@ -170,8 +192,7 @@ def _write_blocks(path: str, end_id: int, block_tokens: int):
         encoder, part = load(path), TaskContext.get().partitionId()
         ids, encoded, held, block = [], [], 0, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
+            for some in _passes(batch):
                 for doc_id, found in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist())):
                     ids.append(doc_id)
                     encoded.append(found + end)

@@ -48,7 +48,14 @@ def test_words_give_the_ids_of_whole_texts(texts):
     assert got == whole(texts)
 
 
-@pytest.mark.parametrize("text", ["it's  <|endoftext|> 's a<|endoftext|>b", "é ́x", "a b c\x1cd\x85e", "ΣΑΣ ΣΑΣ", "​ ﻿"])
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="aAeZsS'’.,!?-_:;<|>é́ÉİßΣ1٣%$#`~[](){}/\\ \n日", max_size=12), max_size=6))
+def test_marks_and_letters_give_the_ids_of_whole_texts(texts):
+    got = [np.frombuffer(b, dtype="<u4").tolist() + [1] for b in token_files.load(token_files.default_tokenizer()).encode(texts)]
+    assert got == whole(texts)
+
+
+@pytest.mark.parametrize("text", ["Don't STOP<|EndOfText|>, x's. été.", "it's  <|endoftext|> 's a<|endoftext|>b", "é ́x", "a b c\x1cd\x85e", "ΣΑΣ ΣΑΣ", "​ ﻿"])
 def test_odd_texts(text):
     got = np.frombuffer(token_files.load(token_files.default_tokenizer()).encode([text])[0], dtype="<u4").tolist() + [1]
     assert got == whole([text])[0]
