@@ -11,7 +11,7 @@ from spotgrid.operators.codebook import fit_codebook
 from spotgrid.operators.raster import patch_vectors
 from spotgrid.plans.dataset import gene_conditions
 from spotgrid.plans.session import cut_lineage, shared_folder
-from spotgrid.plans.training import refine_codebook, train_flow, train_scorer
+from spotgrid.plans.training import flow_steps, refine_codebook, train_flow, train_scorer
 from spotgrid.sources import tables
 
 ROUNDS = 3
@@ -82,7 +82,8 @@ def _(spark, folder):
     return loss.select(r6("loss").alias("loss"))
 
 
-FLOW_STEPS, FLOW_BATCH = 29, 32
+#: The query takes its steps from the table, ``FLOW_PASSES`` passes; its SQL has the number for tables of 500 rows.
+FLOW_STEPS, FLOW_BATCH, FLOW_PASSES = 29, 32, 2.4
 part("y_batches", f"SELECT CAST(ceil(count(*) / {FLOW_BATCH}.0) AS BIGINT) AS per_epoch FROM v_split WHERE train")
 part(
     "y_plan",
@@ -127,9 +128,10 @@ def _(spark, folder):
     tokens = cut_lineage(inputs.tokens(spark, folder))
     conditions = tables.embedding_conditions(spark, folder)
     settings = dict(valid_frac=0.25, seed=5, scale=1.5, dropout=0.25)
-    scorer, metrics = train_flow(tokens, conditions, inputs.CODES, FLOW_STEPS, FLOW_BATCH, shared_folder(spark, "flow"), **settings)
+    steps = flow_steps(conditions, FLOW_BATCH, FLOW_PASSES, settings["valid_frac"])
+    scorer, metrics = train_flow(tokens, conditions, inputs.CODES, steps, FLOW_BATCH, shared_folder(spark, "flow"), **settings)
     told = scorer.seen.where(F.col("cond") != scoring.NULL_COND).agg(F.sum("n").cast("double").alias("value"))
-    told = told.select(F.lit(FLOW_STEPS - 1).cast("long").alias("step"), F.lit(None).cast("int").alias("epoch"), F.lit("told").alias("key"), "value")
+    told = told.select(F.lit(steps - 1).cast("long").alias("step"), F.lit(None).cast("int").alias("epoch"), F.lit("told").alias("key"), "value")
     return metrics.withColumn("value", r6("value")).unionByName(told)
 
 

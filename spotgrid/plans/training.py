@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,6 +94,12 @@ def train_scorer(
     return scorer, scorer.cross_entropy(labels, mask_id, scale)
 
 
+def flow_steps(conditions: DataFrame, batch_size: int, passes: float, valid_frac: float = VALID_FRAC) -> int:
+    """Steps of :func:`train_flow` that make ``passes`` passes over the training samples, the last one rounded up."""
+    train = conditions.count() if valid_frac == 0 else int((1.0 - valid_frac) * conditions.count())
+    return max(1, math.ceil(passes * -(-train // batch_size)))
+
+
 def train_flow(
     tokens: DataFrame,
     conditions: DataFrame,
