@@ -1,12 +1,13 @@
 """Token-id files: frequency-ranked ids in byte-aligned codes, control bytes apart from data bytes.
 
 Documents are dealt by ranges of their ids, encoded by the tokenizers library in
-ascending order, and packed into blocks of whole documents.  A block counts its
-ids, gives rank 0 to the most frequent one, and writes every rank in one to four
-bytes; two bits per rank in the control bytes say how many.  It is decoded by
-looking up each control byte's four lengths in a table.  A block holds its own
-table of ranks, so it is written in the one pass that encodes its documents and
-decodes alone; a file is a Parquet table with a row per block.
+ascending order, and held in blocks of whole documents.  Each block counts its
+ids; the counts of all blocks, added up, give rank 0 to the most frequent id of
+all documents.  A second pass looks the blocks' ids up in this table of ranks and
+writes every rank in one to four bytes; two bits per rank in the control bytes say
+how many.  It is decoded by looking up each control byte's four lengths in a
+table.  A file is a Parquet table with a row per block and one with the ranked ids,
+which are at most the tokenizer's vocabulary.
 
 White space never shares a token with a word under this tokenizer's rules, so each
 distinct word of a batch is encoded once and looked up after that; the ids are
@@ -33,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spotgrid.llm.common import stored
 from spotgrid.llm.registry import query, table
 from spotgrid.plans.session import shared_folder
 from spotgrid.plans.sizing import bounded
@@ -45,7 +47,9 @@ PASS_BYTES = 8 << 20
 #: Bytes of text per range of ids, and the most ranges there are.
 RANGE_BYTES, MOST_RANGES = 32 << 20, 10_000
 
-BLOCK_SCHEMA = "part int, block int, n_tokens bigint, doc_ids array<bigint>, doc_tokens array<bigint>, ranks binary, control binary, data binary"
+#: Blocks as the first pass holds them, and as they are written.
+HELD_SCHEMA = "part int, block int, n_tokens bigint, doc_ids array<bigint>, doc_tokens array<bigint>, known binary, counts binary, planes binary"
+BLOCK_SCHEMA = "part int, block int, n_tokens bigint, doc_ids array<bigint>, doc_tokens array<bigint>, control binary, data binary"
 #: Lengths of the four codes of each control byte.
 LENGTHS = np.stack([(np.arange(256) >> shift & 3) + 1 for shift in (0, 2, 4, 6)], axis=1).astype(np.int64)
 #: Ids below are counted in one array, larger ones by sorting.
@@ -81,23 +85,44 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return wide & MASKS[lengths]
 
 
-def pack_block(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """Ids by falling frequency (ties by id), and the packed ranks."""
+def rank_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids by falling frequency (ties by id), their counts, and the rank of each id."""
     if len(ids) and ids.max() >= COUNTED_IDS:
         known, places, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    else:
-        every = np.bincount(ids)
-        known = np.flatnonzero(every)
-        places, counts = ids, every[known]
-    order = known[np.argsort(-counts, kind="stable")] if places is ids else np.argsort(-counts, kind="stable")
-    rank = np.empty(order.max(initial=0) + 1, dtype=np.uint32)
-    rank[order] = np.arange(len(order))
-    ranked = order if places is ids else known[order]
-    return ranked.astype("<u4").tobytes(), *pack(rank[places])
+        order = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(order), dtype=np.uint32)
+        rank[order] = np.arange(len(order))
+        return known[order], counts[order], rank[places]
+    every = np.bincount(ids)
+    known = np.flatnonzero(every)
+    known = known[np.argsort(-every[known], kind="stable")]
+    rank = np.empty(len(every), dtype=np.uint32)
+    rank[known] = np.arange(len(known))
+    return known, every[known], rank[ids]
+
+
+def pack_block(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """A block by itself: its ids by falling frequency (ties by id), and the packed ranks."""
+    known, _, ranks = rank_block(ids)
+    return known.astype("<u4").tobytes(), *pack(ranks)
+
+
+def to_planes(values: np.ndarray) -> bytes:
+    """The low bytes of unsigned numbers, then the next ones, as far as the largest number reaches."""
+    width = 1 + sum(len(values) and int(values.max()) > m for m in (0xFF, 0xFFFF, 0xFFFFFF))
+    return np.ascontiguousarray(np.ascontiguousarray(values, dtype="<u4").view(np.uint8).reshape(-1, 4)[:, :width].T).tobytes()
+
+
+def from_planes(planes: bytes, n: int) -> np.ndarray:
+    """The ``n`` numbers behind planes of bytes."""
+    values = np.zeros(n, dtype=np.uint32)
+    for i in range(len(planes) // n if n else 0):
+        values |= np.frombuffer(planes, dtype=np.uint8, count=n, offset=i * n).astype(np.uint32) << np.uint32(8 * i)
+    return values
 
 
 def unpack_block(ranks: bytes, control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The ids of a block."""
+    """The ids of a block, by the table of ranks it was packed with."""
     return np.frombuffer(ranks, dtype="<u4")[unpack(control, data, n)]
 
 
@@ -177,16 +202,20 @@ def _passes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, end - start)
 
 
-def _write_blocks(path: str, end_id: int, block_tokens: int):
+def _block_row(values: list, schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64()), "binary": pa.binary()}
+    names, types = zip(*(c.split() for c in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, type=kinds[t]) for v, t in zip(values, types)], names=names)
+
+
+def _hold_blocks(path: str, end_id: int, block_tokens: int):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def row(part: int, block: int, ids: list[int | None], encoded: list[bytes]) -> pa.RecordBatch:
         flat = np.frombuffer(b"".join(encoded), dtype="<u4")
-        ranks, control, data = pack_block(flat)
-        values = [[part], [block], [len(flat)], [ids], [[len(e) // 4 for e in encoded]], [ranks], [control], [data]]
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
-        names = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(values, kinds)], names=names)
+        known, counts, ranks = rank_block(flat)
+        held = [known.astype("<u4").tobytes()], [counts.astype("<u4").tobytes()], [to_planes(ranks)]
+        return _block_row([[part], [block], [len(flat)], [ids], [[len(e) // 4 for e in encoded]], *held], HELD_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = load(path), TaskContext.get().partitionId()
@@ -206,27 +235,67 @@ def _write_blocks(path: str, end_id: int, block_tokens: int):
     return run
 
 
+def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids with their counts, over all blocks of a task."""
+    ids, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    for batch in batches:
+        for known, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            both = np.concatenate((ids, np.frombuffer(known, dtype="<u4"))), np.concatenate((counts, np.frombuffer(n, dtype="<u4")))
+            ids, places = np.unique(both[0], return_inverse=True)
+            counts = np.zeros(len(ids), dtype=np.int64)
+            np.add.at(counts, places, both[1])
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64())], names=["token_id", "n"])
+
+
+def _rank_ids(held: DataFrame) -> np.ndarray:
+    """All ids of the held blocks by falling frequency (ties by id); as many as the vocabulary has at most."""
+    counts = held.select("known", "counts").mapInArrow(_count_ids, "token_id bigint, n bigint")
+    rows = counts.groupBy("token_id").agg(F.sum("n").alias("n")).collect()
+    return np.array([r["token_id"] for r in sorted(rows, key=lambda r: (-r["n"], r["token_id"]))], dtype="<u4")
+
+
+def _recode(ranked: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = np.frombuffer(ranked, dtype="<u4")
+        by_id = np.argsort(ids).astype(np.uint32)
+        ascending = ids[by_id]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                n, known, planes = (batch.column(c)[i].as_py() for c in (2, 5, 7))
+                codes = by_id[np.searchsorted(ascending, np.frombuffer(known, dtype="<u4"))]
+                control, data = pack(codes[from_planes(planes, n)])
+                yield _block_row([*(c.slice(i, 1) for c in batch.columns[:5]), [control], [data]], BLOCK_SCHEMA)
+
+    return run
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> None:
     """Write the ids of ``doc_id, text`` to ``path`` in ascending order of ids."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = min(MOST_RANGES, max(1, -(-size // RANGE_BYTES)))
     ordered = docs.select("doc_id", "text").repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_write_blocks(tokenizer or default_tokenizer(), end_id, block_tokens), BLOCK_SCHEMA).write.parquet(path)
+    held = stored(ordered.mapInArrow(_hold_blocks(tokenizer or default_tokenizer(), end_id, block_tokens), HELD_SCHEMA), "token-blocks")
+    ranked = _rank_ids(held).tobytes()
+    held.mapInArrow(_recode(ranked), BLOCK_SCHEMA).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    docs.sparkSession.createDataFrame([(ranked,)], "ranks binary").coalesce(1).write.parquet(f"{path}/ranks")
 
 
-def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for one in batch.to_pylist():
-            counts = np.array(one["doc_tokens"], dtype=np.int64)
-            ids = unpack_block(one["ranks"], one["control"], one["data"], one["n_tokens"])
-            offsets = pa.array(np.concatenate(([0], np.cumsum(counts) * 4)).astype(np.int32))
-            binary = pa.Array.from_buffers(pa.binary(), len(counts), [None, offsets.buffers()[1], pa.py_buffer(ids.astype("<u4").tobytes())])
-            n = len(counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([one["part"]] * n, pa.int32()), pa.array([one["block"]] * n, pa.int32()), pa.array(np.arange(n), pa.int32()),
-                 pa.array(one["doc_ids"], pa.int64()), pa.array(np.cumsum(counts) - counts), binary],
-                names=["part", "block", "place", "doc_id", "before", "ids"],
-            )
+def _read_blocks(ranks: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one in batch.to_pylist():
+                counts = np.array(one["doc_tokens"], dtype=np.int64)
+                ids = unpack_block(ranks, one["control"], one["data"], one["n_tokens"])
+                offsets = pa.array(np.concatenate(([0], np.cumsum(counts) * 4)).astype(np.int32))
+                binary = pa.Array.from_buffers(pa.binary(), len(counts), [None, offsets.buffers()[1], pa.py_buffer(ids.astype("<u4").tobytes())])
+                n = len(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([one["part"]] * n, pa.int32()), pa.array([one["block"]] * n, pa.int32()), pa.array(np.arange(n), pa.int32()),
+                     pa.array(one["doc_ids"], pa.int64()), pa.array(np.cumsum(counts) - counts), binary],
+                    names=["part", "block", "place", "doc_id", "before", "ids"],
+                )
+
+    return run
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -235,13 +304,14 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     ``ids`` holds little-endian 32-bit numbers; ``before`` counts the block's ids
     ahead of the document.
     """
-    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
-    return blocks.mapInArrow(_read_blocks, "part int, block int, place int, doc_id bigint, before bigint, ids binary")
+    ranks = bytes(spark.read.parquet(f"{path}/ranks").first()["ranks"])
+    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
+    return blocks.mapInArrow(_read_blocks(ranks), "part int, block int, place int, doc_id bigint, before bigint, ids binary")
 
 
 def block_starts(spark: SparkSession, path: str) -> DataFrame:
     """``part, block, block_start``: ids in the whole file ahead of each block.  Reads no ids."""
-    index = spark.read.schema(BLOCK_SCHEMA).parquet(path).select("part", "block", "n_tokens")
+    index = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks").select("part", "block", "n_tokens")
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most MOST_RANGES rows
     parts = index.groupBy("part").agg(F.sum("n_tokens").alias("total")).select("part", F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("part_start"))
     within = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,6 +1,7 @@
 """Token files against whole-text encoding, and exact round trips of the coding."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -77,3 +78,23 @@ def test_rows_in_small_blocks(spark, tmp_path):
     assert sorted(got, key=lambda r: r[1]) == plain_rows(docs)
     token_files.write_tokens(df.where("false"), path + "-none")
     assert token_files.read_tokens(spark, path + "-none").count() == 0
+
+
+def test_ranks_count_all_documents(spark, tmp_path):
+    # The first blocks hold "a" most often, all documents together hold "b" most often.
+    docs = [(i, "a a a b") for i in range(6)] + [(i, "b b b b b c") for i in range(6, 18)]
+    path = str(tmp_path / "tokens")
+    token_files.write_tokens(spark.createDataFrame(docs, "doc_id long, text string"), path, block_tokens=4)
+    counts = Counter(x for ids in whole([t for _, t in docs]) for x in ids)
+    want = sorted(counts, key=lambda x: (-counts[x], x))
+    blocks = spark.read.parquet(f"{path}/blocks").orderBy("part", "block").collect()
+    assert len(blocks) > 6
+    codes = [token_files.unpack(b["control"], b["data"], b["n_tokens"]).tolist() for b in blocks]
+    assert [[want[c] for c in block] for block in codes] == whole([t for _, t in docs])
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 2**32 - 1), st.integers(0, 300)), max_size=40))
+def test_planes_round_trip(values):
+    array = np.array(values, dtype=np.uint32)
+    assert token_files.from_planes(token_files.to_planes(array), len(values)).tolist() == values
