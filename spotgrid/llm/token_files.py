@@ -9,9 +9,9 @@ how many.  It is decoded by looking up each control byte's four lengths in a
 table.  A file is a Parquet table with a row per block and one with the ranked ids,
 which are at most the tokenizer's vocabulary.
 
-White space never shares a token with a word under this tokenizer's rules, so each
-distinct word of a batch is encoded once and looked up after that; the ids are
-those of the whole text.
+White space never shares a token with a word under the default tokenizer's rules, so
+each distinct word of a batch is encoded once and looked up after that; the ids are
+those of the whole text.  A tokenizer file with any other rules encodes whole texts.
 
 Rows: a null text counts as empty and has the end id alone; null ids come first;
 documents of one id are ordered by text; repeated rows are written each; an empty
@@ -21,6 +21,7 @@ table gives an empty file; other columns are ignored.  Memory: one block of
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spotgrid.llm.common import stored
+from spotgrid.llm.common import SPACE_CHARS, stored
 from spotgrid.llm.registry import query, table
 from spotgrid.plans.session import shared_folder
 from spotgrid.plans.sizing import bounded
@@ -144,12 +145,36 @@ class Cache:
         return new
 
 
+#: Rules of a tokenizer file under which words may be encoded one by one.
+WORD_RULES = {
+    "truncation": None,
+    "padding": None,
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def parts_at_words(rules: dict) -> bool:
+    """True if a tokenizer file's rules are :data:`WORD_RULES` and its special tokens lie inside words that are encoded as they are."""
+    inside = lambda t: set(t["content"]) & set("<|") and not set(t["content"]) & set(SPACE_CHARS)
+    exact = lambda t: not any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    added = all(inside(t) and exact(t) for t in rules.get("added_tokens") or [])
+    return added and not rules["model"].get("dropout") and all(rules.get(k) == v for k, v in WORD_RULES.items())
+
+
 class WordEncoder:
     """A tokenizer with bounded caches of words, for rules under which white space parts all tokens.
 
-    Under these rules a token never joins an ASCII letter with the signs after it, and
-    the case of ASCII letters is lost, so a word is looked up as its letters in lower
-    case and its closing signs.  Words with digits, apostrophes or the marks of
+    Files with other rules than :data:`WORD_RULES` encode whole texts.  Under these
+    rules a token never joins an ASCII letter with the signs after it, and the case of
+    ASCII letters is lost, so a word is looked up as its letters in lower case and its
+    closing signs.  Words with digits, apostrophes or the marks of
     special tokens, and those that end otherwise, are encoded as they are.  Units of
     ASCII need no normalisation, and the model segments them directly.
     """
@@ -162,10 +187,14 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.by_words = parts_at_words(json.loads(self.tokenizer.to_str()))
         self.words, self.units = Cache(CACHE_WORDS), Cache(CACHE_WORDS)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
+        if not self.by_words:
+            found = self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+            return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
         words = [(t or "").encode().split() for t in texts]
         new = self.words.missing(set().union(*words))
         known = self.words.young

@@ -98,3 +98,14 @@ def test_ranks_count_all_documents(spark, tmp_path):
 def test_planes_round_trip(values):
     array = np.array(values, dtype=np.uint32)
     assert token_files.from_planes(token_files.to_planes(array), len(values)).tolist() == values
+
+
+def test_other_tokenizer_files_encode_whole_texts():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Two  spaces, CASE and\n\tlines ", "", None, " a a", "don't<|endoftext|> x"]
+    tok = tokenizers.Tokenizer.from_file(path)
+    want = [e.ids for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [np.frombuffer(b, dtype="<u4").tolist() for b in token_files.load(path).encode(texts)] == want
+    assert token_files.load(token_files.default_tokenizer()).by_words
