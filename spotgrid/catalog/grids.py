@@ -99,7 +99,7 @@ def _sample_set(spark, folder, scrna_genes=None):
     LEFT JOIN e_pixels e ON e.gene_idx = g.gene_idx AND e.px * 8 + e.py = i""",
 )
 def _(spark, folder):
-    pairs = _sample_set(spark, folder).arrays(8)
+    pairs = _sample_set(spark, folder).arrays(tables.turns(spark, folder))  # the SQL has 8
     cells = lambda part, array: pairs.select("gene_idx", F.lit(part).alias("part"), F.posexplode(array).alias("pos", "value"))
     both = cells("count", "counts").unionByName(cells("image", "image"))
     return both.select("gene_idx", "part", "pos", F.col("value").cast("double").alias("value"))

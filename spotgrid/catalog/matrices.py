@@ -93,7 +93,7 @@ def _(spark, folder):
     counts = turns.select(
         F.col("conv_id").cast("int").alias("gene_idx"), F.col("turn").cast("int").alias("cell_idx"), F.length("text").cast("float").alias("count")
     )
-    dense = matrix.dense_counts(counts, 8, genes, block=3)
+    dense = matrix.dense_counts(counts, tables.turns(spark, folder), genes, block=3)  # the SQL has 8
     return dense.select("gene_idx", "cell_idx", F.col("count").cast("double").alias("value"))
 
 

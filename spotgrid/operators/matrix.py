@@ -32,11 +32,12 @@ def gene_vector_blocks(counts: DataFrame, cells: int, block: int, genes: DataFra
 
     A group has at most ``block`` entries, however many cells there are.  A block
     without entries is all zero; it is absent unless ``genes(gene_idx)`` asks for
-    all blocks of all its genes.
+    all blocks of all its genes.  A ``cell_idx`` of ``cells`` or more raises.
     """
     pos = (F.col("cell_idx") % F.lit(block)).cast("int")
     entry = F.struct(pos.alias("pos"), F.col("count").cast("float").alias("item"))
     at = F.floor(F.col("cell_idx") / F.lit(block)).cast("int")
+    at = F.when(F.col("cell_idx") >= cells, F.raise_error(F.lit(f"a cell_idx lies beyond {cells} cells")).cast("int")).otherwise(at)
     grouped = counts.groupBy("gene_idx", at.alias("block")).agg(F.collect_list(entry).alias("entries"))
     if genes is not None:
         numbers = F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-cells // block) - 1))))

@@ -91,6 +91,11 @@ def embedding_conditions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def turns(spark: SparkSession, folder: str) -> int:
+    """Turns of the longest conversation."""
+    return 1 + table(spark, folder, "conversations").agg(F.coalesce(F.max("turn"), F.lit(-1))).first()[0]
+
+
 def event_metrics(spark: SparkSession, folder: str, per_step: int) -> DataFrame:
     """``metrics(step, key, value, ord)``: consecutive events form the steps."""
     step = F.floor(F.col("event_id") / F.lit(per_step)).cast("long")
