@@ -290,6 +290,62 @@ def _(spark, folder):
     return out.select("query_id.*", *[r6(F.col("result")[i]).alias(f"r{i}") for i in range(4)])
 
 
+def _slice_score(a: list[str], b: list[str]) -> str:
+    """Scaled cosine of two slices of components; a slice of zeros scores 0."""
+    length = lambda v: f"greatest(sqrt({' + '.join(f'({x}) * ({x})' for x in v)}), 1e-12)"
+    return f"8 * ({' + '.join(f'({x}) * ({y})' for x, y in zip(a, b))}) / ({length(a)} * {length(b)})"
+
+
+_KEYS = [f"k[{i + 1}]" for i in range(4)]
+part("a_keys", "SELECT cvec AS k FROM e_codebook WHERE cvec[1] >= cvec[2]")
+part(
+    "a_heads",
+    " UNION ALL ".join(
+        f"""SELECT gene_idx, prow, pcol, {h} AS h, k[{2 * h + 1}] AS a, k[{2 * h + 2}] AS b, {_slice_score([f"v{2 * h}", f"v{2 * h + 1}"], _KEYS[2 * h : 2 * h + 2])} AS s
+    FROM e_patches CROSS JOIN a_keys UNION ALL SELECT gene_idx, prow, pcol, {h}, 0.5, 0.5, {_slice_score([f"v{2 * h}", f"v{2 * h + 1}"], ["1 - " + str(h), "0"])} FROM e_patches"""
+        for h in range(2)
+    ),
+)
+
+
+@query(
+    "soft_lookup_heads",
+    "SELECT gene_idx, prow, pcol, "
+    + ", ".join(R6(f"sum(exp(s) * {c}) FILTER (h = {h}) / sum(exp(s)) FILTER (h = {h})") + f" AS r{2 * h + i}" for h in range(2) for i, c in enumerate("ab"))
+    + " FROM a_heads GROUP BY 1, 2, 3",
+)
+def _(spark, folder):
+    queries = inputs.patches(spark, folder).select(F.struct("gene_idx", "prow", "pcol").alias("query_id"), "vec")
+    usable = (F.col("vec")[0] >= F.col("vec")[1]).alias("usable")
+    context = inputs.codebook(spark, folder).select(
+        F.col("code_id").alias("key_id"), F.col("vec").alias("key_vec"), F.col("vec").alias("value_vec"), usable
+    )
+    out = lookup.soft_lookup(queries, context, [1.0, 0.0, 0.0, 0.0], [0.5] * 4, heads=2)
+    return out.select("query_id.*", *[r6(F.col("result")[i]).alias(f"r{i}") for i in range(4)])
+
+
+part(
+    "a_own",
+    f"""SELECT q.gene_idx, q.prow, q.pcol, [c.v0, c.v1, c.v2, c.v3] AS k, {_slice_score([f"q.v{i}" for i in range(4)], [f"c.v{i}" for i in range(4)])} AS s
+    FROM e_patches q JOIN e_patches c USING (gene_idx) WHERE c.prow >= c.pcol
+    UNION ALL SELECT gene_idx, prow, pcol, [CAST(0.5 AS DOUBLE), 0.5, 0.5, 0.5], {_slice_score([f"v{i}" for i in range(4)], ["1", "0", "0", "0"])} FROM e_patches""",
+)
+
+
+@query(
+    "soft_lookup_own",
+    "SELECT gene_idx, prow, pcol, " + ", ".join(R6(f"sum(exp(s) * k[{i + 1}]) / sum(exp(s))") + f" AS r{i}" for i in range(4)) + " FROM a_own GROUP BY 1, 2, 3",
+)
+def _(spark, folder):
+    patches = inputs.patches(spark, folder)
+    place = F.struct("gene_idx", "prow", "pcol")
+    queries = patches.select(place.alias("query_id"), "vec", "gene_idx")
+    usable = (F.col("prow") >= F.col("pcol")).alias("usable")
+    context = patches.select(place.alias("key_id"), F.col("vec").alias("key_vec"), F.col("vec").alias("value_vec"), usable, "gene_idx")
+    out = lookup.soft_lookup(queries, context, [1.0, 0.0, 0.0, 0.0], [0.5] * 4, by="gene_idx")
+    return out.select("query_id.*", *[r6(F.col("result")[i]).alias(f"r{i}") for i in range(4)])
+
+
 def _canvas_sql(timesteps: int, seed: int) -> str:
     """Unrolled SQL of the decoding loop over the candidate table."""
     for step in masking.schedule_steps(inputs.SIDE**2, timesteps):

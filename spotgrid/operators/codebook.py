@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spotgrid.functions.arrays import any_nonzero, fill_gaps, l2_normalize
+from spotgrid.functions.arrays import any_nonzero, fill_gaps, known, l2_normalize
 from spotgrid.functions.keyed import uniform
 from spotgrid.functions.scalars import flatten_pos, grid_side, unflatten_pos
+from spotgrid.operators.meeting import BLOCK_BYTES, as_matrix, meet, numbered, rows_and_bytes, small_table
 from spotgrid.operators.raster import patch_vectors, unpatch
 from spotgrid.operators.vector_sums import sum_vectors
 from spotgrid.plans.session import cut_lineage
-from spotgrid.plans.sizing import BROADCAST_LIMIT, bounded, vector_slices
+from spotgrid.plans.sizing import BROADCAST_LIMIT, bounded
 
 # Default number of codes and decay of the moving average.
 CODES = 512
@@ -60,13 +61,8 @@ def fit_codebook(vectors: DataFrame, k: int = CODES, seed: int = 0, rounds: int
     return blank.unionByName(codes)
 
 
-def known(vec: Column) -> Column:
-    """The vector with missing components (null or NaN) as zero."""
-    return F.transform(vec, lambda x: F.when(x.isNull() | F.isnan(x), F.lit(0.0).cast("double")).otherwise(x.cast("double")))
-
-
 def code_sums(members: DataFrame) -> DataFrame:
-    """``(code_id, n, total)``: count and element-wise sum of the member vectors; missing components count as zero."""
+    """``(code_id, n, total)``: count and element-wise sum of the member vectors; missing components count as zero, null vectors are no members."""
     return sum_vectors(members.withColumn("vec", known(F.col("vec"))), "code_id")
 
 
@@ -75,53 +71,76 @@ def assign_codes(
 ) -> DataFrame:
     """Add ``code_id`` and ``sim``: the code with the highest cosine similarity, ties to the lowest id.
 
-    A missing component (null or NaN) counts as zero.
+    A missing component (null or NaN) counts as zero; a null vector has no direction
+    and takes the lowest code, the blank one of :func:`fit_codebook`.  Vectors of
+    another length than the codes raise.
 
-    All pairs are inherent here, so they run as matrix products over Arrow
-    batches.  The codebook is broadcast in slices of a checked size and the best
-    code so far travels with the row from slice to slice; a codebook beyond the
-    limit only means more slices.  ``held`` collects the broadcasts for a caller
-    that releases them once the result is materialised.
+    All pairs are inherent here, so they run as matrix products over Arrow batches.
+    A codebook of at most ``limit`` bytes is broadcast.  Of a larger one, blocks of
+    codes meet blocks of vectors on executors, and the best code per block is merged
+    by row.  ``held`` collects the broadcast for a caller that releases it once the
+    result is materialised.
     """
-    spark = vectors.sparkSession
-    held = [] if held is None else held
     names = vectors.columns
+    codes = codebook.select("code_id", "vec")
+    small = small_table(codes, limit, "vec")
+    if small is None:
+        return _assign_blocks(vectors, codes, limit)
+    ids, units = _units(small)
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, units))
+    if held is not None:
+        held.append(shared)
     schema = T.StructType(
         [*vectors.schema.fields, T.StructField("code_id", T.IntegerType()), T.StructField("sim", T.DoubleType())]
     )
-    digits, elements = TIE_DIGITS, BLOCK_ELEMENTS
-    out = vectors.withColumns({"code_id": F.lit(-1), "sim": F.lit(-2.0).cast("double")})
-    for ids, codes in vector_slices(codebook.select("code_id", "vec"), limit):
-        units = codes / np.maximum(np.sqrt((codes * codes).sum(axis=1, keepdims=True)), 1e-12)
-        shared = spark.sparkContext.broadcast((ids.astype(np.int32), units.T.copy()))
-        held.append(shared)
 
-        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, units = shared.value
-            step = max(1, elements // units.shape[1])
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                vecs = batch.column(names.index("vec")).flatten().to_numpy(zero_copy_only=False)
-                vecs = vecs.astype(np.float64).reshape(batch.num_rows, units.shape[0])
-                vecs = np.where(np.isnan(vecs), 0.0, vecs)
-                vecs = vecs / np.maximum(np.sqrt((vecs * vecs).sum(axis=1, keepdims=True)), 1e-12)
-                code = batch.column(len(names)).to_numpy().copy()
-                sim = batch.column(len(names) + 1).to_numpy().copy()
-                for at in range(0, batch.num_rows, step):
-                    scores = np.round(vecs[at : at + step] @ units, digits) + 0.0
-                    pick = scores.argmax(axis=1)
-                    top = scores[np.arange(len(pick)), pick]
-                    old_sim, old_code = sim[at : at + step], code[at : at + step]
-                    better = (top > old_sim) | ((top == old_sim) & (ids[pick] < old_code))
-                    sim[at : at + step] = np.where(better, top, old_sim)
-                    code[at : at + step] = np.where(better, ids[pick], old_code)
-                columns = [batch.column(i) for i in range(len(names))]
-                fields = [*names, "code_id", "sim"]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(code, pa.int32()), pa.array(sim)], fields)
-
-        out = out.mapInArrow(best, schema)
-    return out
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, units = shared.value
+        for batch in batches:
+            code, sim = _best_codes(batch.column(names.index("vec")), ids, units)
+            columns = [batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(code, pa.int32()), pa.array(sim)], [*names, "code_id", "sim"])
+
+    return vectors.mapInArrow(best, schema)
+
+
+def _units(codes: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending ids and their vectors of unit length, as columns."""
+    ids, matrix = codes.column("code_id").to_numpy(), as_matrix(codes.column("vec"), gaps=0.0)
+    order = np.argsort(ids, kind="stable")
+    matrix = matrix[order]
+    return ids[order].astype(np.int32), (matrix / np.maximum(np.sqrt((matrix * matrix).sum(axis=1, keepdims=True)), 1e-12)).T.copy()
+
+
+def _best_codes(vectors: pa.Array, ids: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code with the highest similarity, and that similarity, per vector; ties to the lowest id."""
+    n = len(vectors)
+    code, sim = np.zeros(n, dtype=np.int32), np.zeros(n)
+    if not len(ids):
+        raise ValueError("the codebook is empty")
+    vecs = as_matrix(vectors, units.shape[0], gaps=0.0) if n else np.zeros((0, units.shape[0]))
+    vecs = vecs / np.maximum(np.sqrt((vecs * vecs).sum(axis=1, keepdims=True)), 1e-12)
+    step = max(1, BLOCK_ELEMENTS // units.shape[1])
+    for at in range(0, n, step):
+        scores = np.round(vecs[at : at + step] @ units, TIE_DIGITS) + 0.0
+        pick = scores.argmax(axis=1)
+        code[at : at + step], sim[at : at + step] = ids[pick], scores[np.arange(len(pick)), pick]
+    return code, sim
+
+
+def _assign_blocks(vectors: DataFrame, codes: DataFrame, limit: int) -> DataFrame:
+    """:func:`assign_codes` with a codebook that is not broadcast."""
+    rows = numbered(vectors)
+    per_block = max(1, min(limit, BLOCK_BYTES) // rows_and_bytes(codes, "vec")[1])
+
+    def best(some: pa.Table, block: pa.Table) -> pa.Table:
+        code, sim = _best_codes(some.column("vec").combine_chunks(), *_units(block))
+        return pa.table({"_row": some.column("_row"), "sim": pa.array(sim), "code_id": pa.array(code, pa.int32())})
+
+    right = codes.select(F.col("code_id").alias("_id"), "code_id", "vec")
+    found = meet(rows.select("_row", "vec"), right, per_block, per_block, best, "_row bigint, sim double, code_id int")
+    top = found.groupBy("_row").agg(F.max(F.struct("sim", (-F.col("code_id")).alias("minus"))).alias("top"))
+    return rows.join(top, "_row").select(*vectors.columns, (-F.col("top.minus")).cast("int").alias("code_id"), F.col("top.sim").alias("sim"))
 
 
 def _codes(codebook: DataFrame, codes: int | None, dim: int | None) -> DataFrame:

@@ -8,9 +8,6 @@ Catalyst and adaptive execution then decide from measured sizes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,27 +23,3 @@ def bounded(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_LIM
     """Add a broadcast hint if the proven size allows it, else leave the join to Spark."""
     return F.broadcast(df) if fits(rows, row_bytes, limit) else df
 
-
-def vector_slices(
-    table: DataFrame, limit: int = BROADCAST_LIMIT, columns: tuple[str, ...] = ("vec",)
-) -> Iterator[tuple[np.ndarray, ...]]:
-    """Ids and vectors of ``(id, *columns)`` in slices of at most ``limit`` bytes, ids ascending.
-
-    ``table`` has the id in its first column.  One pass; the driver never holds
-    more than one slice, and a table of any size only means more slices.
-    """
-    key = table.columns[0]
-
-    def packed(rows: list) -> tuple[np.ndarray, ...]:
-        rows.sort(key=lambda r: r[0])
-        vectors = [np.array([r[i + 1] for r in rows], dtype=np.float64) for i in range(len(columns))]
-        return (np.array([r[0] for r in rows]), *vectors)
-
-    held: list = []
-    for row in table.select(key, *columns).toLocalIterator():
-        held.append(tuple(row))
-        if len(held) * (8 + 8 * sum(len(v) for v in held[-1][1:])) >= limit:
-            yield packed(held)
-            held = []
-    if held:
-        yield packed(held)

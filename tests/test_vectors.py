@@ -141,3 +141,100 @@ def test_gene_vectors_and_blocks(spark):
     dense = matrix.dense_counts(counts, 7, genes, block=4)
     assert dense.count() == 21 and dense.where("count != 0").count() == 3 and dense.where("gene_idx = 2").count() == 7
     assert {r["gene_idx"]: list(r["counts"]) for r in matrix.gene_vectors(counts, 7, genes).collect()}[2] == [0] * 7
+
+
+def plain_lookup(queries, keys, values, null_key, null_value, heads):
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    keys, values = np.concatenate([keys, [null_key]]), np.concatenate([values, [null_value]])
+    out = []
+    for q, k, v in zip(*(np.split(m, heads, axis=1) for m in (queries, keys, values))):
+        weights = np.exp(8 * unit(q) @ unit(k).T)
+        out.append(weights @ v / weights.sum(axis=1)[:, None])
+    return np.concatenate(out, axis=1)
+
+
+def lookup_context(spark, keys, values, usable=None, groups=None):
+    listed = [(i, [float(x) for x in k], [float(x) for x in v], usable is None or usable[i], groups[i] if groups else 0) for i, (k, v) in enumerate(zip(keys, values))]
+    return spark.createDataFrame(listed, "key_id int, key_vec array<double>, value_vec array<double>, usable boolean, sample long")
+
+
+@pytest.mark.parametrize("limit", [400, 1 << 30])
+def test_soft_lookup_with_heads(spark, limit):
+    queries, keys, values = RNG.normal(size=(40, 6)), RNG.normal(size=(19, 6)), RNG.normal(size=(19, 4))
+    queries[3, :3] = 0
+    null_key, null_value = [1.0, 0, 0, 2.0, 0, 0], [9.0, -9.0, 1.0, 2.0]
+    got = lookup.soft_lookup(vectors(spark, queries).withColumnRenamed("id", "query_id"), lookup_context(spark, keys, values), null_key, null_value, limit=limit, heads=2)
+    want = plain_lookup(queries, keys, values, null_key, null_value, 2)
+    assert np.allclose([r["result"] for r in sorted(got.collect(), key=lambda r: r["query_id"])], want)
+    with pytest.raises(ValueError, match="heads"):
+        lookup.soft_lookup(vectors(spark, queries), lookup_context(spark, keys, values), null_key, null_value, heads=4)
+
+
+def test_soft_lookup_in_the_own_context(spark):
+    """One sample has most rows and several blocks; one has no context; one key is null, one query too."""
+    queries, keys, values = RNG.normal(size=(50, 3)), RNG.normal(size=(40, 3)), RNG.normal(size=(40, 2))
+    q_of, k_of = [0 if i < 35 else i % 4 for i in range(50)], [0 if i < 30 else 1 + i % 2 for i in range(40)]
+    context = lookup_context(spark, keys, values, groups=k_of)
+    context = context.unionByName(spark.createDataFrame([(99, None, [1.0, 1.0], True, 0), (98, [1.0, 1.0, 1.0], None, True, 0), (97, [1.0, 1.0, 1.0], [5.0, 5.0], True, None)], context.schema))
+    asked = [(i, [float(x) for x in q], g) for i, (q, g) in enumerate(zip(queries, q_of))] + [(50, None, 0), (51, [1.0, None, 0.0], None)]
+    frame = spark.createDataFrame(asked, "query_id int, vec array<double>, sample long")
+    got = {r["query_id"]: r["result"] for r in lookup.soft_lookup(frame, context, [1.0, 0, 0], [3.0, 4.0], limit=300, by="sample").collect()}
+    assert len(got) == 52
+    for i, g in enumerate(q_of + [0, None]):
+        own = [j for j in range(40) if k_of[j] == g]
+        q = queries[i] if i < 50 else np.zeros(3) if i == 50 else np.array([1.0, 0, 0])
+        assert np.allclose(got[i], plain_lookup(q[None], keys[own], values[own], [1.0, 0, 0], [3.0, 4.0], 1)[0])
+    assert np.allclose(got[51], [3.0, 4.0])
+
+
+def test_null_vectors(spark):
+    rows = spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (2, [3.0, 4.0]), (3, None), (None, [7.0, 7.0])], "code_id int, vec array<double>").coalesce(1)
+    got = {r["code_id"]: (r["n"], r["total"]) for r in codebook.code_sums(rows).collect()}
+    assert got == {0: (1, [1.0, 2.0]), 2: (1, [3.0, 4.0])}
+    codes = book(spark, [[0, 0], [1, 0], [0, 1]])
+    for limit in (1, 1 << 30):
+        found = codebook.assign_codes(rows.withColumnRenamed("code_id", "id"), codes, limit)
+        assert [r["code_id"] for r in sorted(found.collect(), key=lambda r: 9 if r["id"] is None else r["id"])] == [2, 0, 2, 0, 1]
+    uneven = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0])], "code_id int, vec array<double>").coalesce(1)
+    for call in (lambda: codebook.code_sums(uneven), lambda: codebook.assign_codes(uneven.withColumnRenamed("code_id", "id"), codes)):
+        with pytest.raises(Exception, match="components of the others"):
+            call().collect()
+
+
+def test_more_codes_than_the_limit_pass_no_driver(spark, monkeypatch):
+    codes, vecs = RNG.normal(size=(300, 8)), RNG.normal(size=(500, 8))
+    frame, many = vectors(spark, vecs).withColumn("other", F.lit("kept")), book(spark, codes)
+    for name in ("toArrow", "toLocalIterator", "toPandas"):
+        monkeypatch.setattr(type(many), name, lambda *a, **b: pytest.fail("rows reach the driver"))
+    got = codebook.assign_codes(frame, many, limit=4000).select("id", "other", "code_id", "sim")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "CartesianProduct" not in plan
+    sims = (vecs / np.linalg.norm(vecs, axis=1)[:, None]) @ (codes / np.linalg.norm(codes, axis=1)[:, None]).T
+    found = sorted(got.collect(), key=lambda r: r["id"])
+    assert [r["code_id"] for r in found] == sims.argmax(axis=1).tolist() and {r["other"] for r in found} == {"kept"}
+
+
+def test_sums_are_added_up_as_arrays(spark, monkeypatch):
+    vecs, keys = RNG.normal(size=(3000, 7)), RNG.integers(0, 5, 3000)
+    data = [(int(k), [float(x) for x in v]) for k, v in zip(keys, vecs)]
+    df = spark.createDataFrame(data, "k int, vec array<double>").repartition(9)
+    for tasks in (64, 2):  # one level, and two
+        monkeypatch.setattr(vector_sums, "MERGED_TASKS", tasks)
+        out = vector_sums.sum_vectors(df, "k")
+        assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+        for r in out.collect():
+            assert r["n"] == int((keys == r["k"]).sum()) and np.allclose(r["total"], vecs[keys == r["k"]].sum(axis=0))
+
+
+def test_sparse_times_large_dense_with_a_hot_block(spark, monkeypatch):
+    monkeypatch.setattr(vector_sums, "BLOCK_ENTRIES", 50)
+    dense = RNG.normal(size=(60, 3))
+    entries = [(i % 11, int(c), float(v)) for i, (c, v) in enumerate(zip(np.where(RNG.random(900) < 0.7, 2, RNG.integers(0, 80, 900)), RNG.normal(size=900)))]
+    df = spark.createDataFrame(entries + [(None, 1, 2.0), (1, None, 2.0), (1, 1, None)], "r int, c int, v double")
+    want = np.zeros((11, 80))
+    for r, c, v in entries:
+        want[r, c] += v
+    got = vector_sums.sparse_times_dense(df, "r", "c", "v", vectors(spark, dense), 1000)
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    found = {r["r"]: r["total"] for r in got.collect()}
+    assert set(found) == set(range(11)) and all(np.allclose(found[r], want[r, :60] @ dense) for r in found)
