@@ -11,6 +11,7 @@ from spotgrid.catalog.registry import GUMBEL, R6, U, part, query, r6
 from spotgrid.functions.keyed import uniform
 from spotgrid.operators import decoding, generating, losses, lookup, masking, scoring
 from spotgrid.plans.session import cut_lineage
+from spotgrid.plans.sizing import join_shared
 from spotgrid.sources import tables
 
 MASK = inputs.CODES
@@ -89,7 +90,7 @@ class Flow:
         """Filtered per condition and position before any sample is joined."""
         kept = decoding.topk_filter(self.guided, inputs.CODES, keys=scoring.COND_KEYS)
         hidden = self.hidden.select("sample_id", "pos", "cond")
-        return hidden.join(kept, ["cond", "pos"]).select("sample_id", "pos", "token_id", "logit")
+        return join_shared(hidden, kept, ["cond", "pos"]).select("sample_id", "pos", "token_id", "logit")
 
     @cached_property
     def pred(self):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from spotgrid.functions.keyed import gumbel_noise, uniform
 from spotgrid.operators.masking import SETTLED_SCORE
+from spotgrid.plans.sizing import join_shared
 
 # Share of logits removed, guidance scale, temperature floor.
 TOPK_THRES = 0.9
@@ -59,16 +60,33 @@ def log_normalizer(logits: DataFrame, keys: tuple[str, ...] = SAMPLE_KEYS) -> Da
     return peaked.groupBy(*keys).agg((F.max("_peak") + F.log(total)).alias("logz"))
 
 
+def log_softmax(logits: DataFrame, keys: tuple[str, ...] = SAMPLE_KEYS) -> DataFrame:
+    """``(*keys, token_id, logp)``: the log probability of every token, with one shuffle on the keys."""
+    whole = Window.partitionBy(*keys)
+    peaked = logits.select(*keys, "token_id", "logit", F.max("logit").over(whole).alias("_peak"))
+    total = F.sum(F.exp(F.col("logit") - F.col("_peak"))).over(whole)
+    return peaked.select(*keys, "token_id", (F.col("logit") - F.col("_peak") - F.log(total)).alias("logp"))
+
+
+def log_prob_at(logits: DataFrame, picked: DataFrame, column: str, keys: tuple[str, ...] = SAMPLE_KEYS) -> DataFrame:
+    """Add ``logp`` to ``picked``: the log probability of the token in ``column``, null if it has no logit.
+
+    Distributions that many samples share are worked out once; how they meet the
+    samples follows from counts, see :func:`spotgrid.plans.sizing.join_shared`.
+    """
+    at = log_softmax(logits, keys).withColumnRenamed("token_id", column)
+    on = [*keys, column]
+    joined = picked.join(at, on, "left") if tuple(keys) == SAMPLE_KEYS else join_shared(picked, at, on, "left")
+    return joined.select(*[joined[c] for c in picked.columns], "logp")
+
+
 def softmax_at(logits: DataFrame, picked: DataFrame, column: str, keys: tuple[str, ...] = SAMPLE_KEYS) -> DataFrame:
     """Add ``prob`` to ``picked``: the softmax of the token in ``column`` under its distribution.
 
-    Two equi-joins, by token and by distribution; a token without a logit row has
-    probability zero.
+    A token without a logit row has probability zero.
     """
-    at = logits.select(*keys, F.col("token_id").alias(column), F.col("logit").alias("_at"))
-    joined = picked.join(at, [*keys, column], "left").join(log_normalizer(logits, keys), list(keys), "left")
-    prob = F.coalesce(F.exp(F.col("_at") - F.col("logz")), F.lit(0.0))
-    return joined.select(*[joined[c] for c in picked.columns], prob.alias("prob"))
+    prob = F.coalesce(F.exp("logp"), F.lit(0.0))
+    return log_prob_at(logits, picked, column, keys).select(*picked.columns, prob.alias("prob"))
 
 
 def confidence_scores(

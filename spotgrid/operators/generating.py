@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,6 +48,9 @@ SCORE_DIGITS = 9
 # A floor for logits missing on one side of a negative condition.
 MISSING_LOGIT = -20.0
 
+# Settled positions are spread over this many keys that match no candidate.
+UNMATCHED_KEYS = 1 << 20
+
 Critic = Callable[[DataFrame], DataFrame]
 
 
@@ -145,9 +149,15 @@ def _gumbel_pick(step: Step, run: Decoding) -> Column:
 
 
 def _inverse_pick(step: Step, run: Decoding) -> Column:
-    """Candidate whose share holds one uniform draw: ``struct(token, prob)``."""
+    """Candidate whose share holds one uniform draw: ``struct(token, prob)``.
+
+    A binary search over the running sums: strides of falling powers of two, each
+    taken if the edge it reaches does not exceed the draw.
+    """
     draw = uniform(run.seed, step.index, "sample_id", "pos")
-    below = lambda u: F.aggregate(f"edges_{step.index}", F.lit(0), lambda n, edge: n + F.when(edge <= u, 1).otherwise(0))
+    strides = F.array(*[F.lit(1 << k) for k in reversed(range(kept_logits(run.vocab, run.thres).bit_length()))])
+    edge = lambda at: F.get(f"edges_{step.index}", at)
+    below = lambda u: F.aggregate(strides, F.lit(0), lambda n, s: n + F.when(edge(n + s - 1) <= u, s).otherwise(0))
     pick = lambda at: F.struct(F.get("tokens", at).alias("token"), F.get("probs", at).alias("prob"))
     return let(let(draw, below), pick)
 
@@ -158,17 +168,15 @@ def _table_step(
     """One step against a candidate table: a window per sample and one join, nothing exploded."""
     order = Window.partitionBy("sample_id").orderBy(F.desc("score"), F.asc("pos"))
     ranked = canvas.withColumn("_hide", F.row_number().over(order) <= step.hidden)
-    first = keys[0]
-    if not run.can_remask:
-        # Positions that stay settled need no candidates: a NULL key finds no partner.
-        ranked = ranked.withColumn(f"_{first}", F.when(F.col("_hide"), F.col(first)))
-    else:
-        ranked = ranked.withColumn(f"_{first}", F.col(first))
+    # Positions that stay settled need no candidates: they look for a position below
+    # zero, which none has, and their keys are spread over the samples.
+    nowhere = F.lit(-1) - F.pmod(F.xxhash64("sample_id", "pos"), F.lit(UNMATCHED_KEYS)).cast("int")
+    ranked = ranked.withColumn("_pos", F.col("pos") if run.can_remask else F.when(F.col("_hide"), F.col("pos")).otherwise(nowhere))
     used = ["candidates"] if run.sampler == "gumbel" else ["tokens", "probs", f"edges_{step.index}"]
-    side = candidates.select(F.col(first).alias(f"_{first}"), *keys[1:], *used)
+    side = candidates.withColumnRenamed("pos", "_pos").select(*["_pos" if k == "pos" else k for k in keys], *used)
     if small:
         side = F.broadcast(side)
-    joined = ranked.join(side, [f"_{first}", *keys[1:]], "left")
+    joined = ranked.join(side, ["_pos" if k == "pos" else k for k in keys], "left")
 
     pick = _gumbel_pick(step, run) if run.sampler == "gumbel" else _inverse_pick(step, run)
     picked = joined.withColumn("_best", pick)
@@ -214,7 +222,9 @@ def generate(
     window per sample and one join; a broadcast candidate table keeps the canvas
     partitioned by sample throughout, so the steps between two cuts form a single
     stage.  The lineage is cut every ``run.cut_every`` steps, either by a
-    checkpoint or, with ``snapshots``, by tables a later run resumes from.
+    checkpoint or, with ``snapshots``, by tables a later run resumes from.  Positions
+    that have settled by then leave the canvas and join the result at the end, so
+    that later steps have fewer rows.
     """
     by_table = isinstance(scorer, TokenScorer) and critic is None
     run = run.resolved(by_table, critic)
@@ -258,7 +268,17 @@ def generate(
         canvas = load_snapshot(spark, snapshots, done)
         steps = steps[done + 1 :]
 
-    canvas = canvas.repartition(spread, "sample_id")
+    settled: list[DataFrame] = []
+
+    def parted(canvas: DataFrame) -> DataFrame:
+        """The open positions of a materialised canvas; settled ones are put aside for good."""
+        if run.can_remask or not by_table:
+            return canvas.repartition(spread, "sample_id")
+        done = F.col("score") == F.lit(SETTLED_SCORE)
+        settled.append(canvas.where(done).select("sample_id", "pos", "token_id"))
+        return canvas.where(~done).repartition(spread, "sample_id")
+
+    canvas = parted(canvas) if done is not None else canvas.repartition(spread, "sample_id")
     for step in steps:
         if by_table:
             canvas = _table_step(canvas, candidates, keys, step, run, small)
@@ -266,11 +286,14 @@ def generate(
             canvas = _general_step(canvas, scorer, critic, step, run)
         last = step.left == 0
         if snapshots and (last or (step.index + 1) % run.cut_every == 0):
-            write_snapshot(canvas, snapshots, step.index)
-            canvas = load_snapshot(spark, snapshots, step.index).repartition(spread, "sample_id")
+            aside = [s.withColumns({c: F.lit(None).cast(canvas.schema[c].dataType) for c in canvas.columns if c not in s.columns} | {"score": F.lit(SETTLED_SCORE)}) for s in settled]
+            whole = reduce(DataFrame.unionByName, aside, canvas)
+            write_snapshot(whole, snapshots, step.index)
+            settled.clear()
+            canvas = parted(load_snapshot(spark, snapshots, step.index))
         elif not last and (step.index + 1) % (run.cut_every if by_table else 1) == 0:
-            canvas = cut_lineage(canvas).repartition(spread, "sample_id")
-    return canvas.select("sample_id", "pos", "token_id")
+            canvas = parted(cut_lineage(canvas))
+    return reduce(DataFrame.unionByName, settled, canvas.select("sample_id", "pos", "token_id"))
 
 
 @dataclass(frozen=True)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spotgrid.functions.scalars import safe_div, safe_log, sigmoid
-from spotgrid.operators.decoding import SAMPLE_KEYS, log_normalizer
+from spotgrid.operators.decoding import SAMPLE_KEYS, log_softmax
 from spotgrid.operators.masking import IGNORE_INDEX
 
 # Fixed value: upper bound of the adaptive generator weight.
@@ -58,13 +58,16 @@ def masked_cross_entropy(
 ) -> DataFrame:
     """Mean cross entropy over positions whose label is not ignored.
 
-    ``labels`` has the ``keys`` and ``label``.  A label without a logit row has
-    probability zero, so its loss is infinite.
+    ``labels`` has the ``keys`` and ``label``; equal labels of a distribution are counted
+    before they meet it, so a distribution shared by most samples is one row.  A label
+    without a logit row has probability zero, so its loss is infinite.
     """
     wanted = labels.where(F.col("label") != ignore_index).select(*keys, "label")
-    at = logits.select(*keys, F.col("token_id").alias("label"), F.col("logit").alias("_at"))
-    joined = wanted.join(at, [*keys, "label"], "left").join(log_normalizer(logits, keys), list(keys), "left")
-    return joined.agg(F.avg(F.coalesce(F.col("logz") - F.col("_at"), F.lit(float("inf")))).alias("loss"))
+    counted = wanted.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("_n"))
+    at = log_softmax(logits, keys).withColumnRenamed("token_id", "label")
+    joined = counted.join(at, [*keys, "label"], "left")
+    total = F.sum(F.coalesce(-F.col("logp"), F.lit(float("inf"))) * F.col("_n"))
+    return joined.agg((total / F.sum("_n")).alias("loss"))
 
 
 def bce_with_logits(rows: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from spotgrid.operators.decoding import GUIDANCE, guide, guided
 from spotgrid.operators.masking import IGNORE_INDEX
 from spotgrid.plans.session import cut_lineage
+from spotgrid.plans.sizing import join_shared
 
 # Condition of rows that stand for "no condition".
 NULL_COND = -1
@@ -156,9 +157,9 @@ def score_tokens(rows: DataFrame, scorer: TokenScorer) -> DataFrame:
     """Candidate logits of hidden positions: ``(sample_id, pos, token_id, cond_logit, null_logit)``.
 
     ``rows(sample_id, pos, cond)`` are the hidden positions with resolved
-    conditions.
+    conditions.  How the shared logits meet them follows from counts.
     """
-    joined = rows.select("sample_id", "pos", "cond").join(scorer.pairs(), list(COND_KEYS))
+    joined = join_shared(rows.select("sample_id", "pos", "cond"), scorer.pairs(), list(COND_KEYS))
     return joined.select("sample_id", "pos", "token_id", "cond_logit", "null_logit")
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from spotgrid.operators import matrix, sampling, scoring, tracking, vector_sums
+from spotgrid.operators import generating, masking, matrix, sampling, scoring, tracking, vector_sums
 from spotgrid.plans import training
 
 
@@ -89,3 +89,53 @@ def test_training_goes_on_after_its_snapshots(spark, tmp_path):
     assert [(r["step"], r["epoch"]) for r in later.collect()] == [(9, 2)]
     assert rows(whole.seen.select("cond", "pos", "token_id", "n")) == rows(again.seen.select("cond", "pos", "token_id", "n"))
     assert later.first()["value"] == pytest.approx(metrics.where("epoch = 2").first()["value"])
+
+
+def test_shared_join_deals_a_hot_key_over_salts(spark):
+    """One (cond, pos) holds nine of ten rows: no salt of it has more rows than allowed, and nothing is lost."""
+    from spotgrid.plans import sizing
+
+    rows = spark.range(5000).selectExpr("id as sample_id", "case when id % 10 = 0 then id % 7 else 1 end as cond", "cast(case when id % 10 = 0 then id % 3 else 2 end as int) as pos")
+    shared = spark.createDataFrame([(c, p, t, float(c * 10 + p + t)) for c in range(6) for p in range(3) for t in range(4)], "cond long, pos int, token_id int, logit double")
+    for how in ("inner", "left"):
+        plain = rows.join(shared, ["cond", "pos"], how)
+        for limit in (1, sizing.BROADCAST_LIMIT):
+            got = sizing.join_shared(rows, shared, ["cond", "pos"], how, limit, key_rows=300)
+            assert sorted(map(repr, got.select(*plain.columns).collect())) == sorted(map(repr, plain.collect()))
+    dealt, copied = sizing.salted(rows, shared, ["cond", "pos"], 300)
+    sizes = {}
+    for r in dealt.groupBy("cond", "pos", "_salt").count().collect():
+        sizes.setdefault((r["cond"], r["pos"]), []).append(r["count"])
+    assert len(sizes[1, 2]) >= 15 and max(map(max, sizes.values())) < 400
+    assert copied.where("cond = 1 and pos = 2").count() == 4 * len(sizes[1, 2]) and copied.where("cond = 2").count() == 12
+    with pytest.raises(ValueError):
+        sizing.join_shared(rows, shared, ["cond"], "full")
+
+
+def test_draws_search_the_running_sums(spark):
+    """The candidate of a draw is the first whose edge exceeds it, whatever the number of candidates."""
+    from spotgrid.functions.keyed import uniform
+
+    for kept in (1, 2, 7, 100):
+        edges = [(i + 1) ** 2 / kept**2 for i in range(kept)]
+        run = generating.Decoding(2, kept * 10, 3)
+        step = masking.schedule_steps(4, 2)[0]
+        frame = spark.range(300).selectExpr("id as sample_id", "cast(id % 4 as int) as pos").withColumn("u", uniform(3, step.index, "sample_id", "pos"))
+        arrays = {"tokens": F.array(*map(F.lit, range(kept))), "probs": F.array(*[F.lit(0.5)] * kept), f"edges_{step.index}": F.array(*map(F.lit, edges))}
+        for r in frame.withColumns(arrays).withColumn("best", generating._inverse_pick(step, run)).collect():
+            assert r["best"]["token"] == sum(e <= r["u"] for e in edges)
+
+
+def test_settled_positions_leave_the_canvas(spark, monkeypatch):
+    """Steps after a cut see open positions only; the tokens are those of one uncut run."""
+    samples = spark.createDataFrame([(i, i % 3) for i in range(12)], "sample_id long, cond long")
+    tokens = spark.range(12 * 16).selectExpr("id div 16 as sample_id", "cast(id % 16 as int) as pos", "cast((id * 7 + id div 16) % 5 as int) as token_id")
+    scorer = scoring.fit_token_scorer(tokens, samples)
+    want = {tuple(r) for r in generating.generate(samples, scorer, generating.Decoding(4, 5, 9, timesteps=8, cut_every=99)).collect()}
+    seen, plain = [], generating._table_step
+    monkeypatch.setattr(generating, "_table_step", lambda canvas, *a: seen.append(canvas.count()) or plain(canvas, *a))
+    got = {tuple(r) for r in generating.generate(samples, scorer, generating.Decoding(4, 5, 9, timesteps=8, cut_every=2)).collect()}
+    assert got == want and len(got) == 12 * 16
+    assert seen[0] == 192 and seen[-1] < 96 and seen == sorted(seen, reverse=True)
+    joined = plain(masking.init_canvas(samples, 4, 5).join(samples, "sample_id").where("sample_id is not null"), generating.cut_lineage(generating.draw_table(scorer.guided(3.0), 5, 0.1, ("cond", "pos"), masking.schedule_steps(16, 8))), ["cond", "pos"], masking.schedule_steps(16, 8)[4], generating.Decoding(4, 5, 9, timesteps=8, sampler="inverse"), False)
+    assert joined.where("sample_id is null or pos is null").count() == 0 and joined.count() == 192
