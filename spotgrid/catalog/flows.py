@@ -82,20 +82,24 @@ def _(spark, folder):
     return loss.select(r6("loss").alias("loss"))
 
 
-#: The query takes its steps from the table, ``FLOW_PASSES`` passes; its SQL has the number for tables of 500 rows.
-FLOW_STEPS, FLOW_BATCH, FLOW_PASSES = 29, 32, 2.4
-part("y_batches", f"SELECT CAST(ceil(count(*) / {FLOW_BATCH}.0) AS BIGINT) AS per_epoch FROM v_split WHERE train")
+FLOW_BATCH, FLOW_PASSES = 32, 2.4
+part(
+    "y_batches",
+    f"""SELECT per_epoch, greatest(1, CAST(ceil(CAST({FLOW_PASSES} AS DOUBLE) * per_epoch) AS BIGINT)) AS steps
+    FROM (SELECT CAST(ceil(count(*) / {FLOW_BATCH}.0) AS BIGINT) AS per_epoch FROM v_split WHERE train)""",
+)
+part("y_epochs", "SELECT unnest(range(CAST(ceil(steps / per_epoch) AS BIGINT))) AS epoch FROM y_batches")
 part(
     "y_plan",
     f"""SELECT epoch, sample_id, CASE WHEN CAST('0x' || substr(md5((5 + epoch) || ':' || sample_id), 1, 8) AS BIGINT) / CAST(4294967296.0 AS DOUBLE) < 0.75 THEN cond ELSE -1 END AS cond
     FROM (SELECT epoch, sample_id, cond, row_number() OVER (PARTITION BY epoch ORDER BY {U(5, 'epoch', 'sample_id')}, sample_id) - 1 AS rk
-    FROM v_split CROSS JOIN (SELECT unnest(range({FLOW_STEPS})) AS epoch) WHERE train) CROSS JOIN y_batches WHERE epoch * per_epoch + rk // {FLOW_BATCH} < {FLOW_STEPS}""",
+    FROM v_split CROSS JOIN y_epochs WHERE train) CROSS JOIN y_batches WHERE epoch * per_epoch + rk // {FLOW_BATCH} < steps""",
 )
 part("y_counts", "SELECT epoch, cond, pos, token_id, count(*) AS n FROM y_plan JOIN e_tokens USING (sample_id) GROUP BY 1, 2, 3, 4")
 part(
     "y_seen",
-    f"""SELECT e.epoch, cond, pos, token_id, sum(n) AS n FROM (SELECT unnest(range({FLOW_STEPS})) AS epoch) e JOIN y_counts c ON c.epoch <= e.epoch CROSS JOIN y_batches
-    WHERE (e.epoch + 1) * per_epoch <= {FLOW_STEPS} GROUP BY 1, 2, 3, 4""",
+    """SELECT e.epoch, cond, pos, token_id, sum(n) AS n FROM y_epochs e JOIN y_counts c ON c.epoch <= e.epoch CROSS JOIN y_batches
+    WHERE (e.epoch + 1) * per_epoch <= steps GROUP BY 1, 2, 3, 4""",
 )
 part("y_null", "SELECT epoch, pos, token_id, sum(n) AS n FROM y_seen GROUP BY 1, 2, 3")
 part("y_total", "SELECT epoch, sum(n) AS n FROM y_seen GROUP BY 1")
@@ -122,7 +126,7 @@ part(
 @query(
     "train_flow",
     f"""SELECT (epoch + 1) * per_epoch - 1 AS step, CAST(epoch + 1 AS INTEGER) AS epoch, 'valid' AS key, {R6('avg(ce)')} AS value FROM y_rated CROSS JOIN y_batches GROUP BY epoch, per_epoch
-    UNION ALL SELECT {FLOW_STEPS - 1}, NULL, 'told', CAST(sum(n) AS DOUBLE) FROM y_counts WHERE cond <> -1""",
+    UNION ALL SELECT max(steps) - 1, NULL, 'told', CAST(sum(n) AS DOUBLE) FROM y_counts CROSS JOIN y_batches WHERE cond <> -1""",
 )
 def _(spark, folder):
     tokens = cut_lineage(inputs.tokens(spark, folder))

@@ -93,13 +93,13 @@ def _sample_set(spark, folder, scrna_genes=None):
 
 @query(
     "paired_arrays",
-    """SELECT g.gene_idx, 'count' AS part, CAST(i AS INTEGER) AS pos, coalesce(cnt, 0) AS value FROM b_genes g CROSS JOIN (SELECT unnest(range(8)) AS i)
+    """SELECT g.gene_idx, 'count' AS part, CAST(i AS INTEGER) AS pos, coalesce(cnt, 0) AS value FROM b_genes g CROSS JOIN (SELECT unnest(range((SELECT max(turn) + 1 FROM conversations))) AS i)
     LEFT JOIN b_counts c ON c.gene_idx = g.gene_idx AND c.cell_idx = i
     UNION ALL SELECT g.gene_idx, 'image', CAST(i AS INTEGER), coalesce(CAST(e.value AS DOUBLE), 0) FROM b_genes g CROSS JOIN (SELECT unnest(range(64)) AS i)
     LEFT JOIN e_pixels e ON e.gene_idx = g.gene_idx AND e.px * 8 + e.py = i""",
 )
 def _(spark, folder):
-    pairs = _sample_set(spark, folder).arrays(tables.turns(spark, folder))  # the SQL has 8
+    pairs = _sample_set(spark, folder).arrays(tables.turns(spark, folder))
     cells = lambda part, array: pairs.select("gene_idx", F.lit(part).alias("part"), F.posexplode(array).alias("pos", "value"))
     both = cells("count", "counts").unionByName(cells("image", "image"))
     return both.select("gene_idx", "part", "pos", F.col("value").cast("double").alias("value"))

@@ -85,7 +85,7 @@ def _(spark, folder):
 @query(
     "dense_counts",
     """SELECT CAST(g.page_id AS INTEGER) AS gene_idx, CAST(i AS INTEGER) AS cell_idx, CAST(coalesce(length(c.text), 0) AS DOUBLE) AS value
-    FROM pages g CROSS JOIN (SELECT unnest(range(8)) AS i) LEFT JOIN conversations c ON c.conv_id = g.page_id AND c.turn = i""",
+    FROM pages g CROSS JOIN (SELECT unnest(range((SELECT max(turn) + 1 FROM conversations))) AS i) LEFT JOIN conversations c ON c.conv_id = g.page_id AND c.turn = i""",
 )
 def _(spark, folder):
     genes = tables.table(spark, folder, "pages").select(F.col("page_id").cast("int").alias("gene_idx"))
@@ -93,7 +93,7 @@ def _(spark, folder):
     counts = turns.select(
         F.col("conv_id").cast("int").alias("gene_idx"), F.col("turn").cast("int").alias("cell_idx"), F.length("text").cast("float").alias("count")
     )
-    dense = matrix.dense_counts(counts, tables.turns(spark, folder), genes, block=3)  # the SQL has 8
+    dense = matrix.dense_counts(counts, tables.turns(spark, folder), genes, block=3)
     return dense.select("gene_idx", "cell_idx", F.col("count").cast("double").alias("value"))
 
 
@@ -189,28 +189,30 @@ def _(spark, folder):
     return sampling.shuffle_batches(tables.table(spark, folder, "orders").select("o_orderkey"), "o_orderkey", 32, epoch=2)
 
 
+# Two passes and what fills the last step.
+part("n_cycle", "SELECT CAST(ceil(count(*) / 4.0) AS BIGINT) AS batches, CAST(ceil(ceil(count(*) / 4.0) * 2 / 8.0) AS BIGINT) * 8 AS needed FROM customer")
+
+
 @query(
     "cycle_batches",
     f"""SELECT CAST(seq // 8 AS BIGINT) AS step, CAST(epoch AS INTEGER) AS epoch, rk // 4 AS batch_id, CAST(rk % 4 AS INTEGER) AS slot, c_custkey FROM (
-    SELECT c_custkey, epoch, rk, epoch * CAST(ceil(n / 4) AS BIGINT) + rk // 4 AS seq FROM (
-    SELECT c_custkey, epoch, (SELECT count(*) FROM customer) AS n,
-    row_number() OVER (PARTITION BY epoch ORDER BY {U(3407, 'epoch', 'c_custkey')}, c_custkey) - 1 AS rk
-    FROM customer, (SELECT unnest(range(60)) AS epoch))) WHERE seq < 100 * 8""",
+    SELECT c_custkey, epoch, rk, needed, epoch * batches + rk // 4 AS seq FROM (
+    SELECT c_custkey, epoch, row_number() OVER (PARTITION BY epoch ORDER BY {U(3407, 'epoch', 'c_custkey')}, c_custkey) - 1 AS rk
+    FROM customer, (SELECT unnest(range(CAST(ceil(needed / batches) AS BIGINT))) AS epoch FROM n_cycle)), n_cycle) WHERE seq < needed""",
 )
 def _(spark, folder):
     rows = tables.table(spark, folder, "customer").select("c_custkey")
-    steps = max(100, -(-2 * -(-rows.count() // 4) // 8))  # at least two passes, which the SQL's 100 steps are up to 1600 rows
+    steps = -(-2 * -(-rows.count() // 4) // 8)
     out = sampling.cycle_batches(rows, "c_custkey", batch_size=4, steps=steps, grad_accum=8)
     return out.select("step", "epoch", "batch_id", "slot", "c_custkey")
 
 
-FIT_ROUNDS = 4
 part(
     "c_codes0",
     f"""SELECT row_number() OVER (ORDER BY d, gene_idx, prow, pcol) AS code_id, vec FROM (SELECT {U(7, 'gene_idx', 'prow', 'pcol')} AS d, gene_idx, prow, pcol,
     [v0, v1, v2, v3] AS vec FROM e_patches WHERE v0 <> 0 OR v1 <> 0 OR v2 <> 0 OR v3 <> 0 ORDER BY 1, 2, 3, 4 LIMIT 15)""",
 )
-for _round in range(FIT_ROUNDS):
+for _round in range(codebook.ROUNDS):
     part(
         f"c_near{_round}",
         f"""SELECT * FROM (SELECT p.*, c.code_id, row_number() OVER (PARTITION BY gene_idx, prow, pcol
@@ -227,10 +229,10 @@ for _round in range(FIT_ROUNDS):
 @query(
     "fit_codebook",
     f"""SELECT CAST(code_id AS INTEGER) AS code_id, CAST(d - 1 AS INTEGER) AS d, {R6('vec[d]')} AS value
-    FROM (SELECT 0 AS code_id, [CAST(0 AS DOUBLE), 0, 0, 0] AS vec UNION ALL SELECT code_id, vec FROM c_codes{FIT_ROUNDS}), (SELECT unnest([1, 2, 3, 4]) AS d)""",
+    FROM (SELECT 0 AS code_id, [CAST(0 AS DOUBLE), 0, 0, 0] AS vec UNION ALL SELECT code_id, vec FROM c_codes{codebook.ROUNDS}), (SELECT unnest([1, 2, 3, 4]) AS d)""",
 )
 def _(spark, folder):
-    learned = codebook.fit_codebook(inputs.patches(spark, folder), k=16, seed=7, rounds=FIT_ROUNDS)
+    learned = codebook.fit_codebook(inputs.patches(spark, folder), k=16, seed=7)
     cells = learned.select("code_id", F.posexplode("vec").alias("d", "v"))
     return cells.select("code_id", "d", r6("v").alias("value"))
 

@@ -23,6 +23,9 @@ from spotgrid.plans.sizing import BROADCAST_LIMIT, bounded
 CODES = 512
 DECAY = 0.8
 
+# Rounds of the fit, at most.
+ROUNDS = 20
+
 # Similarities are compared at this many digits, so that equal directions tie
 # (and the lowest id wins) whatever the order of summation was.
 TIE_DIGITS = 9
@@ -31,7 +34,7 @@ TIE_DIGITS = 9
 BLOCK_ELEMENTS = 1 << 22
 
 
-def fit_codebook(vectors: DataFrame, k: int = CODES, seed: int = 0, rounds: int = 20) -> DataFrame:
+def fit_codebook(vectors: DataFrame, k: int = CODES, seed: int = 0, rounds: int = ROUNDS) -> DataFrame:
     """Learn ``codebook(code_id, vec)`` by k-means under cosine distance.
 
     Code 0 is the blank code for zero vectors, which have no direction; codes

@@ -1,5 +1,6 @@
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from spotgrid.operators import sampling
 
@@ -18,7 +19,7 @@ def test_split_is_a_cover_and_stable(spark):
     assert both.count() == 20
 
 
-@pytest.mark.parametrize("buckets", [1, 7, 8192])
+@pytest.mark.parametrize("buckets", [None, 1, 3, 100_000])
 def test_ranks_do_not_depend_on_buckets(spark, buckets):
     got = rows(sampling.random_ranks(spark.range(300), "id", 5, buckets=buckets).select("id", "rank", "total"))
     want = rows(sampling.random_ranks(spark.range(300), "id", 5, buckets=64).select("id", "rank", "total"))
@@ -42,3 +43,13 @@ def test_cycle(spark):
     assert sizes == {0: 8, 1: 6, 2: 6, 3: 8}
     for epoch in (0, 1):
         assert sorted(r["id"] for r in got if r["epoch"] == epoch) == list(range(10))
+
+
+def test_buckets_follow_the_rows_and_offsets_have_two_levels(spark):
+    assert [sampling.buckets_of(n) for n in (0, 1, 65536, 65537, 10**11)] == [1, 1, 1, 2, 1525879]
+    ranked = sampling.random_ranks(spark.range(4000), "id", 5, epoch=F.lit(2), buckets=5000)
+    got = rows(ranked.select("id", "rank", "total"))
+    assert got == rows(sampling.random_ranks(spark.range(4000), "id", 5, epoch=F.lit(2)).select("id", "rank", "total"))
+    text = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert "_coarse" in text
+    assert sampling.random_ranks(spark.range(0), "id", 5).count() == 0 and sampling.cycle_batches(spark.range(0), "id", 4, 2).count() == 0

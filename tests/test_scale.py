@@ -35,7 +35,7 @@ def test_later_buckets_are_not_ordered(spark):
     df = spark.range(5000).withColumnRenamed("id", "key")
     some = sampling.cycle_batches(df, "key", 32, 100, seed=3)
     assert some.count() == 3200 and some.select("step").distinct().count() == 100
-    ranked = sampling.random_ranks(df, "key", 3, epoch=F.lit(0), most=F.lit(100))
+    ranked = sampling.random_ranks(df, "key", 3, epoch=F.lit(0), buckets=512, most=F.lit(100))
     whole = {r["key"]: r["rank"] for r in sampling.random_ranks(df, "key", 3, epoch=F.lit(0)).collect()}
     part = {r["key"]: r["rank"] for r in ranked.collect()}
     assert len(part) < 200 and all(whole[k] == r for k, r in part.items()) and set(range(100)) <= set(part.values())
