@@ -48,13 +48,6 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def pin_splits(spark: SparkSession) -> None:
-    """Keep file splits the same for all scans of the session, also when executors come or go."""
-    name = "spark.sql.files.minPartitionNum"
-    if spark.conf.get(name, None) is None:
-        spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise reliably, so that lost executors never replay earlier steps."""
     spark = df.sparkSession

@@ -10,58 +10,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotgrid.plans.session import pin_splits, shared_folder
-from spotgrid.plans.sizing import bounded
+from spotgrid.sources.lines import numbered_lines
 
 # File names of a data set.
 INSITU_FILE = "Insitu_count.txt"
 LOCATION_FILE = "Locations.txt"
 SCRNA_FILE = "scRNA_count_sorted.csv"
 
-# Upper bound on the bytes of one row of the block table.
-BLOCK_ROW_BYTES = 512
-
-
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(file_no, line, total_line, value)`` of every non-blank line, counted from 0 in file order.
-
-    A scan gives each line an id that grows by one inside its file block.  A first
-    pass counts the lines of every block; blocks are put in order by (file, offset)
-    and shifted by the lines before them, and the second pass looks its block up.
-    No text is written or shuffled, and only the block table is ordered in one
-    task.  Splits are pinned for the session, and a line outside the range that its
-    block had in the first pass raises.
-    """
-    pin_splits(spark)
-    text = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
-    )
-    kept = text.where(F.col("value").rlike("\\S")).withColumn("_id", F.monotonically_increasing_id())
-    counted = shared_folder(spark, "blocks")
-    kept.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_lo")).write.parquet(counted)
-    blocks = spark.read.parquet(counted)
-    n_blocks = blocks.count()
-    in_file = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_in_file", F.coalesce(F.sum("_n").over(in_file), F.lit(0)))
-    files = blocks.groupBy("_file").agg(F.sum("_n").alias("_total"))
-    by_name = Window.orderBy("_file")
-    before = by_name.rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select(
-        "_file",
-        (F.row_number().over(by_name) - 1).alias("file_no"),
-        F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"),
-    )
-    shift = (F.col("_in_file") - F.col("_lo")).alias("_shift")
-    offsets = blocks.join(files, "_file").select("_file", "_block", "_lo", "_n", shift, "file_no", "_before")
-    joined = kept.join(bounded(offsets, n_blocks, BLOCK_ROW_BYTES), ["_file", "_block"], "left")
-    same = F.coalesce((F.col("_id") >= F.col("_lo")) & (F.col("_id") < F.col("_lo") + F.col("_n")), F.lit(False))
-    moved = F.raise_error(F.lit("the files were split differently in the second pass")).cast("long")
-    line = F.when(same, F.col("_id") + F.col("_shift")).otherwise(moved)
-    return joined.select("file_no", line.alias("line"), (line + F.col("_before")).alias("total_line"), "value")
-
 
 def first_line(spark: SparkSession, path: str) -> DataFrame:
     """One-row table ``value``: the first non-blank line of the first file, by name, that has one.
