@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of the workspaces that are open, the innermost last.
+_workspaces: list[str] = []
+
+
 def local_session(cores: int | str = "*", app: str = "spotgrid") -> SparkSession:
     """Session for tests and benchmarks on one machine."""
     partitions = "8" if cores == "*" else str(cores)
@@ -29,6 +35,8 @@ def shared_root(spark: SparkSession) -> str:
     Only a local master may fall back to a temporary folder; a cluster without
     the setting is an error, since a machine-local folder is lost with its host.
     """
+    if _workspaces:
+        return _workspaces[-1]
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
@@ -48,6 +56,27 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[str]:
+    """A folder below the shared one for all checkpoints and written tables inside the block, removed at its end.
+
+    Results that depend on them are to be materialised inside the block.  One block is
+    open at a time per driver, or blocks inside one another.
+    """
+    context = spark.sparkContext
+    outer = shared_root(spark)
+    folder = shared_folder(spark, "workspace")
+    _workspaces.append(folder)
+    context.setCheckpointDir(f"{folder}/checkpoints")
+    try:
+        yield folder
+    finally:
+        _workspaces.pop()
+        context.setCheckpointDir(outer if not _workspaces else f"{outer}/checkpoints")
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise reliably, so that lost executors never replay earlier steps."""
     spark = df.sparkSession

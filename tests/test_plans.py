@@ -43,7 +43,8 @@ def test_only_one_row_tables_are_nested_loop_joined(big):
     assert text.count("BroadcastNestedLoopJoin") == 1 and "CartesianProduct" not in text
 
 
-def test_split_has_no_one_task_sort_of_rows(big):
+def test_split_has_no_one_task_sort_of_rows(big, monkeypatch):
+    monkeypatch.setattr(sampling, "BUCKET_ROWS", 10)  # as a table of many buckets
     text = plan(sampling.exact_split(big("spots").select("spot_id"), "spot_id"))
     single = text.split("Exchange SinglePartition")
     assert len(single) == 2 and "HashAggregate" in single[1], "only bucket counts meet in one task"
