@@ -4,12 +4,16 @@ Each source gets a share of all words by its weight, at most ``cap`` times its o
 words; what a capped source leaves is shared again by weight.  A source first
 gives whole epochs; the rest of its target goes to a sample without replacement:
 every document draws an exponential key divided by its quality weight, documents
-are sorted by key within their source, and a running sum of sizes is cut at the
-budget, to the nearest document.
+are sorted by key within their source, and a running sum of sizes is cut before the document
+that exceeds the budget.  What is left of the budget is filled ``FILLS`` times more in
+the same way, passing over documents larger than that; the last rest goes to one
+document, that of the nearest size (ties by key), if this brings the source nearer
+its target.
 
 Rows: a null text has no words and takes none; a null source is one source, last
 in order; null ids draw by their text; documents alike in id and text draw the
-same key and stand beside each other, in any order since they are alike; an empty
+same key and stand beside each other, in any order since they are alike; a weight
+that is null, not finite or outside the bounds counts as the nearest bound; an empty
 table gives an empty table; columns other than the named ones are ignored.  Draws
 hash the seed, the id and the text, so reruns agree on any cluster.
 """
@@ -26,6 +30,8 @@ from spotgrid.plans.sizing import bounded
 SEED = "mix-1"
 #: Documents per slice of keys, within which sizes are added up by a window.
 SLICE_ROWS = 4096
+#: Cuts after the first one.
+FILLS = 2
 #: Quality weights lie between these, so that slices of keys stay even.
 LOWEST_WEIGHT, HIGHEST_WEIGHT = 0.25, 1.0
 
@@ -67,16 +73,26 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     return capped.select("source", "source_size", shared.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: str = SEED, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def bounded_weight(weight: Column) -> Column:
+    """A weight within the bounds; the lowest for null and NaN."""
+    known = F.when(F.isnan(weight.cast("double")), None).otherwise(weight.cast("double"))
+    return F.greatest(F.lit(LOWEST_WEIGHT), F.least(F.lit(HIGHEST_WEIGHT), F.coalesce(known, F.lit(LOWEST_WEIGHT))))
+
+
+def mix(
+    docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: str = SEED, slice_rows: int = SLICE_ROWS, weight: str | None = None
+) -> DataFrame:
     """What the mix takes of each row of ``doc_id, source, text``.
 
-    Returns ``doc_id, text_key, source, size, source_size, target, copies, taken``:
+    ``weight`` names a column of quality weights, such as a classifier's score; without
+    one, :func:`quality_weight` of the text serves.  Returns ``doc_id, text_key, source, size, source_size, target, copies, taken``:
     ``copies`` times the whole document, ``taken`` words in all.
     """
     text = text_or_empty()
     text_key = F.md5(text)
-    keyed = docs.select("doc_id", "source", text_key.alias("text_key"), word_count(text).alias("size"), quality_weight(text).alias("quality"))
-    slim = stored(keyed.withColumn("key", -F.log(draw(F.col("doc_id"), F.col("text_key"), seed=seed)) / F.col("quality")), "mix-rows")
+    keyed = docs.select("doc_id", "source", text_key.alias("text_key"), word_count(text).alias("size"), (quality_weight(text) if weight is None else bounded_weight(F.col(weight))).alias("quality"))
+    slim = keyed.withColumn("key", -F.log(draw(F.col("doc_id"), F.col("text_key"), seed=seed)) / F.col("quality"))
+    slim = stored(slim.withColumn("uid", F.monotonically_increasing_id()), "mix-rows")
     per_source = stored(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"), F.avg("quality").alias("mean_quality")), "mix-sources")
     n_sources = per_source.count()
     targets = source_targets(per_source.select("source", "source_size"), weights, cap).join(
@@ -87,23 +103,40 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, see
     # Keys of the mean weight fall evenly into slices; others stretch them by a bounded factor.
     slices = F.ceil(F.col("n") / slice_rows)
     rows = rows.withColumn("slice", F.least(F.floor((1 - F.exp(-F.col("key") * F.col("mean_quality"))) * slices), slices - 1).cast("bigint"))
-    sums = rows.groupBy("source", "slice").agg(F.sum("size").alias("words"))
-    earlier = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(F.col("source").alias("its_source"), F.col("slice").alias("its_slice"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset"))
-    offsets = bounded(offsets, n_sources + -(-slim.count() // slice_rows), 64)
-    within = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    placed = placed.join(offsets, F.col("source").eqNullSafe(F.col("its_source")) & (F.col("slice") == F.col("its_slice"))).drop("its_source", "its_slice")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
-    with_epochs = placed.withColumn("epochs", epochs)
-    budget = F.col("target") - F.col("epochs") * F.col("source_size")
-    sampled = (F.col("size") > 0) & (F.col("offset") + F.col("within") + F.col("size") / 2 <= budget)
-    copies = F.when(F.col("size") == 0, 0).otherwise(F.col("epochs") + sampled.cast("bigint")).cast("bigint")
-    return with_epochs.withColumn("copies", copies).select(
+    rows = rows.withColumn("epochs", epochs).withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("sampled", F.lit(False))
+    n_slices = n_sources + -(-slim.count() // slice_rows)
+    for _ in range(1 + FILLS):
+        rows = _filled(rows, n_sources, n_slices)
+    gap = F.abs(F.col("left") - F.col("size"))
+    nearer = rows.where(~F.col("sampled") & (F.col("size") > 0) & (gap < F.col("left")))
+    alone = nearer.groupBy("source").agg(F.min(F.struct(gap.alias("gap"), "key", "doc_id", "text_key", "uid")).alias("one"))
+    final = rows.join(bounded(alone.select(F.col("one.uid").alias("uid"), F.lit(True).alias("alone")), n_sources, 32), "uid", "left")
+    more = F.col("sampled") | F.coalesce("alone", F.lit(False))
+    copies = F.when(F.col("size") == 0, 0).otherwise(F.col("epochs") + more.cast("bigint")).cast("bigint")
+    return final.withColumn("copies", copies).select(
         "doc_id", "text_key", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
+def _filled(rows: DataFrame, n_sources: int, n_slices: int) -> DataFrame:
+    """One cut: of the documents not sampled yet and no larger than what is ``left``, those whose running sum fits it."""
+    open_size = F.when(~F.col("sampled") & (F.col("size") <= F.col("left")), F.col("size")).otherwise(0)
+    rows = rows.withColumn("open", open_size)
+    sums = rows.groupBy("source", "slice").agg(F.sum("open").alias("words"))
+    earlier = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(F.col("source").alias("its_source"), F.col("slice").alias("its_slice"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset"))
+    within = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.withColumn("within", F.sum("open").over(within))
+    placed = placed.join(bounded(offsets, n_slices, 64), F.col("source").eqNullSafe(F.col("its_source")) & (F.col("slice") == F.col("its_slice")))
+    upto = F.col("offset") + F.col("within")
+    cut = stored(placed.withColumn("upto", upto).withColumn("fits", (F.col("open") > 0) & (upto <= F.col("left"))).drop("its_source", "its_slice", "offset", "within", "open"), "mix-cut")
+    spent = cut.where("fits").groupBy(F.col("source").alias("its_source")).agg(F.max("upto").alias("spent"))
+    after = cut.join(bounded(spent, n_sources, 64), F.col("source").eqNullSafe(F.col("its_source")), "left")
+    after = after.withColumn("left", F.col("left") - F.coalesce("spent", F.lit(0))).withColumn("sampled", F.col("sampled") | F.col("fits"))
+    return after.drop("its_source", "spent", "upto", "fits")
+
+
 def take(docs: DataFrame, **options: object) -> DataFrame:
     """The rows of ``docs`` as often as :func:`mix` takes them whole; columns unchanged.
 
@@ -126,6 +159,16 @@ def take(docs: DataFrame, **options: object) -> DataFrame:
     return numbered.withColumn(keys[3], F.explode(F.array_repeat(F.lit(1), share.cast("int")))).select(*docs.columns)
 
 
+_FILLS = ""
+for _i in range(1 + FILLS):
+    _FILLS += f"""
+), u{_i} AS (
+  SELECT *, sum(CASE WHEN NOT sampled AND size <= budget THEN size ELSE 0 END)
+    OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, text_key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM p{_i}
+), f{_i} AS (
+  SELECT *, NOT sampled AND size > 0 AND size <= budget AND upto <= budget AS fits FROM u{_i}
+), p{_i + 1} AS (
+  SELECT * EXCLUDE (upto, fits, budget, sampled), sampled OR fits AS sampled, budget - coalesce(max(CASE WHEN fits THEN upto END) OVER (PARTITION BY source), 0) AS budget FROM f{_i}"""
 OP6_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, md5(coalesce(text, '')) AS text_key,
@@ -149,15 +192,17 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, CASE WHEN capped THEN CAST(source_size * 3 AS DOUBLE)
     ELSE CAST(weight * max(l_left) FILTER (NOT capped) OVER () AS DOUBLE) / CAST(max(rest) FILTER (NOT capped) OVER () AS DOUBLE) END AS target FROM c
-), p AS (
-  SELECT doc_id, size, source_size, target,
-    coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id NULLS FIRST, text_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
-    CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs
+), e AS (
+  SELECT k.doc_id, k.source, text_key, key, size, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs
   FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source
+), p0 AS (
+  SELECT *, false AS sampled, target - epochs * source_size AS budget FROM e{_FILLS}
+), g AS (
+  SELECT *, NOT sampled AND size > 0 AND abs(budget - size) < budget AS nearer, abs(budget - size) AS gap FROM p{1 + FILLS}
+), o AS (
+  SELECT *, nearer AND row_number() OVER (PARTITION BY source, nearer ORDER BY gap, key, doc_id NULLS FIRST, text_key) = 1 AS alone FROM g
 )
-SELECT doc_id, size, source_size, target,
-  CAST(size * (epochs + CASE WHEN size > 0 AND before + size / 2 <= target - epochs * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM p
+SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN size > 0 AND (sampled OR alone) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM o
 """
 
 
