@@ -9,6 +9,8 @@ input.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,13 +24,19 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
-def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores at its threshold or more.
+@lru_cache(maxsize=2)
+def classifier(spark: SparkSession, sf_dir: str) -> quality_crf.Model:
+    """The classifier of a session and a folder, fitted once.
 
-    It is fitted on labelled rows of the whole table: the rules before this stage
-    leave hardly any bad example to learn from.
+    It learns from labelled rows of the whole table: the rules before it leave hardly
+    any bad example to learn from.
     """
-    return quality_crf.keep_good(docs, table(spark, sf_dir, "labels"), taught_by=table(spark, sf_dir, "documents"))
+    return quality_crf.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores at its threshold or more."""
+    return docs.where(quality_crf.score_texts(classifier(spark, sf_dir), F.col("text")) >= quality_crf.THRESHOLD)
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +45,12 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mixing.take(docs)
+    """Documents as often as the mix takes them, weighed by the classifier's scores."""
+    weight = "weight"
+    while weight in docs.columns:  # names of the caller's columns stay free
+        weight += "_"
+    scored = docs.withColumn(weight, quality_crf.score_texts(classifier(spark, sf_dir), F.col("text")))
+    return mixing.take(scored, weight=weight).select(*docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
