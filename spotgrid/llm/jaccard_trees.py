@@ -371,8 +371,12 @@ def links_of_groups(sets: DataFrame, least: int = LEAST, part_sets: int = PART_S
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST, part_sets: int = PART_SETS, part_shingles: int = PART_SHINGLES) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per row of ``doc_id, text``."""
-    rows = stored(document_sets(docs, shingle, least, False), "jaccard-samples")
-    classes = stored(rows.where(F.col("shingles").isNotNull()).select("key", "n", "shingles").dropDuplicates(["key"]), "jaccard-classes")
+    rows = stored(document_sets(docs, shingle, least, False).withColumn("uid", F.monotonically_increasing_id()), "jaccard-samples")
+    # A task gives each set once; what other tasks gave again is few rows, which are left out where they lie.
+    given = rows.where(F.col("shingles").isNotNull())
+    first = given.groupBy("key").agg(F.min("uid").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("key", "first")
+    again = stored(given.select("key", "uid").join(first, "key").where("uid <> first").select("uid"), "jaccard-again")
+    classes = given.join(bounded(again, again.count(), 16), "uid", "left_anti").select("key", "n", "shingles")
     groups = stored(connected(candidate_edges(classes, least)).select(F.col("node").alias("key"), "label"), "jaccard-candidates")
     candidates = bounded(groups, groups.count(), 32)
     whole = document_sets(docs, shingle, least, True).where(F.col("shingles").isNotNull()).select("key", "n", "shingles")
