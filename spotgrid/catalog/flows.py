@@ -11,7 +11,7 @@ from spotgrid.operators.codebook import fit_codebook
 from spotgrid.operators.raster import patch_vectors
 from spotgrid.plans.dataset import gene_conditions
 from spotgrid.plans.session import cut_lineage, shared_folder
-from spotgrid.plans.training import flow_steps, refine_codebook, train_flow, train_scorer
+from spotgrid.plans.training import flow_steps, refine_codebook, train_codec, train_flow, train_scorer
 from spotgrid.sources import tables
 
 ROUNDS = 3
@@ -82,6 +82,60 @@ def _(spark, folder):
     return loss.select(r6("loss").alias("loss"))
 
 
+CODEC_STEPS, CODEC_ACCUM = 4, 2
+_BATCHES = CODEC_STEPS * CODEC_ACCUM
+part(
+    "x_batch",
+    f"""SELECT greatest(1, CAST(ceil(count(*) / {_BATCHES}.0) AS BIGINT)) AS b, CAST(ceil(count(*) / greatest(1, ceil(count(*) / {_BATCHES}.0))) AS BIGINT) AS per FROM v_split WHERE train""",
+)
+part(
+    "x_plan",
+    f"""SELECT CAST(sample_id AS INTEGER) AS gene_idx, epoch * per + rk // b AS batch FROM (
+    SELECT sample_id, epoch, row_number() OVER (PARTITION BY epoch ORDER BY {U(5, 'epoch', 'sample_id')}, sample_id) - 1 AS rk
+    FROM v_split CROSS JOIN (SELECT unnest(range(CAST(ceil({_BATCHES}.0 / per) AS BIGINT))) AS epoch FROM x_batch) WHERE train) CROSS JOIN x_batch WHERE epoch * per + rk // b < {_BATCHES}""",
+)
+part("x_state0", "SELECT * FROM f_state0")
+for _step in range(CODEC_STEPS):
+    part(
+        f"x_assigned{_step}",
+        f"""SELECT * FROM (SELECT p.*, l.batch, s.code_id, s.vec, row_number() OVER (PARTITION BY p.gene_idx, prow, pcol, l.batch
+        ORDER BY round(list_cosine_similarity([v0, v1, v2, v3], s.vec), 9) DESC, s.code_id) AS rn
+        FROM e_patches p JOIN x_plan l ON l.gene_idx = p.gene_idx AND l.batch // {CODEC_ACCUM} = {_step} CROSS JOIN x_state{_step} s) WHERE rn = 1""",
+    )
+    part(
+        f"x_state{_step + 1}",
+        f"""SELECT code_id, n, total, [total[1] / n, total[2] / n, total[3] / n, total[4] / n] AS vec FROM (
+        SELECT code_id, 0.8 * n + (1.0 - 0.8) * coalesce(m, 0) AS n, [{_BLEND}] AS total
+        FROM x_state{_step} LEFT JOIN (SELECT code_id, count(*) AS m, [{_VECS}] AS s FROM x_assigned{_step} GROUP BY 1) USING (code_id))""",
+    )
+
+
+def _held_out_sql(step: int) -> str:
+    """Gap of the hold-out's blocks after a step."""
+    return f"""SELECT CAST({step} AS BIGINT) AS step, 'valid' AS key, {R6(f'sum({_GAP}) / (count(*) * 4)')} AS value FROM (
+    SELECT p.*, s.vec, row_number() OVER (PARTITION BY gene_idx, prow, pcol ORDER BY round(list_cosine_similarity([v0, v1, v2, v3], s.vec), 9) DESC, s.code_id) AS rn
+    FROM e_patches p JOIN v_split v ON v.sample_id = p.gene_idx AND NOT v.train CROSS JOIN x_state{step + 1} s) WHERE rn = 1"""
+
+
+@query(
+    "train_codec",
+    " UNION ALL ".join(
+        f"SELECT CAST({i} AS BIGINT) AS step, 'loss' AS key, {R6('avg(m)')} AS value FROM (SELECT sum({_GAP}) / (count(*) * 4) AS m FROM x_assigned{i} GROUP BY batch)"
+        for i in range(CODEC_STEPS)
+    )
+    + " UNION ALL "
+    + " UNION ALL ".join(map(_held_out_sql, (0, CODEC_STEPS - 1))),
+)
+def _(spark, folder):
+    pixels = cut_lineage(tables.embedding_pixels(spark, folder))
+    genes = tables.embedding_conditions(spark, folder).select(F.col("sample_id").cast("int").alias("gene_idx"))
+    batch = max(1, -(-int(0.75 * genes.count()) // _BATCHES))
+    start = inputs.codebook(spark, folder)
+    results = shared_folder(spark, "codec")
+    _, metrics = train_codec(pixels, genes, start, inputs.SIZE, inputs.LAYERS, CODEC_STEPS, batch, results, CODEC_ACCUM, valid_frac=0.25, seed=5)
+    return metrics.where("key <> 'valid_l1'").select("step", "key", r6("value").alias("value"))
+
+
 FLOW_BATCH, FLOW_PASSES = 32, 2.4
 part(
     "y_batches",

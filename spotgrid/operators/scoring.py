@@ -67,9 +67,13 @@ class TokenScorer:
     def _total(self) -> DataFrame:
         return self.seen.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_total"))
 
-    def cross_entropy(self, labels: DataFrame, vocab: int, scale: float = GUIDANCE, ignore_index: int = IGNORE_INDEX) -> DataFrame:
+    def cross_entropy(
+        self, labels: DataFrame, vocab: int, scale: float = GUIDANCE, ignore_index: int = IGNORE_INDEX, by: tuple[str, ...] = ()
+    ) -> DataFrame:
         """One-row ``loss`` over ``labels(cond, pos, label)``: the guided mean cross entropy over all ``vocab`` tokens.
 
+        With ``by``, columns of ``labels``, one row for each of their values.
+
         Every token has the mass ``n + alpha * p`` with and without the condition, so
         a label that was never seen has a finite loss.  No dense table is made: the
         tokens without a count under a condition add a sum that depends on the
@@ -88,7 +92,7 @@ class TokenScorer:
         null_cond = F.lit(NULL_COND).cast("long")
         norms = more.join(rest, "pos").select("cond", "pos", (F.col("unseen") + F.col("away") + F.col("more")).alias("z"))
         norms = norms.unionByName(rest.select(null_cond.alias("cond"), "pos", (F.col("unseen") + F.col("null_mass")).alias("z")))
-        wanted = labels.where(F.col("label") != ignore_index).select(F.col("cond").cast("long").alias("cond"), "pos", F.col("label").alias("token_id"))
+        wanted = labels.where(F.col("label") != ignore_index).select(*by, F.col("cond").cast("long").alias("cond"), "pos", F.col("label").alias("token_id"))
         at = wanted.join(cells.select("cond", "pos", "token_id", "mc"), ["cond", "pos", "token_id"], "left")
         at = at.join(null.select("pos", "token_id", "m0"), ["pos", "token_id"], "left").join(prior, "token_id", "left")
         at = at.crossJoin(F.broadcast(self._total())).join(norms, ["cond", "pos"], "left")
@@ -96,7 +100,8 @@ class TokenScorer:
         bare = F.coalesce("m0", m)
         own = F.when(F.col("cond") == null_cond, bare).otherwise(F.coalesce("mc", m))
         guided_mass = F.log(bare) + (F.log(own) - F.log(bare)) * s
-        return at.agg(F.avg(F.log(F.coalesce("z", alpha)) - guided_mass).alias("loss"))
+        loss = F.avg(F.log(F.coalesce("z", alpha)) - guided_mass).alias("loss")
+        return at.groupBy(*by).agg(loss) if by else at.agg(loss)
 
     def with_null(self) -> DataFrame:
         """Null logits under the null condition, in the layout of ``cond``."""
