@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spotgrid.functions.arrays import dot, l2_normalize
 from spotgrid.operators.codebook import DECAY, assign_codes, commitment_loss, detokenize, tokenize
 from spotgrid.operators.decoding import GUIDANCE
+from spotgrid.operators.generating import Codec, lowres_conditions, lowres_tokens
 from spotgrid.operators.losses import recon_loss
 from spotgrid.operators.masking import condition_dropout, mask_tokens
 from spotgrid.operators.mosaics import mosaic
@@ -214,6 +215,7 @@ def train_flow(
     no_mask_prob: float = 0.0,
     grad_accum: int = 1,
     log_steps: bool = False,
+    positions: DataFrame | None = None,
 ) -> tuple[TokenScorer, DataFrame]:
     """Fit the scorer batch by batch, with validation and a snapshot as every epoch closes.
 
@@ -225,7 +227,8 @@ def train_flow(
     step and ``metrics(step, epoch, key, value)``: the hold-out loss of each epoch
     that closed in this call, counted from 1; with ``log_steps`` also ``train``, the loss
     of each step's batches under the counts of the passes before, from the second pass
-    on, every batch with a share of one in ``grad_accum``.
+    on, every batch with a share of one in ``grad_accum``.  ``positions(sample_id, pos,
+    cond)`` gives every position a condition of its own in place of its sample's.
     """
     spark = tokens.sparkSession
     split = cut_lineage(exact_split(conditions, "sample_id", valid_frac, seed))
@@ -235,7 +238,8 @@ def train_flow(
     batches = steps * grad_accum
     plan = cut_lineage(cycle_batches(train, "sample_id", batch_size, steps, grad_accum, seed).select("step", "epoch", "batch_id", "sample_id", "cond"))
     held = tokens.join(valid.select("sample_id"), "sample_id", "left_semi")
-    hidden = cut_lineage(mask_tokens(held, mask_id, seed, no_mask_prob=no_mask_prob).where("masked").join(valid, "sample_id"))
+    hidden = mask_tokens(held, mask_id, seed, no_mask_prob=no_mask_prob).where("masked")
+    hidden = cut_lineage(hidden.join(valid, "sample_id") if positions is None else hidden.join(positions, ["sample_id", "pos"]))
     done = latest_step(spark, snapshots)
     seen = load_snapshot(spark, snapshots, done) if done is not None else None
     metrics = []
@@ -243,10 +247,13 @@ def train_flow(
         now = plan.where(F.col("epoch") == epoch)
         if log_steps and seen is not None:
             shown = mask_tokens(tokens.join(now.select("sample_id"), "sample_id", "left_semi"), mask_id, seed + epoch, no_mask_prob=no_mask_prob).where("masked")
-            metrics += _step_losses(TokenScorer(seen, alpha), shown.join(now, "sample_id"), mask_id, scale, grad_accum, epoch)
+            shown = shown.join(now, "sample_id") if positions is None else shown.join(now.drop("cond"), "sample_id").join(positions, ["sample_id", "pos"])
+            metrics += _step_losses(TokenScorer(seen, alpha), shown, mask_id, scale, grad_accum, epoch)
         told = condition_dropout(now.select("epoch", "sample_id", "cond").withColumn("usable", F.lit(True)), dropout, seed + epoch)
+        if positions is not None:
+            told = told.select("sample_id", "usable").join(positions, "sample_id")
         cond = F.when(F.col("usable"), F.col("cond").cast("long")).otherwise(F.lit(NULL_COND).cast("long"))
-        fresh = fit_token_scorer(tokens, told.select("sample_id", cond.alias("cond")), alpha).seen
+        fresh = fit_token_scorer(tokens, told.select("sample_id", *(["pos"] if positions is not None else []), cond.alias("cond")), alpha).seen
         both = fresh if seen is None else seen.unionByName(fresh).groupBy("cond", "pos", "token_id").agg(F.sum("n").alias("n"))
         last = min(batches, (epoch + 1) * per_epoch) - 1
         if last + 1 < (epoch + 1) * per_epoch:  # the steps end inside this pass
@@ -267,3 +274,35 @@ def _step_losses(scorer: TokenScorer, labels: DataFrame, vocab: int, scale: floa
     per_batch = scorer.cross_entropy(resolve_conditions(labels, scorer), vocab, scale, by=("step", "batch_id"))
     logged = accumulate_metrics(per_batch.select("step", F.lit("train").alias("key"), F.col("loss").alias("value")), grad_accum)
     return [(r["step"], epoch + 1, r["key"], r["value"]) for r in logged.orderBy("step").collect()]
+
+
+def train_two_stage(
+    pixels: DataFrame,
+    conditions: DataFrame,
+    in_size: int,
+    base_codec: Codec,
+    superres_codec: Codec,
+    steps: int,
+    batch_size: int,
+    results: str,
+    superres_steps: int | None = None,
+    **settings,
+) -> tuple[TokenScorer, TokenScorer, DataFrame]:
+    """Train the scorers of both resolutions on images of ``in_size``: ``(base, superres, metrics)``.
+
+    The base stage learns the tokens of the resized images under the samples'
+    conditions.  The second stage learns the tokens of its own resolution, every
+    position under its sample's condition and the low-resolution token at its place,
+    which is what :func:`spotgrid.operators.generating.generate_two_stage` asks it for.
+    Both are :func:`train_flow` with its ``settings``, with snapshots below
+    ``results/base`` and ``results/superres``; ``metrics`` has the stage before each key.
+    """
+    low = cut_lineage(lowres_tokens(pixels, in_size, base_codec, conditions))
+    base, first = train_flow(low, conditions, base_codec.codes, steps, batch_size, f"{results.rstrip('/')}/base", **settings)
+    high = cut_lineage(lowres_tokens(pixels, in_size, superres_codec, conditions))
+    positions = cut_lineage(lowres_conditions(conditions, low, base_codec.side, superres_codec.side, base_codec.codes))
+    superres, second = train_flow(
+        high, conditions, superres_codec.codes, superres_steps or steps, batch_size, f"{results.rstrip('/')}/superres", positions=positions, **settings
+    )
+    named = lambda metrics, stage: metrics.withColumn("key", F.concat(F.lit(f"{stage}/"), F.col("key")))
+    return base, superres, named(first, "base").unionByName(named(second, "superres"))

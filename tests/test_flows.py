@@ -124,3 +124,32 @@ def test_scorer_flow_accumulates_batches(spark, tmp_path):
         loss = first.cross_entropy(scoring.resolve_conditions(own, first), 4).first()[0]
         want[r["step"]] = want.get(r["step"], 0) + loss / 2
     assert {s: round(v, 9) for s, v in steps.items()} == {s: round(v, 9) for s, v in want.items()}
+
+
+def test_two_stages_are_trained_from_files(spark, tmp_path):
+    """Counts of the second stage by hand: low-resolution token and condition at each position; then both generate."""
+    from spotgrid.operators.codebook import fit_codebook
+    from spotgrid.operators.raster import patch_vectors, resize_nearest
+    from spotgrid.plans.session import cut_lineage
+
+    write_dataset(tmp_path, spots=90, genes=6)
+    samples = dataset.read_samples(spark, str(tmp_path), 16)
+    pixels = cut_lineage(samples.pixels)
+    conditions = cut_lineage(spark.range(6).selectExpr("id as sample_id", "id % 2 as cond"))
+    low_pixels = resize_nearest(pixels, 16, 8)
+    codecs = [generating.Codec(cut_lineage(fit_codebook(patch_vectors(p, size, 1), 5, seed=1, rounds=2)), 5, size, 1) for p, size in ((low_pixels, 8), (pixels, 16))]
+    base, superres, metrics = training.train_two_stage(pixels, conditions, 16, *codecs, steps=3, batch_size=2, results=str(tmp_path / "two"), valid_frac=0.2, seed=1)
+    assert {r["key"] for r in metrics.collect()} == {"base/valid", "superres/valid"} and metrics.where("value is null or isnan(value)").count() == 0
+    low = {(r["sample_id"], r["pos"]): r["token_id"] for r in codecs[0].encode(low_pixels, conditions).collect()}
+    high = {(r["sample_id"], r["pos"]): r["token_id"] for r in codecs[1].encode(pixels, conditions).collect()}
+    split = training.exact_split(conditions, "sample_id", 0.2, 1).where("split = 'train'").drop("split")
+    plan = training.cycle_batches(split, "sample_id", 2, 3, 1, 1).select("sample_id", "cond").collect()
+    want = {}
+    for r in plan:
+        for pos in range(64):
+            row, col = divmod(pos, 8)
+            key = (r["cond"] * 5 + low[r["sample_id"], (row // 2) * 4 + col // 2], pos, high[r["sample_id"], pos])
+            want[key] = want.get(key, 0) + 1
+    assert {(r["cond"], r["pos"], r["token_id"]): r["n"] for r in superres.seen.collect()} == want
+    image = generating.generate_two_stage(conditions, base, codecs[0], superres, codecs[1], seed=3, timesteps=3, thres=0.5)
+    assert image.count() > 0 and image.agg(F.max("px")).first()[0] <= 15
