@@ -7,9 +7,10 @@ the source row holds a payload whole.  Records with equal payloads of
 become revisit records without a payload.  A chunk is written as a WARC segment
 (the first as ``response``, later ones as ``continuation`` records), a task's
 archive as gzip files of at most ``FILE_CHUNKS`` segments.  Reading streams a
-file through an inflater, yields chunk rows again, and adds digests up: chunks
-that lie side by side in one file where they are read, the rest after a shuffle
-by record.
+file through an inflater and yields rows of at most ``CHUNK_BYTES`` again, whatever
+the length of a block.  Digests are added up row by row, and no bytes are kept: a
+first pass finishes the records that lie in one file and names the others, whose
+rows a second pass brings together by record and streams in order.
 
 Rows: a null payload is empty and is a record like any other; null keys are the
 largest and repeated rows separate records, of which one is the response; urls may
@@ -32,8 +33,11 @@ from pyspark.sql import functions as F
 from spotgrid.llm.common import stored
 from spotgrid.llm.registry import query, table
 from spotgrid.plans.session import shared_folder
+from spotgrid.plans.sizing import bounded
 
 CHUNK_BYTES, FILE_CHUNKS = 256 << 10, 256
+#: Bytes of one record's fate in a broadcast.
+FATE_BYTES = 200
 DATE = "2024-01-01T00:00:00Z"
 VERSION = "WARC/1.1"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -120,9 +124,13 @@ def _field(name: str, value: Column) -> Column:
 
 def write_archives(chunks: DataFrame, path: str, min_bytes: int = 0, file_chunks: int = FILE_CHUNKS) -> None:
     """Write a stored chunk table as gzip WARC files; only chunks of responses keep their bytes."""
-    fates = find_revisits(chunks, min_bytes)
-    joined = chunks.join(fates, "record_id")
-    wanted = joined.where(F.col("refers_id").isNull() | (F.col("chunk") == 0)).sortWithinPartitions("record_id", "chunk")
+    fates = stored(find_revisits(chunks, min_bytes), "fates")
+    # Fates travel and payloads stay where they are, as long as the fates are small.
+    n = fates.count()
+    side = bounded(fates, n, FATE_BYTES)
+    wanted = chunks.join(side, "record_id").where(F.col("refers_id").isNull() | (F.col("chunk") == 0))
+    if side is fates:
+        wanted = wanted.sortWithinPartitions("record_id", "chunk")
     revisit, first = F.col("refers_id").isNotNull(), F.col("chunk") == 0
     many = ~(first & F.col("last"))
     kind = F.when(revisit, "revisit").when(first, "response").otherwise("continuation")
@@ -151,19 +159,25 @@ def write_archives(chunks: DataFrame, path: str, min_bytes: int = 0, file_chunks
     text.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", file_chunks).text(path)
 
 
-def _records(content: bytes, step: int = 1 << 16) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record of a gzip archive, inflated step by step."""
+def _pieces(content: bytes, most: int = CHUNK_BYTES, step: int = 1 << 16) -> Iterator[tuple[dict[str, str], int, bytes, bool]]:
+    """Blocks of a gzip archive's records in pieces of at most ``most`` bytes: header fields, number of the piece, bytes, and whether it is the last.
+
+    Inflated step by step; never more than a piece, a step and a header is held.
+    """
     inflater, view, at = zlib.decompressobj(31), memoryview(content), 0
     held = bytearray()
 
     def more() -> bool:
         nonlocal inflater, at
+        if inflater.unconsumed_tail:
+            held.extend(inflater.decompress(inflater.unconsumed_tail, step))
+            return True
         if at >= len(view):
             return False
         if inflater.eof:  # the next gzip member
             inflater = zlib.decompressobj(31)
         piece = view[at : at + step]
-        held.extend(inflater.decompress(piece))
+        held.extend(inflater.decompress(piece, step))
         at += len(piece) - len(inflater.unused_data)
         return True
 
@@ -177,83 +191,108 @@ def _records(content: bytes, step: int = 1 << 16) -> Iterator[tuple[dict[str, st
         if lines[0] != VERSION:
             raise ValueError(f"no WARC record but {lines[0][:40]!r}")
         fields = dict(line.split(": ", 1) for line in lines[1:])
-        length = int(fields["Content-Length"])
-        while len(held) < end + 4 + length + 4:
+        del held[: end + 4]
+        left, number = int(fields["Content-Length"]), 0
+        while left or not number:
+            size = min(left, most)
+            while len(held) < size:
+                if not more():
+                    raise ValueError("an archive ends inside a record")
+            piece = bytes(held[:size])
+            del held[:size]
+            left -= size
+            yield fields, number, piece, not left
+            number += 1
+        while len(held) < 4:
             if not more():
                 raise ValueError("an archive ends inside a record")
-        block = bytes(held[end + 4 : end + 4 + length])
-        del held[: end + 8 + length]
-        yield fields, block
+        del held[:4]
 
 
-READ = "record_id string, key bigint, url string, type string, refers_id string, chunk int, last boolean, data binary, stated string"
+READ = "record_id string, key bigint, url string, type string, refers_id string, chunk int, piece int, ends boolean, last boolean, data binary, stated string"
 _READ_KINDS = [
     ("record_id", pa.string()), ("key", pa.int64()), ("url", pa.string()), ("type", pa.string()), ("refers_id", pa.string()), ("chunk", pa.int32()),
-    ("last", pa.bool_()), ("data", pa.binary()), ("stated", pa.string()),
+    ("piece", pa.int32()), ("ends", pa.bool_()), ("last", pa.bool_()), ("data", pa.binary()), ("stated", pa.string()),
 ]
 
 
-def _read_row(fields: dict[str, str], block: bytes) -> tuple:
+def _read_row(fields: dict[str, str], piece: int, data: bytes, ends: bool) -> tuple:
     first = fields["WARC-Type"] != "continuation"
     record = fields["WARC-Record-ID" if first else "WARC-Segment-Origin-ID"][1:-1]
     number = int(fields.get("WARC-Segment-Number", 1))
-    last = "WARC-Segment-Number" not in fields or "WARC-Segment-Total-Length" in fields
+    last = ends and ("WARC-Segment-Number" not in fields or "WARC-Segment-Total-Length" in fields)
     key = fields.get("X-Record-Key")
     refers = fields.get("WARC-Refers-To")
-    data = block.partition(b"\r\n\r\n")[2] if first else block
+    if first and piece == 0:
+        data = data.partition(b"\r\n\r\n")[2]  # behind the HTTP header
     stated = fields.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None
-    return record, int(key) if key else None, fields.get("WARC-Target-URI"), fields["WARC-Type"], refers and refers[1:-1], number - 1, last, data, stated
+    return record, int(key) if key else None, fields.get("WARC-Target-URI"), fields["WARC-Type"], refers and refers[1:-1], number - 1, piece, ends, last, data, stated
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Chunk rows of all archives below ``path``: ``record_id, key, url, type, refers_id, chunk, last, data, stated``.
+    """Rows of all archives below ``path``: ``record_id, key, url, type, refers_id, chunk, piece, ends, last, data, stated``.
 
-    ``stated`` is the payload digest named in the header of a record's first chunk.
+    A row is a piece of a segment, ``ends`` marks the segment's last piece and ``last``
+    the record's; ``stated`` is the payload digest named in the header of a record's
+    first segment.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contents = (c.as_py() for batch in batches for c in batch.column(0))
-        return _batches((_read_row(*r) for c in contents for r in _records(c)), _READ_KINDS, 7)
+        contents = (c.as_buffer() for batch in batches for c in batch.column(0))
+        return _batches((_read_row(*p) for c in contents for p in _pieces(c)), _READ_KINDS, 9)
 
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").load(path)
     return files.select("content").mapInArrow(run, READ)
 
 
-SUMMED = "record_id string, key bigint, url string, type string, refers_id string, chunk int, last boolean, data binary, stated string, total bigint, digest string"
-_SUMMED_KINDS = [*_READ_KINDS, ("total", pa.int64()), ("digest", pa.string())]
+SUMMED = "record_id string, key bigint, url string, type string, refers_id string, stated string, total bigint, digest string"
+_SUMMED_KINDS = [
+    ("record_id", pa.string()), ("key", pa.int64()), ("url", pa.string()), ("type", pa.string()), ("refers_id", pa.string()),
+    ("stated", pa.string()), ("total", pa.int64()), ("digest", pa.string()),
+]
 
 
 def _sum_runs(all_must_end: bool):
-    """Fold each run of chunks of one record, from its first to its last one, into one row; other rows pass."""
+    """Fold the rows of each record, from its first to its last one in order, into one row with total and digest.
+
+    A record that does not end where it is read, or began elsewhere, gives a row
+    without a digest, or raises.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        sha, head, total, waiting = None, None, 0, []
+        sha, head, total, due, named = hashlib.sha1(), None, 0, (0, 0), None
+
+        def unfinished(record: str) -> tuple:
+            if all_must_end:
+                raise ValueError(f"record {record} has no last chunk")
+            return (record, *[None] * (len(_SUMMED_KINDS) - 1))
+
         for batch in batches:
-            for one in batch.to_pylist():
-                row = tuple(one[n] for n, _ in _READ_KINDS)
-                if one.get("digest"):
-                    yield (*row, one["total"], one["digest"])
-                    continue
-                follows = head is not None and head[0] == row[0] and row[5] == len(waiting)
-                if not follows:
-                    yield from ((*w, None, None) for w in waiting)
-                    sha, head, total, waiting = (hashlib.sha1(), row, 0, []) if row[5] == 0 else (None, None, 0, [])
-                if head is None:
-                    yield (*row, None, None)
-                    continue
-                sha.update(row[7])
-                total += len(row[7])
-                # Bytes are held only while the record may still go on in another file.
-                waiting.append((*row[:7], None if all_must_end else row[7], row[8]))
-                if row[6]:
-                    yield (*head[:7], None, head[8], total, base32_sha1(sha.digest()))
-                    sha, head, total, waiting = None, None, 0, []
-        if waiting and all_must_end:
-            raise ValueError(f"record {head[0]} has no last chunk")
-        yield from ((*w, None, None) for w in waiting)
+            columns = [batch.column(batch.schema.get_field_index(n)) for n in ("record_id", "chunk", "piece", "ends", "last")]
+            for i, (record, chunk, piece, ends, last) in enumerate(zip(*(c.to_pylist() for c in columns))):
+                if head is None or head[0] != record or (chunk, piece) != due:
+                    if head is not None:
+                        yield unfinished(head[0])
+                        named, head = head[0], None
+                    if (chunk, piece) != (0, 0):
+                        if named != record:
+                            yield unfinished(record)
+                            named = record
+                        continue
+                    head = tuple(batch.column(batch.schema.get_field_index(n))[i].as_py() for n in ("record_id", "key", "url", "type", "refers_id", "stated"))
+                    sha, total = hashlib.sha1(), 0
+                data = memoryview(batch.column(batch.schema.get_field_index("data"))[i].as_buffer())
+                sha.update(data)
+                total += len(data)
+                due = (chunk + 1, 0) if ends else (chunk, piece + 1)
+                if last:
+                    yield (*head, total, base32_sha1(sha.digest()))
+                    head = None
+        if head is not None:
+            yield unfinished(head[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _batches(rows(batches), _SUMMED_KINDS, 7)
+        return _batches(rows(batches), _SUMMED_KINDS, 0)
 
     return run
 
@@ -263,9 +302,14 @@ def payload_digests(chunks: DataFrame) -> DataFrame:
 
     Raises if a record's chunks are not all there.
     """
-    near = chunks.mapInArrow(_sum_runs(False), SUMMED)
-    gathered = near.repartition("record_id").sortWithinPartitions("record_id", "chunk")
-    return gathered.mapInArrow(_sum_runs(True), SUMMED).select("record_id", "key", "url", "type", "refers_id", "stated", "total", "digest")
+    near = stored(chunks.mapInArrow(_sum_runs(False), SUMMED), "digests")
+    done, open_ids = near.where("digest is not null"), near.where("digest is null").select("record_id").distinct()
+    n = open_ids.count()
+    if not n:
+        return done
+    rows = chunks.join(bounded(open_ids, n, FATE_BYTES), "record_id", "left_semi")
+    gathered = rows.repartition("record_id").sortWithinPartitions("record_id", "chunk", "piece")
+    return done.unionByName(gathered.mapInArrow(_sum_runs(True), SUMMED))
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,3 +48,21 @@ def test_rows_that_take_no_part_lengths_and_large_numbers(spark):
 def test_a_query_is_not_its_own_candidate_even_if_repeated(spark):
     rows = [(2, [1.0]), (2, [1.0]), (3, [0.5]), (3, [0.5])]
     assert {(r[0], r[2]) for r in search(spark, rows, 5)} == {(2, 3)}
+
+
+def test_clustered_vectors_are_pruned(monkeypatch):
+    """Far clusters are never multiplied: a small share of all products, and the same hits as a scan."""
+    draw = np.random.default_rng(6)
+    centers = draw.normal(size=(60, 8)) * 400
+    vectors = np.floor(centers[draw.integers(0, 60, 8000)] + draw.normal(size=(8000, 8)) * 20)
+    ids, queries = np.arange(8000), np.arange(0, 8000, 100)
+    tree = balltree.BallTree.build(vectors, ids, 64)
+    counted, plain = [], balltree._products
+    monkeypatch.setattr(balltree, "_products", lambda q, v: counted.append(len(q) * len(v)) or plain(q, v))
+    q, found, scores = tree.search(vectors[queries], queries, 20, np.full(len(queries), -np.inf))
+    assert sum(counted) < 0.2 * len(queries) * len(vectors)
+    every = vectors[queries] @ vectors.T
+    every[np.arange(len(queries)), queries] = -np.inf
+    for i in range(len(queries)):
+        order = np.lexsort((ids, -every[i]))[:20]
+        assert found[q == i].tolist() == order.tolist() and scores[q == i].tolist() == every[i][order].tolist()

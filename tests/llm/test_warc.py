@@ -73,4 +73,31 @@ def test_binary_payloads_empty_table_and_lost_chunks(spark, tmp_path):
 def test_several_gzip_members():
     one = b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     content = gzip.compress(one) + gzip.compress(one.replace(b"abc", b"xyz"))
-    assert [b for _, b in warc._records(content, 16)] == [b"abc", b"xyz"]
+    assert [b for _, _, b, _ in warc._pieces(content, step=16)] == [b"abc", b"xyz"]
+    assert [(n, b, e) for _, n, b, e in warc._pieces(content, 2, 5)] == [(0, b"ab", False), (1, b"c", True), (0, b"xy", False), (1, b"z", True)]
+
+
+def test_an_oversized_record_of_another_writer_is_never_held():
+    """300 MB of payload in one segment: pieces, the digest, and the memory that a process of its own needs more."""
+    import subprocess
+    import sys
+
+    code = """
+import hashlib, resource, zlib
+from spotgrid.llm import warc
+size, block = 300 << 20, b"ab" * (1 << 19)
+pack = zlib.compressobj(9, zlib.DEFLATED, 31)
+head = b"WARC/1.1\\r\\nWARC-Type: response\\r\\nWARC-Record-ID: <r>\\r\\nContent-Length: %d\\r\\n\\r\\n" % (size + 4)
+content = pack.compress(head + b"\\r\\n\\r\\n") + b"".join(pack.compress(block) for _ in range(size // len(block))) + pack.compress(b"\\r\\n\\r\\n") + pack.flush()
+want = hashlib.sha1()
+for _ in range(size // len(block)):
+    want.update(block)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+rows = (warc._read_row(*p) for p in warc._pieces(content))
+batches = warc._batches(rows, warc._READ_KINDS, 9)
+[(*_, total, digest)] = [tuple(r.values()) for b in warc._sum_runs(True)(batches) for r in b.to_pylist()]
+assert total == size and digest == warc.base32_sha1(want.digest())
+grown = (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10
+assert grown < 100, grown
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))), timeout=300)
