@@ -16,6 +16,23 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+class Cache:
+    """Two generations of entries: what is used stays, the rest goes when a generation is full."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """Keys that neither generation holds; all others are in the young one after this."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        wanted = keys.difference(self.young)
+        kept, new = [], []
+        for k in wanted:
+            (kept if k in self.old else new).append(k)
+        self.young.update((k, self.old[k]) for k in kept)
+        return new
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` worked out once per row, also where lambdas in ``body`` use it."""
     return F.transform(F.array(value), body)[0]

@@ -20,6 +20,7 @@ clash with an output name raises.  Memory: a batch of rows, a word cache of
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -30,10 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from spotgrid.llm.common import Cache
 from spotgrid.llm.registry import query, table
 
 SPACE = "▁"
-CACHE_WORDS, PASS_CELLS = 300_000, 200_000
+CACHE_WORDS, PASS_CELLS = 300_000, 50_000
+#: Longer words are walked in windows of so many characters; low bits of keys that are looked at first.
+WINDOW, MARKS = 1 << 14, 1 << 16
 #: A character without a piece costs this much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
 _BASE, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -57,6 +61,11 @@ def _mixed(codes: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _mark(keys: np.ndarray) -> np.ndarray:
+    """The bits of keys that are looked up first."""
+    return ((keys ^ keys >> np.uint64(32)) & np.uint64(MARKS - 1)).astype(np.int64)
+
+
 def _prefix_hashes(codes: np.ndarray) -> np.ndarray:
     """Polynomial hashes of all prefixes, from the empty one on."""
     mixed = _mixed(codes)
@@ -72,7 +81,8 @@ class Pieces:
     def __init__(self, pieces: list[str], scores: list[float], byte_ids: list[int]) -> None:
         """``pieces`` by id, with "" for control and byte pieces; ``byte_ids`` by byte."""
         self.pieces, self.byte_ids = pieces, byte_ids
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        #: Per length: sorted keys, their ids and scores, and a mark for the low bits of each key.
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         lengths = np.array([len(p) for p in pieces])
         all_scores = np.array(scores)
         self.unknown = float(all_scores[lengths > 0].min()) - UNKNOWN_PENALTY
@@ -82,94 +92,197 @@ class Pieces:
             order = np.argsort(keys)
             if np.any(keys[order][1:] == keys[order][:-1]):
                 raise ValueError("two pieces share a hash")
-            self.by_length[length] = keys[order], ids[order], all_scores[ids[order]]
+            marks = np.zeros(MARKS, dtype=bool)
+            marks[_mark(keys)] = True
+            self.by_length[length] = keys[order], ids[order].astype(np.int32), all_scores[ids[order]], marks
         self.longest = max(self.by_length)
         self.spelled = [p.replace(SPACE, " ").encode() for p in pieces]
         for byte, i in enumerate(byte_ids):
             self.spelled[i] = bytes([byte])
+        # Code points of all pieces one after the other, to compare what was found with the word.
+        self.piece_codes = np.frombuffer("".join(pieces).encode("utf-32-le"), dtype=np.uint32)
+        self.piece_lengths = lengths
+        self.piece_starts = np.cumsum(lengths) - lengths
         crossing = any("\n" in p or re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
+        self.by_words = not crossing
         self.units = re.compile("(?s).+" if crossing else f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-        self.cache: dict[str, bytes] = {}
-
-    def segment(self, words: list[str]) -> list[np.ndarray]:
-        """Best piece ids of words of one length; -1 - code point for a character without a piece."""
+        self.cache = Cache(CACHE_WORDS)
+
+    def _hits(self, prefix: np.ndarray, size: int, power: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row, start, id and score of all substrings of one length that are pieces."""
+        keys, key_ids, key_scores, marks = self.by_length[size]
+        probe = prefix[:, size:] - prefix[:, :-size] * power
+        row, start = np.nonzero(marks[_mark(probe)])
+        found = probe[row, start]
+        at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+        real = keys[at] == found
+        at = at[real]
+        return row[real], start[real], key_ids[at], key_scores[at]
+
+    def segment(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Best piece ids of words of one length, word after word, and how many each has; -1 - code point for a character without a piece."""
         length = len(words[0])
         codes = _codes(words, length)
         prefix = _prefix_hashes(codes)
-        n, powers = len(words), np.ones(1, dtype=np.uint64)
-        ids = np.full((self.longest + 1, n, length), -1, dtype=np.int32)
-        scores = np.full((self.longest + 1, n, length), -np.inf)
-        scores[1] = self.unknown
-        for size in range(1, min(self.longest, length) + 1):
-            powers = powers * _BASE
-            if size not in self.by_length:
-                continue
-            keys, key_ids, key_scores = self.by_length[size]
-            probe = prefix[:, size:] - prefix[:, :-size] * powers
-            at = np.minimum(np.searchsorted(keys, probe), len(keys) - 1)
-            hit = keys[at] == probe
-            wide = length - size + 1
-            ids[size, :, :wide] = np.where(hit, key_ids[at], ids[size, :, :wide])
-            scores[size, :, :wide] = np.where(hit, key_scores[at], scores[size, :, :wide])
-        best = np.zeros((n, length + 1))
-        back = np.zeros((n, length + 1), dtype=np.int32)
+        n, power, wide = len(words), np.uint64(1), min(self.longest, length)
+        # By end of a piece: column k is the piece that starts at ``end - wide + k``.
+        ids = np.full((length + 1, n, wide), -1, dtype=np.int32)
+        scores = np.full((length + 1, n, wide), -np.inf)
+        scores[1:, :, wide - 1] = self.unknown
+        with np.errstate(over="ignore"):
+            for size in range(1, wide + 1):
+                power = power * _BASE
+                if size in self.by_length:
+                    row, start, found, score = self._hits(prefix, size, power)
+                    ids[start + size, row, wide - size] = found
+                    scores[start + size, row, wide - size] = score
+        best = np.full((n, wide + length + 1), -np.inf)  # the empty start is column ``wide``
+        best[:, wide] = 0
+        back = np.zeros((length + 1, n), dtype=np.int32)
+        rows = np.arange(n)
         for j in range(1, length + 1):
-            sizes = np.arange(min(self.longest, j), 0, -1)  # the earliest start first
-            total = best[:, j - sizes] + scores[sizes, :, j - sizes].T
-            chosen = np.argmax(total, axis=1)
-            best[:, j] = total[np.arange(n), chosen]
-            back[:, j] = sizes[chosen]
+            total = best[:, j : j + wide] + scores[j]
+            chosen = np.argmax(total, axis=1)  # the earliest start first
+            best[:, wide + j] = total[rows, chosen]
+            back[j] = chosen
         out = np.zeros((n, length), dtype=np.int32)
-        counts, place, rows = np.zeros(n, dtype=np.int64), np.full(n, length), np.arange(n)
+        counts, place = np.zeros(n, dtype=np.int64), np.full(n, length)
         while len(rows):
-            size = back[rows, place[rows]]
-            start = place[rows] - size
-            piece = ids[size, rows, start]
+            end = place[rows]
+            chosen = back[end, rows]
+            start = end - wide + chosen
+            piece = ids[end, rows, chosen]
             counts[rows] += 1
             out[rows, length - counts[rows]] = np.where(piece < 0, -1 - codes[rows, start].astype(np.int32), piece)
             place[rows] = start
             rows = rows[start > 0]
-        return [out[r, length - counts[r] :] for r in range(n)]
-
-    def _spell_unknown(self, ids: list[int]) -> np.ndarray:
+        flat = out[np.arange(length) >= (length - counts)[:, None]]
+        if not np.array_equal(self._codes_of(flat), codes.ravel()):
+            raise ValueError("two substrings share a hash")
+        return flat, counts
+
+    def _codes_of(self, ids: np.ndarray) -> np.ndarray:
+        """Code points that ids spell."""
+        known = np.maximum(ids, 0)
+        sizes = np.where(ids < 0, 1, self.piece_lengths[known])
+        ends = np.cumsum(sizes)
+        inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+        places = np.repeat(np.where(ids < 0, 0, self.piece_starts[known]), sizes) + inside
+        bare = np.repeat(ids, sizes)
+        return np.where(bare < 0, -1 - bare, self.piece_codes[places]).astype(np.uint32)
+
+    def segment_long(self, word: str) -> np.ndarray:
+        """:meth:`segment` of one long word, in windows that hand on the last scores."""
+        codes, length = _codes([word], len(word)), len(word)
+        ids, sizes = np.zeros(length + 1, dtype=np.int32), np.zeros(length + 1, dtype=np.uint8 if self.longest < 256 else np.int32)
+        best = [-math.inf] * (self.longest - 1) + [0.0]  # of the last ends
+        for low in range(0, length, WINDOW):
+            high = min(length, low + WINDOW)
+            first = max(0, low - self.longest + 1)
+            prefix = _prefix_hashes(codes[:, first:high])
+            found = [(np.arange(low + 1, high + 1), np.ones(high - low, dtype=np.int64), np.full(high - low, -1), np.full(high - low, self.unknown))]
+            power = np.uint64(1)
+            with np.errstate(over="ignore"):
+                for size in range(1, min(self.longest, high - first) + 1):
+                    power = power * _BASE
+                    if size in self.by_length:
+                        _, start, hit, score = self._hits(prefix, size, power)
+                        end = start + first + size
+                        new = end > low
+                        if size == 1:  # a piece of its own takes the place of the unknown character
+                            found[0][2][end[new] - low - 1], found[0][3][end[new] - low - 1] = hit[new], score[new]
+                        else:
+                            found.append((end[new], np.full(int(new.sum()), size), hit[new], score[new]))
+            ends, widths, hits, scores = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((-widths, ends))  # the earliest start first
+            starts = np.searchsorted(ends[order], np.arange(low + 1, high + 2)).tolist()
+            listed_widths, listed_scores = widths[order].tolist(), scores[order].tolist()
+            base, chosen = len(best), []
+            for j in range(high - low):
+                top, at = -math.inf, -1
+                for t in range(starts[j], starts[j + 1]):
+                    total = best[base + j - listed_widths[t]] + listed_scores[t]
+                    if total > top:
+                        top, at = total, t
+                best.append(top)
+                chosen.append(at)
+            places = order[chosen]
+            ids[low + 1 : high + 1], sizes[low + 1 : high + 1] = hits[places], widths[places]
+            best = best[-self.longest :]
+        path, place = [], length
+        listed = sizes.tolist()
+        while place:
+            path.append(place)
+            place -= listed[place]
+        ends = np.array(path[::-1])
+        out = np.where(ids[ends] < 0, -1 - codes[0, ends - 1].astype(np.int32), ids[ends]).astype(np.int32)
+        if not np.array_equal(self._codes_of(out), codes[0]):
+            raise ValueError("two substrings share a hash")
+        return out
+
+    def _spell_unknown(self, ids: np.ndarray) -> bytes:
         flat: list[int] = []
-        for i in ids:
+        for i in ids.tolist():
             flat += [i] if i >= 0 else [self.byte_ids[b] for b in chr(-1 - i).encode()]
-        return np.array(flat, dtype=np.int32)
+        return np.array(flat, dtype="<i4").tobytes()
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Segment words and keep their ids."""
+    def learn(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        """Words with their ids, as little-endian 32-bit numbers."""
         lengths: dict[int, list[str]] = {}
         for word in words:
             lengths.setdefault(len(word), []).append(word)
         for length, same in lengths.items():
+            if length > WINDOW:
+                yield from ((word, self._spell_unknown(self.segment_long(word))) for word in same)
+                continue
             rows = max(1, PASS_CELLS // length)
             for at in range(0, len(same), rows):
                 part = same[at : at + rows]
-                for word, ids in zip(part, self.segment(part)):
-                    listed = ids.tolist()
-                    if min(listed) < 0:
-                        spelled = "".join(self.pieces[i] if i >= 0 else chr(-1 - i) for i in listed)
-                        ids = self._spell_unknown(listed)
-                    else:
-                        spelled = "".join(map(self.pieces.__getitem__, listed))
-                    if spelled != word:
-                        raise ValueError(f"two substrings share a hash in {word!r}")
-                    self.cache[word] = ids.tobytes()
+                ids, counts = self.segment(part)
+                ends = np.cumsum(counts)
+                packed = ids.astype("<i4").tobytes()
+                odd = set(np.searchsorted(ends, np.flatnonzero(ids < 0), side="right").tolist())
+                cuts = (4 * ends).tolist()
+                low = 0
+                for i, (word, high) in enumerate(zip(part, cuts)):
+                    yield word, self._spell_unknown(ids[low // 4 : high // 4]) if i in odd else packed[low:high]
+                    low = high
+
+    def _units_of(self, text: str | None) -> list[list[str]]:
+        """Words of a text, in parts between marks that the text has itself."""
+        parts = (text or "").split(SPACE)
+        # A mark of the text itself becomes a private character, spelled as bytes below.
+        return [self.units.findall((" " * (k == 0) + p).replace(" ", SPACE)) if p or (k == 0 and len(parts) > 1) else [] for k, p in enumerate(parts)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit numbers."""
-        marked = []
-        for text in texts:
-            parts = (text or "").split(SPACE)
-            # A mark of the text itself becomes a private character, spelled as bytes below.
-            marked.append([self.units.findall((" " * (k == 0) + p).replace(" ", SPACE)) if p or (k == 0 and len(parts) > 1) else [] for k, p in enumerate(parts)])
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        self.learn({w for parts in marked for units in parts for w in units if w not in self.cache})
-        mark = np.array([self.byte_ids[b] for b in SPACE.encode()], dtype=np.int32).tobytes()
-        known = self.cache.__getitem__
-        return [mark.join(b"".join(map(known, units)) for units in parts) for parts in marked]
+        """Ids of each text as little-endian 32-bit numbers.
+
+        Most texts have single spaces between words: they are parted at spaces and
+        line breaks, a word standing for itself after a space, and for itself after
+        a line break if one precedes it.
+        """
+        plain: dict[int, list[str]] = {}
+        marked: dict[int, list[list[str]]] = {}
+        for i, text in enumerate(texts):
+            if self.by_words and text and SPACE not in text and "  " not in text and text[0] != " ":
+                plain[i] = text.replace("\n", " \n").split(" ") if "\n" in text else text.split(" ")
+            else:
+                marked[i] = [[w if w == "\n" else SPACE + w for w in units] for units in self._units_of(text)]
+        new = self.cache.missing(set().union(*plain.values(), *(units for parts in marked.values() for units in parts)))
+        held = self.cache.young
+        # Keys: a word after a space; a line break and the word after it; or a mark and a unit as it stands.
+        rare = {k: ["\n", k[1:]] if k[0] == "\n" else [k[1:]] for k in new if k and k[0] in "\n" + SPACE}
+        held.update((w[1:], ids) for w, ids in self.learn([SPACE + k for k in new if k not in rare]))
+        words = dict(self.learn({w for units in rare.values() for w in units if w}))
+        held.update((k, b"".join([words[w] for w in units if w])) for k, units in rare.items())
+        mark = np.array([self.byte_ids[b] for b in SPACE.encode()], dtype="<i4").tobytes()
+        known = held.__getitem__
+        out = [b""] * len(texts)
+        for i, keys in plain.items():
+            out[i] = b"".join(map(known, keys))
+        for i, parts in marked.items():
+            out[i] = mark.join(b"".join(map(known, units)) for units in parts)
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids; one leading space goes."""
