@@ -45,3 +45,34 @@ def test_bundles_hot_groups_nulls_and_slices(spark):
 def test_least_loaded():
     assert sharding.least_loaded({"a": 5, "b": 4, "c": 3, "d": 3, "e": 3}, 2) == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 1}
     assert sharding.least_loaded({}, 3) == {}
+
+
+def plain_schedule(rows, bundles, shards, items):
+    """Shard of each group: heavy groups and bundles of the others, by falling size, each to the shard of the least load, found by a scan."""
+    limit = sum(r["size"] for r in rows) // items
+    groups = {}
+    for r in rows:
+        groups[r["group_key"]] = groups.get(r["group_key"], 0) + r["size"]
+    item_of = {g: (True, g) if n > limit else (False, f"{bundles[g]:08d}") for g, n in groups.items()}
+    sizes = {}
+    for g, n in groups.items():
+        sizes[item_of[g]] = sizes.get(item_of[g], 0) + n
+    loads, placed = [0] * shards, {}
+    for item in sorted(sizes, key=lambda i: (-sizes[i], i)):
+        shard = min(range(shards), key=lambda s: (loads[s], s))
+        loads[shard] += sizes[item]
+        placed[item] = shard
+    return {g: placed[i] for g, i in item_of.items()}
+
+
+def test_shards_against_a_plain_schedule(spark):
+    from pyspark.sql import functions as F
+
+    docs = [(i, "hot" * 50) for i in range(120)] + [(i, f"text {i % 300} " * (i % 7)) for i in range(900)] + [(None, None), (7, "")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for given, shards, items in ((frame, 7, 64), (spark.read.parquet(f"{FOLDER}/documents.parquet"), 40, sharding.ITEMS)):
+        rows = sharding.shard_texts(given, shards, items=items).collect()
+        keys = spark.createDataFrame([(k,) for k in {r["group_key"] for r in rows}], "k string")
+        bundles = {r["k"]: r["b"] for r in keys.select("k", F.pmod(F.xxhash64("k"), F.lit(items)).alias("b")).collect()}
+        want = plain_schedule(rows, bundles, shards, items)
+        assert all(r["shard"] == want[r["group_key"]] for r in rows)

@@ -56,7 +56,7 @@ def test_marks_and_letters_give_the_ids_of_whole_texts(texts):
     assert got == whole(texts)
 
 
-@pytest.mark.parametrize("text", ["Don't STOP<|EndOfText|>, x's. été.", "it's  <|endoftext|> 's a<|endoftext|>b", "é ́x", "a b c\x1cd\x85e", "ΣΑΣ ΣΑΣ", "​ ﻿"])
+@pytest.mark.parametrize("text", ["Don't STOP<|EndOfText|>, x's. été.", "it's  <|endoftext|> 's a<|endoftext|>b", "é ́x", "a b c\x1cd\x85e", "ΣΑΣ ΣΑΣ", "J\u030ca K\u030c. S\u0331AB T\u0308e", "ESTÁ, ÑANDÚ; Größe ÿØ×÷ª", "​ ﻿"])
 def test_odd_texts(text):
     got = np.frombuffer(token_files.load(token_files.default_tokenizer()).encode([text])[0], dtype="<u4").tolist() + [1]
     assert got == whole([text])[0]
