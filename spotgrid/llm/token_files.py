@@ -25,7 +25,7 @@ import json
 import os
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -127,24 +127,6 @@ def unpack_block(ranks: bytes, control: bytes, data: bytes, n: int) -> np.ndarra
     return np.frombuffer(ranks, dtype="<u4")[unpack(control, data, n)]
 
 
-class Cache:
-    """Two generations of entries: what is used stays, the rest goes when a generation is full."""
-
-    def __init__(self, most: int) -> None:
-        self.most, self.young, self.old = most, {}, {}
-
-    def missing(self, keys: set[bytes]) -> list[bytes]:
-        """Keys that neither generation holds; all others are in the young one after this."""
-        if len(self.young) > self.most:
-            self.young, self.old = {}, self.young
-        wanted = keys.difference(self.young)
-        kept, new = [], []
-        for k in wanted:
-            (kept if k in self.old else new).append(k)
-        self.young.update((k, self.old[k]) for k in kept)
-        return new
-
-
 #: Rules of a tokenizer file under which words may be encoded one by one.
 WORD_RULES = {
     "truncation": None,
@@ -168,6 +150,36 @@ def parts_at_words(rules: dict) -> bool:
     return added and not rules["model"].get("dropout") and all(rules.get(k) == v for k, v in WORD_RULES.items())
 
 
+def byte_alphabet() -> dict[int, int]:
+    """The character that stands for each byte that is not a visible character by itself: those from 256 on, in order."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {byte: 0x100 + i for i, byte in enumerate(b for b in range(0x100) if b not in visible)}
+
+
+BYTE_ALPHABET = byte_alphabet()
+
+
+class Lookup(dict):
+    """Values worked out when first asked for, in two generations: what is used stays, the rest goes when a generation is full."""
+
+    def __init__(self, make: Callable[[bytes], bytes], most: int) -> None:
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
+        return found
+
+    def turn(self) -> None:
+        """Begin a new generation if this one is full."""
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
 class WordEncoder:
     """A tokenizer with bounded caches of words, for rules under which white space parts all tokens.
 
@@ -176,10 +188,13 @@ class WordEncoder:
     ASCII letters is lost, so a word is looked up as its letters in lower case and its
     closing signs.  Words with digits, apostrophes or the marks of
     special tokens, and those that end otherwise, are encoded as they are.  Units of
-    ASCII need no normalisation, and the model segments them directly.
+    ASCII need no normalisation, and the model segments them directly; so do units of
+    ASCII and Latin-1 letters alone, which are composed already, have one lower case
+    each and stay in one piece, once their bytes are spelled in the byte alphabet.
     """
 
-    plain = re.compile(rb"([A-Za-z\x80-\xff]*[A-Za-z])([!-&(-/:;=-@\[-`{}~]*)")
+    plain = re.compile(rb"([A-Za-z\x80-\xff]*(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-&(-/:;=-@\[-`{}~]*)")
+    latin = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
@@ -188,33 +203,50 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.by_words = parts_at_words(json.loads(self.tokenizer.to_str()))
-        self.words, self.units = Cache(CACHE_WORDS), Cache(CACHE_WORDS)
+        self.words, self.units = Lookup(self._word, CACHE_WORDS), Lookup(self._unit, CACHE_WORDS)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
         if not self.by_words:
             found = self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
             return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
-        words = [(t or "").encode().split() for t in texts]
-        new = self.words.missing(set().union(*words))
-        known = self.words.young
-        matched = [(w, m) for w, m in zip(new, map(self.plain.fullmatch, new)) if m]
-        parts = [(w, m[1].lower(), m[2]) for w, m in matched]
-        units = {p for _, unit, tail in parts for p in (unit, tail) if p}
-        fresh = self.units.missing(units)
-        found_units = self.units.young
-        bare = [u for u in fresh if u.isascii()]
-        found_units.update((u, struct.pack(f"<{len(t)}I", *[x.id for x in t])) for u, t in ((u, self.model.tokenize(u.decode())) for u in bare))
-        found_units.update(self._whole([u for u in fresh if not u.isascii()]))
-        found_units[b""] = b""
-        known.update((w, found_units[unit] + found_units[tail]) for w, unit, tail in parts)
-        known.update(self._whole([w for w in new if w not in known]))
-        return [b"".join(map(known.__getitem__, w)) for w in words]
-
-    def _whole(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Words with their ids, by all steps of the tokenizer."""
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return ((w, struct.pack(f"<{len(ids)}I", *ids)) for w, ids in zip(words, (e.ids for e in found)))
+        out, known = [], self.words.__getitem__
+        for text in texts:
+            raw = (text or "").encode()
+            # The case of ASCII letters is lost anyway, but for special tokens and letters that a mark behind them composes with.
+            words = raw.split() if b"<|" in raw or self._marked(raw) else raw.lower().split()
+            out.append(b"".join(map(known, words)))
+            self.words.turn()
+            self.units.turn()
+        return out
+
+    @staticmethod
+    def _marked(raw: bytes) -> bool:
+        """True if a text may hold combining marks (U+0300 to U+036F)."""
+        return b"\xcc" in raw or b"\xcd" in raw
+
+    def _word(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters alone
+            return self.units[word.lower()]
+        match = self.plain.fullmatch(word)
+        if not match or self._marked(word):
+            return self._whole(word)
+        unit, tail = match.groups()
+        return self.units[unit.lower()] + self.units[tail] if tail else self.units[unit.lower()]
+
+    def _unit(self, unit: bytes) -> bytes:
+        text = unit.decode()
+        if not unit.isascii():
+            if not self.latin.fullmatch(text):
+                return self._whole(unit)
+            text = text.lower().encode().decode("latin-1").translate(BYTE_ALPHABET)
+        found = [token.id for token in self.model.tokenize(text)]
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def _whole(self, word: bytes) -> bytes:
+        """A word's ids by all steps of the tokenizer."""
+        found = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        return struct.pack(f"<{len(found)}I", *found)
 
 
 @lru_cache(maxsize=4)
