@@ -24,18 +24,26 @@ ScoreFunction = Callable[[DataFrame], DataFrame]
 
 @dataclass(frozen=True)
 class TokenScorer:
-    """Token counts ``seen(cond, pos, token_id, n)`` and the smoothing weight; logit tables follow."""
+    """Token counts ``seen(cond, pos, token_id, n)`` and the smoothing weight; logit tables follow.
+
+    With ``vocab``, the size of the vocabulary, logits have the prior that
+    :meth:`cross_entropy` rates, with one added to every token's count; the training
+    flows set it, so that what they rate is what is drawn from.
+    """
 
     seen: DataFrame
     alpha: float
+    vocab: int | None = None
 
     def saved(self) -> TokenScorer:
         """The same scorer with its counts materialised, for repeated use."""
-        return TokenScorer(cut_lineage(self.seen), self.alpha)
+        return TokenScorer(cut_lineage(self.seen), self.alpha, self.vocab)
 
     @property
     def prior(self) -> DataFrame:
-        """``(token_id, p)``: share of every token."""
+        """``(token_id, p)``: share of every token that was seen."""
+        if self.vocab is not None:
+            return self.smoothed_prior(self.vocab)
         by_token = self.seen.groupBy("token_id").agg(F.sum("n").alias("_n"))
         total = self.seen.agg(F.sum("n").alias("_total"))
         return by_token.crossJoin(F.broadcast(total)).select("token_id", (F.col("_n") / F.col("_total")).alias("p"))
@@ -137,7 +145,7 @@ class TokenScorer:
         return guide(pos_side, neg_side, scale, floor=floor, keys=on)
 
 
-def fit_token_scorer(tokens: DataFrame, conditions: DataFrame, alpha: float = 1.0) -> TokenScorer:
+def fit_token_scorer(tokens: DataFrame, conditions: DataFrame, alpha: float = 1.0, vocab: int | None = None) -> TokenScorer:
     """Smoothed counts ``ln(n + alpha * p(token))`` with and without the condition.
 
     ``conditions(sample_id[, pos], cond)``.  Tokens are read once and counted by
@@ -147,7 +155,7 @@ def fit_token_scorer(tokens: DataFrame, conditions: DataFrame, alpha: float = 1.
     on = ["sample_id", "pos"] if "pos" in conditions.columns else ["sample_id"]
     joined = tokens.join(conditions, on)
     cond = F.col("cond").cast("long").alias("cond")
-    return TokenScorer(joined.groupBy(cond, "pos", "token_id").agg(F.count(F.lit(1)).alias("n")), alpha)
+    return TokenScorer(joined.groupBy(cond, "pos", "token_id").agg(F.count(F.lit(1)).alias("n")), alpha, vocab)
 
 
 def resolve_conditions(rows: DataFrame, scorer: TokenScorer, column: str = "cond") -> DataFrame:

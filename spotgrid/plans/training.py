@@ -188,7 +188,7 @@ def train_scorer(
     split = cut_lineage(exact_split(conditions, "sample_id", valid_frac, seed))
     train = split.where("split = 'train'").drop("split")
     valid = split.where("split = 'valid'").drop("split")
-    scorer = fit_token_scorer(tokens, train, alpha).saved()
+    scorer = fit_token_scorer(tokens, train, alpha, mask_id).saved()
     hidden = mask_tokens(tokens.join(valid.select("sample_id"), "sample_id", "left_semi"), mask_id, seed)
     labels = resolve_conditions(hidden.join(valid, "sample_id"), scorer)
     return scorer, scorer.cross_entropy(labels, mask_id, scale)
@@ -248,7 +248,7 @@ def train_flow(
         if log_steps and seen is not None:
             shown = mask_tokens(tokens.join(now.select("sample_id"), "sample_id", "left_semi"), mask_id, seed + epoch, no_mask_prob=no_mask_prob).where("masked")
             shown = shown.join(now, "sample_id") if positions is None else shown.join(now.drop("cond"), "sample_id").join(positions, ["sample_id", "pos"])
-            metrics += _step_losses(TokenScorer(seen, alpha), shown, mask_id, scale, grad_accum, epoch)
+            metrics += _step_losses(TokenScorer(seen, alpha, mask_id), shown, mask_id, scale, grad_accum, epoch)
         told = condition_dropout(now.select("epoch", "sample_id", "cond").withColumn("usable", F.lit(True)), dropout, seed + epoch)
         if positions is not None:
             told = told.select("sample_id", "usable").join(positions, "sample_id")
@@ -261,12 +261,12 @@ def train_flow(
             break
         write_snapshot(both, snapshots, epoch)
         seen = load_snapshot(spark, snapshots, epoch)
-        scorer = TokenScorer(seen, alpha)
+        scorer = TokenScorer(seen, alpha, mask_id)
         loss = scorer.cross_entropy(resolve_conditions(hidden, scorer), mask_id, scale).first()[0]
         metrics.append((last // grad_accum, epoch + 1, "valid", loss))
     if seen is None:
         raise ValueError("no steps to train")
-    return TokenScorer(seen, alpha), spark.createDataFrame(metrics, METRICS)
+    return TokenScorer(seen, alpha, mask_id), spark.createDataFrame(metrics, METRICS)
 
 
 def _step_losses(scorer: TokenScorer, labels: DataFrame, vocab: int, scale: float, grad_accum: int, epoch: int) -> list[tuple]:

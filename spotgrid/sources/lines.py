@@ -179,21 +179,22 @@ def numbered_lines(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTE
         return spark.read.format("range_lines").options(uris=json.dumps(uris), range_bytes=str(range_bytes), what=what).load()
 
     counts = ranges("counts").select("file", "range", F.col("value").cast("bigint").alias("_n"))
-    shifts = bounded(_shifts(counts, "range"), len(ranges_of(uris, range_bytes)), 64)
+    n = len(ranges_of(uris, range_bytes))
+    shifts = bounded(_shifts(counts, "range", n), n, 64)
     joined = ranges("lines").join(shifts, ["file", "range"])
     line = F.col("_in_file") + F.col("place")
     return joined.select("file_no", line.alias("line"), (line + F.col("_before")).alias("total_line"), "value")
 
 
-def _shifts(counts: DataFrame, part: str) -> DataFrame:
-    """``(file, part, file_no, _in_file, _before)``: lines before each part in its file, and before the file."""
+def _shifts(counts: DataFrame, part: str, n: int | None = None) -> DataFrame:
+    """``(file, part, file_no, _in_file, _before)``: lines before each part in its file, and before the file; of ``n`` parts, if known."""
     in_file = Window.partitionBy("file").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.withColumn("_in_file", F.coalesce(F.sum("_n").over(in_file), F.lit(0)))
     files = counts.groupBy("file").agg(F.sum("_n").alias("_total")).where(F.col("_total") > 0)
     by_name = Window.orderBy("file")
     before = F.coalesce(F.sum("_total").over(by_name.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     numbers = files.select("file", (F.row_number().over(by_name) - 1).alias("file_no"), before.alias("_before"))
-    return placed.join(numbers, "file").select("file", part, "file_no", "_in_file", "_before")
+    return placed.join(numbers if n is None else bounded(numbers, n, 32), "file").select("file", part, "file_no", "_in_file", "_before")
 
 
 def _numbered_by_spark(spark: SparkSession, path: str) -> DataFrame:

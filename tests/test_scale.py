@@ -139,3 +139,25 @@ def test_settled_positions_leave_the_canvas(spark, monkeypatch):
     assert seen[0] == 192 and seen[-1] < 96 and seen == sorted(seen, reverse=True)
     joined = plain(masking.init_canvas(samples, 4, 5).join(samples, "sample_id").where("sample_id is not null"), generating.cut_lineage(generating.draw_table(scorer.guided(3.0), 5, 0.1, ("cond", "pos"), masking.schedule_steps(16, 8))), ["cond", "pos"], masking.schedule_steps(16, 8)[4], generating.Decoding(4, 5, 9, timesteps=8, sampler="inverse"), False)
     assert joined.where("sample_id is null or pos is null").count() == 0 and joined.count() == 192
+
+
+def test_what_is_rated_is_what_is_drawn_from(spark, tmp_path):
+    """A trained scorer's logits have the prior of its loss: shares of tokens by both ways agree."""
+    import math
+
+    data = [(i, p, (i * 3 + p * p) % 4) for i in range(20) for p in range(3)]
+    tokens = spark.createDataFrame(data, "sample_id long, pos int, token_id int")
+    conds = spark.createDataFrame([(i, i % 2) for i in range(20)], "sample_id long, cond long")
+    scorer, _ = training.train_flow(tokens, conds, 6, 4, 5, str(tmp_path / "f"), valid_frac=0)
+    counts = {}
+    for r in scorer.seen.collect():
+        counts[r["token_id"]] = counts.get(r["token_id"], 0) + r["n"]
+    total = sum(counts.values())
+    seen = {(r["cond"], r["pos"], r["token_id"]): r["n"] for r in scorer.seen.collect()}
+    for r in scorer.cond.collect():
+        assert math.exp(r["logit"]) == pytest.approx(seen[r["cond"], r["pos"], r["token_id"]] + (counts[r["token_id"]] + 1) / (total + 6))
+    # The loss of one label is the softmax of these masses over all tokens, those never seen included.
+    (cond, pos, token), n = next(iter(sorted(seen.items())))
+    mass = lambda t: seen.get((cond, pos, t), 0) + (counts.get(t, 0) + 1) / (total + 6)
+    label = spark.createDataFrame([(cond, pos, token)], "cond long, pos int, label int")
+    assert scorer.cross_entropy(label, 6, scale=1.0).first()[0] == pytest.approx(-math.log(mass(token) / sum(mass(t) for t in range(6))))
