@@ -189,8 +189,12 @@ def _(spark, folder):
     return sampling.shuffle_batches(tables.table(spark, folder, "orders").select("o_orderkey"), "o_orderkey", 32, epoch=2)
 
 
-# Two passes and what fills the last step.
-part("n_cycle", "SELECT CAST(ceil(count(*) / 4.0) AS BIGINT) AS batches, CAST(ceil(ceil(count(*) / 4.0) * 2 / 8.0) AS BIGINT) * 8 AS needed FROM customer")
+# Steps of cycled batches: as many as these, or as two passes and what fills the last step need.
+CYCLE_STEPS = 100
+part(
+    "n_cycle",
+    f"""SELECT CAST(ceil(count(*) / 4.0) AS BIGINT) AS batches, greatest({CYCLE_STEPS}, CAST(ceil(ceil(count(*) / 4.0) * 2 / 8.0) AS BIGINT)) * 8 AS needed FROM customer""",
+)
 
 
 @query(
@@ -198,11 +202,11 @@ part("n_cycle", "SELECT CAST(ceil(count(*) / 4.0) AS BIGINT) AS batches, CAST(ce
     f"""SELECT CAST(seq // 8 AS BIGINT) AS step, CAST(epoch AS INTEGER) AS epoch, rk // 4 AS batch_id, CAST(rk % 4 AS INTEGER) AS slot, c_custkey FROM (
     SELECT c_custkey, epoch, rk, needed, epoch * batches + rk // 4 AS seq FROM (
     SELECT c_custkey, epoch, row_number() OVER (PARTITION BY epoch ORDER BY {U(3407, 'epoch', 'c_custkey')}, c_custkey) - 1 AS rk
-    FROM customer, (SELECT unnest(range(CAST(ceil(needed / batches) AS BIGINT))) AS epoch FROM n_cycle)), n_cycle) WHERE seq < needed""",
+    FROM customer, (SELECT unnest(range(CAST(ceil(needed / greatest(batches, 1)) AS BIGINT))) AS epoch FROM n_cycle)), n_cycle) WHERE seq < needed""",
 )
 def _(spark, folder):
     rows = tables.table(spark, folder, "customer").select("c_custkey")
-    steps = -(-2 * -(-rows.count() // 4) // 8)
+    steps = max(CYCLE_STEPS, -(-2 * -(-rows.count() // 4) // 8))
     out = sampling.cycle_batches(rows, "c_custkey", batch_size=4, steps=steps, grad_accum=8)
     return out.select("step", "epoch", "batch_id", "slot", "c_custkey")
 

@@ -2,9 +2,10 @@
 
 import os
 
+import duckdb
 import pytest
 
-from spotgrid.catalog import QUERIES
+from spotgrid.catalog import QUERIES, SQL
 from spotgrid.operators import matrix
 
 LARGER = "/root/testdata/sf0.1"
@@ -24,6 +25,20 @@ def test_cycled_batches_make_whole_passes_on_larger_tables(spark):
     assert [out.where(f"epoch = {i}").select("c_custkey").distinct().count() for i in (0, 1)] == [customers, customers]
 
 
+@pytest.mark.parametrize("n", [40, 1700])
+def test_cycled_batches_make_all_their_steps(spark, tmp_path, n):
+    spark.range(n).selectExpr("id + 1 AS c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    got = QUERIES["cycle_batches"](spark, str(tmp_path)).toPandas()
+    batches = -(-n // 4)
+    steps = max(100, -(-2 * batches // 8))
+    assert sorted(got["step"].unique()) == list(range(steps)) and steps >= 100
+    assert len(got) == sum(len(range(b % batches * 4, min(n, b % batches * 4 + 4))) for b in range(8 * steps))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+        told = db.execute(SQL["cycle_batches"]).fetchall()
+    assert sorted(told) == sorted(got.itertuples(index=False, name=None))
+
+
 def test_counts_of_long_conversations_stay(spark, tmp_path):
     small = "/root/testdata/sf0.001"
     for name in os.listdir(small):
