@@ -30,7 +30,8 @@ def codebook(spark: SparkSession, folder: str, blocks: DataFrame | None = None)
     labels = tables.embedding_conditions(spark, folder).select(F.col("sample_id").cast("int").alias("gene_idx"), "cond")
     code = F.col("cond") * (SIDE * SIDE) + flatten_pos(F.col("prow"), F.col("pcol"), SIDE)
     members = blocks.join(labels, "gene_idx").select(code.cast("int").alias("code_id"), "vec")
-    return code_sums(members).select("code_id", F.transform("total", lambda x: x / F.col("n")).alias("vec"))
+    # At most CODES rows that a query reads several times; each time would go through all blocks again.
+    return cut_lineage(code_sums(members).select("code_id", F.transform("total", lambda x: x / F.col("n")).alias("vec")))
 
 
 def assigned(spark: SparkSession, folder: str) -> DataFrame:

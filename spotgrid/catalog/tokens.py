@@ -338,7 +338,7 @@ part(
     "SELECT gene_idx, prow, pcol, " + ", ".join(R6(f"sum(exp(s) * k[{i + 1}]) / sum(exp(s))") + f" AS r{i}" for i in range(4)) + " FROM a_own GROUP BY 1, 2, 3",
 )
 def _(spark, folder):
-    patches = inputs.patches(spark, folder)
+    patches = cut_lineage(inputs.patches(spark, folder))
     place = F.struct("gene_idx", "prow", "pcol")
     queries = patches.select(place.alias("query_id"), "vec", "gene_idx")
     usable = (F.col("prow") >= F.col("pcol")).alias("usable")

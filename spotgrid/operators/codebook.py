@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from spotgrid.functions.arrays import any_nonzero, fill_gaps, known, l2_normalize
 from spotgrid.functions.keyed import uniform
 from spotgrid.functions.scalars import flatten_pos, grid_side, unflatten_pos
-from spotgrid.operators.meeting import BLOCK_BYTES, as_matrix, meet, numbered, rows_and_bytes, small_table
+from spotgrid.operators.meeting import BLOCK_BYTES, Piece, as_matrix, meet, numbered, rows_and_bytes, small_table
 from spotgrid.operators.raster import patch_vectors, unpatch
 from spotgrid.operators.vector_sums import sum_vectors
 from spotgrid.plans.session import cut_lineage
@@ -136,9 +136,12 @@ def _assign_blocks(vectors: DataFrame, codes: DataFrame, limit: int) -> DataFram
     rows = numbered(vectors)
     per_block = max(1, min(limit, BLOCK_BYTES) // rows_and_bytes(codes, "vec")[1])
 
-    def best(some: pa.Table, block: pa.Table) -> pa.Table:
-        code, sim = _best_codes(some.column("vec").combine_chunks(), *_units(block))
-        return pa.table({"_row": some.column("_row"), "sim": pa.array(sim), "code_id": pa.array(code, pa.int32())})
+    def best(some: pa.Table, block: pa.Table, pieces: list[Piece]) -> pa.Table:
+        rows, found = some.column("_row"), []
+        for at, n, to, m in pieces:
+            code, sim = _best_codes(some.column("vec").slice(at, n).combine_chunks(), *_units(block.slice(to, m)))
+            found.append(pa.table({"_row": rows.slice(at, n), "sim": pa.array(sim), "code_id": pa.array(code, pa.int32())}))
+        return pa.concat_tables(found)
 
     right = codes.select(F.col("code_id").alias("_id"), "code_id", "vec")
     found = meet(rows.select("_row", "vec"), right, per_block, per_block, best, "_row bigint, sim double, code_id int")

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spotgrid.operators.meeting import BLOCK_BYTES, as_matrix, as_vectors, meet, merged_runs, numbered, rows_and_bytes, small_table
+from spotgrid.operators.meeting import BLOCK_BYTES, Piece, as_matrix, as_vectors, meet, merged_runs, numbered, rows_and_bytes, small_table
+from spotgrid.plans.session import cut_lineage
 from spotgrid.plans.sizing import BROADCAST_LIMIT
 
 # Fixed value: factor on the cosine similarity.
@@ -91,9 +92,12 @@ def soft_lookup(
     usable = context.where(F.col("usable") & F.col("key_vec").isNotNull() & F.col("value_vec").isNotNull())
     usable = usable.select("key_id", "key_vec", "value_vec", *([by] if by else []))
 
-    def states(vectors: pa.Array, keys: np.ndarray, values: np.ndarray) -> list[np.ndarray]:
-        found = _absorb(_directions(as_matrix(vectors, width, gaps=0.0), heads), _directions(keys, heads), _heads(values, heads), scale)
-        return [found[0], found[1], found[2].reshape(len(found[2]), -1)]
+    def directed(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+        return _directions(as_matrix(vectors, width, gaps=0.0), heads)
+
+    def states(directions: np.ndarray, keys: np.ndarray, values: np.ndarray) -> list[np.ndarray]:
+        peak, mass, acc = _absorb(directions, keys, values, scale)
+        return [peak, mass, acc.reshape(len(acc), -1)]
 
     def result(columns: list[np.ndarray]) -> pa.Array:
         _, mass, acc = columns
@@ -103,30 +107,36 @@ def soft_lookup(
     if small is not None:
         keys = np.concatenate([null_keys, as_matrix(small.column("key_vec"), width, gaps=0.0)]) if small.num_rows else null_keys
         values = np.concatenate([null_values, as_matrix(small.column("value_vec"), null_values.shape[1], gaps=0.0)]) if small.num_rows else null_values
-        shared = queries.sparkSession.sparkContext.broadcast((keys, values))
+        shared = queries.sparkSession.sparkContext.broadcast((_directions(keys, heads), _heads(values, heads)))
         schema = T.StructType([queries.schema["query_id"], T.StructField("result", T.ArrayType(T.DoubleType()))])
 
         def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([batch.column(0), result(states(batch.column(1), *shared.value))], schema.names)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), result(states(directed(batch.column(1)), *shared.value))], schema.names)
 
         return queries.select("query_id", "vec").mapInArrow(look_up, schema)
 
-    rows = numbered(queries.select(*names))
+    rows, usable = numbered(queries.select(*names)), cut_lineage(usable)
     fields = "_row bigint, peak array<double>, mass array<double>, acc array<double>"
 
-    def table(ids: pa.Array | pa.ChunkedArray, found: list[np.ndarray]) -> pa.Table:
+    null = _directions(null_keys, heads), _heads(null_values, heads)
+
+    def table(ids: pa.Array, found: list[np.ndarray]) -> pa.Table:
         return pa.table([ids, *map(as_vectors, found)], names=["_row", "peak", "mass", "acc"])
 
-    def of_block(some: pa.Table, block: pa.Table) -> pa.Table:
-        keys, values = as_matrix(block.column("key_vec"), width, gaps=0.0), as_matrix(block.column("value_vec"), null_values.shape[1], gaps=0.0)
-        return table(some.column("_row"), states(some.column("vec"), keys, values))
+    def of_block(some: pa.Table, block: pa.Table, pieces: list[Piece]) -> pa.Table:
+        mine, keys = directed(some.column("vec")), directed(block.column("key_vec"))
+        values = _heads(as_matrix(block.column("value_vec"), null_values.shape[1], gaps=0.0), heads)
+        found = [states(mine[at : at + n], keys[to : to + m], values[to : to + m]) for at, n, to, m in pieces]
+        rows = some.column("_row").to_numpy()
+        ids = np.concatenate([rows[at : at + n] for at, n, _, _ in pieces])
+        return table(pa.array(ids), [np.concatenate(c) for c in zip(*found)])
 
     def of_null(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield from table(batch.column(0), states(batch.column(1), null_keys, null_values)).to_batches()
+                yield from table(batch.column(0), states(directed(batch.column(1)), *null)).to_batches()
 
     per_block = max(1, min(limit, BLOCK_BYTES) // rows_and_bytes(usable, "key_vec", "value_vec")[1])
     block = meet(rows.select("_row", *names[1:]), usable.withColumnRenamed("key_id", "_id"), per_block, per_block, of_block, fields, by)

@@ -18,6 +18,12 @@ from spotgrid.plans.sizing import fits
 # Bytes of vectors that one block of a table holds.
 BLOCK_BYTES = 32 * 1024 * 1024
 
+# Groups of pieces per core, at least, so that cores have even shares.
+CORE_GROUPS = 4
+
+# Start and length of a piece's rows in the one table, then in the other.
+Piece = tuple[int, int, int, int]
+
 
 def as_matrix(vectors: pa.Array | pa.ChunkedArray, width: int | None = None, gaps: float | None = None) -> np.ndarray:
     """Vectors as rows of one matrix of doubles; a null vector is a row of zeros.
@@ -66,12 +72,26 @@ def numbered(rows: DataFrame) -> DataFrame:
     return cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
 
 
+def _by_cell(rows: pa.Table, cells: tuple[str, ...]) -> tuple[pa.Table, dict[tuple, tuple[int, int]]]:
+    """Rows of equal ``cells`` beside one another, in one chunk, and where each of these runs lies: its start and length."""
+    if not rows.num_rows:
+        return rows, {}
+    rows = rows.take(pc.sort_indices(rows, [(c, "ascending") for c in cells])).combine_chunks()
+    columns = [rows.column(c).combine_chunks() for c in cells]
+    changes = np.ones(rows.num_rows, dtype=bool)
+    changes[1:] = np.logical_or.reduce([pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False) for c in columns])
+    starts = np.flatnonzero(changes)
+    sizes = np.diff(np.append(starts, rows.num_rows))
+    keys = zip(*(c.take(pa.array(starts)).to_pylist() for c in columns))
+    return rows, dict(zip(keys, zip(starts.tolist(), sizes.tolist())))
+
+
 def meet(
     left: DataFrame,
     right: DataFrame,
     left_rows: int,
     right_rows: int,
-    work: Callable[[pa.Table, pa.Table], pa.Table],
+    work: Callable[[pa.Table, pa.Table, list[Piece]], pa.Table],
     schema: str,
     by: str | None = None,
 ) -> DataFrame:
@@ -80,15 +100,18 @@ def meet(
     Rows are dealt into blocks of about ``left_rows`` and ``right_rows`` rows by
     hashes of ``_row`` and ``_id``; the number of blocks follows from counts, per
     ``by``, so that a ``by`` with most of the rows only has more blocks.  Each pair of
-    blocks is one piece of a task's work; small pieces share a group.  Rows of a null
-    ``by`` meet nothing.
+    blocks is one piece of a task's work.  Small pieces share a group: ``work`` gets the
+    rows of a group, sorted so that each piece is a slice of both tables, and these
+    slices; what it does once per group does not grow with the number of pieces.  Rows
+    of a null ``by`` meet nothing.
     """
     key = F.lit(0) if by is None else F.col(by)
-    left, right = left.withColumn("_by", key), right.withColumn("_by", key)
+    # Both tables may come from one; only columns of their own go on.
+    left, right = (rows.withColumn("_by", key).drop(*([by] if by else [])) for rows in (left, right))
     counted = left.groupBy("_by").agg(F.count(F.lit(1)).alias("_l")).join(right.groupBy("_by").agg(F.count(F.lit(1)).alias("_r")), "_by")
     sizes = cut_lineage(counted.select("_by", "_l", "_r", F.ceil(F.col("_l") / left_rows).alias("_lb"), F.ceil(F.col("_r") / right_rows).alias("_rb")))
     moved = sizes.agg(F.sum(F.col("_l") * F.col("_rb") / left_rows + F.col("_r") * F.col("_lb") / right_rows)).first()[0] or 0
-    groups = max(1, -(-int(moved) // 2))
+    groups = max(CORE_GROUPS * left.sparkSession.sparkContext.defaultParallelism, -(-int(moved) // 2))
     sizes = F.broadcast(sizes) if by is None else sizes
     zero = F.lit(0).cast("bigint")
 
@@ -101,14 +124,9 @@ def meet(
     nothing = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
 
     def piecewise(one: pa.Table, two: pa.Table) -> pa.Table:
-        found: list[dict[tuple, list[int]]] = []
-        for rows in (one, two):
-            places: dict[tuple, list[int]] = {}
-            for i, cell in enumerate(zip(*(rows.column(c).to_pylist() for c in cells))):
-                places.setdefault(cell, []).append(i)
-            found.append(places)
-        done = [work(one.take(found[0][cell]), two.take(found[1][cell])) for cell in found[0] if cell in found[1]]
-        return pa.concat_tables(done) if done else nothing
+        (one, first), (two, second) = _by_cell(one, cells), _by_cell(two, cells)
+        pieces = [(*first[cell], *second[cell]) for cell in first if cell in second]
+        return work(one, two, pieces) if pieces else nothing
 
     a = placed(left, "_at", "_row", "_lb", "_to", "_rb")
     b = placed(right, "_to", "_id", "_rb", "_at", "_lb")

@@ -1,9 +1,11 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from spotgrid.operators import codebook, lookup, matrix, vector_sums
+from spotgrid.operators.meeting import CORE_GROUPS, meet
 
 RNG = np.random.default_rng(3)
 
@@ -238,3 +240,35 @@ def test_sparse_times_large_dense_with_a_hot_block(spark, monkeypatch):
     assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
     found = {r["r"]: r["total"] for r in got.collect()}
     assert set(found) == set(range(11)) and all(np.allclose(found[r], want[r, :60] @ dense) for r in found)
+
+
+def test_many_small_groups_of_one_table_meet_in_slices(spark):
+    rng = np.random.default_rng(4)
+    many, each = 500, 3
+    vectors = rng.normal(size=(many * each, 2))
+    data = [(i, i % many, v.tolist()) for i, v in enumerate(vectors)]
+    base = spark.createDataFrame(data, "id bigint, own int, vec array<double>").checkpoint()
+    queries = base.select(F.col("id").alias("query_id"), "vec", "own")
+    context = base.select(F.col("id").alias("key_id"), F.col("vec").alias("key_vec"), F.col("vec").alias("value_vec"), (F.col("id") < many * 2).alias("usable"), "own")
+    got = {r["query_id"]: r["result"] for r in lookup.soft_lookup(queries, context, [1.0, 0.0], [0.5, 0.5], by="own").collect()}
+    assert len(got) == len(vectors)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    for i, v in enumerate(vectors):
+        seen = vectors[[j for j in range(i % many, many * 2, many)]]
+        keys, values = np.vstack([seen, [[1.0, 0.0]]]), np.vstack([seen, [[0.5, 0.5]]])
+        weights = np.exp(8.0 * unit(keys) @ unit(v))
+        assert np.allclose(got[i], weights @ values / weights.sum())
+
+
+def test_work_sees_all_pieces_of_a_group_at_once(spark):
+    left = spark.range(4000).selectExpr("id AS _row", "id % 1000 AS own")
+    right = spark.range(2000).selectExpr("id AS _id", "id % 1000 AS own")
+
+    def count(one, two, pieces):
+        mine, theirs = one.column("_by").to_pylist(), two.column("_by").to_pylist()
+        same = all(len({*mine[at : at + n], *theirs[to : to + m]}) == 1 for at, n, to, m in pieces)
+        return pa.table({"calls": [1], "pairs": [sum(n * m for _, n, _, m in pieces)], "same": [same]})
+
+    found = meet(left, right, 1000, 1000, count, "calls bigint, pairs bigint, same boolean", by="own").collect()
+    assert sum(r["pairs"] for r in found) == 8000 and all(r["same"] for r in found)
+    assert sum(r["calls"] for r in found) <= CORE_GROUPS * spark.sparkContext.defaultParallelism < 1000
