@@ -491,7 +491,7 @@ def _(spark, folder):
     fine = generating.Codec(book, inputs.CODES, inputs.SIZE, inputs.LAYERS)
     coarse = generating.Codec(book, inputs.CODES, inputs.SIZE // 2, inputs.LAYERS)
     samples = tables.embedding_conditions(spark, folder)
-    low = generating.lowres_tokens(pixels, inputs.SIZE, coarse)
+    low = cut_lineage(generating.lowres_tokens(pixels, inputs.SIZE, coarse))
     base = scoring.fit_token_scorer(low, samples, 0.5)
     by_pos = generating.lowres_conditions(samples, low, coarse.side, fine.side, coarse.codes)
     superres = scoring.fit_token_scorer(fine.encode(pixels), by_pos, 0.5)

@@ -179,7 +179,8 @@ def _table_step(
     joined = ranked.join(side, ["_pos" if k == "pos" else k for k in keys], "left")
 
     pick = _gumbel_pick(step, run) if run.sampler == "gumbel" else _inverse_pick(step, run)
-    picked = joined.withColumn("_best", pick)
+    # A position that stays settled is not drawn again.
+    picked = joined.withColumn("_best", pick if run.can_remask else F.when(F.col("_hide"), pick))
     token = F.when(F.col("_hide"), F.coalesce("_best.token", F.lit(run.mask_id))).otherwise(F.col("token_id"))
     score = F.round(F.lit(1.0) - F.coalesce("_best.prob", F.lit(0.0)), SCORE_DIGITS)
     if not run.can_remask:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from spotgrid.catalog import inputs
 from spotgrid.operators import generating, masking, matrix, sampling, scoring, tracking, vector_sums
 from spotgrid.plans import training
 
@@ -161,3 +162,20 @@ def test_what_is_rated_is_what_is_drawn_from(spark, tmp_path):
     mass = lambda t: seen.get((cond, pos, t), 0) + (counts.get(t, 0) + 1) / (total + 6)
     label = spark.createDataFrame([(cond, pos, token)], "cond long, pos int, label int")
     assert scorer.cross_entropy(label, 6, scale=1.0).first()[0] == pytest.approx(-math.log(mass(token) / sum(mass(t) for t in range(6))))
+
+
+def test_settled_positions_are_not_drawn_again(spark, monkeypatch):
+    samples = spark.createDataFrame([(i, i % 3) for i in range(6)], "sample_id long, cond long")
+    tokens = spark.range(6 * 16).selectExpr("id div 16 as sample_id", "cast(id % 16 as int) as pos", "cast((id * 7 + id div 16) % 5 as int) as token_id")
+    scorer = scoring.fit_token_scorer(tokens, samples)
+    pick = generating._inverse_pick
+    hidden_only = lambda step, run: F.when(F.col("_hide"), pick(step, run)).otherwise(F.raise_error(F.lit("a settled position was drawn")))
+    want = {tuple(r) for r in generating.generate(samples, scorer, generating.Decoding(4, 5, 9, timesteps=6)).collect()}
+    monkeypatch.setattr(generating, "_inverse_pick", hidden_only)
+    got = {tuple(r) for r in generating.generate(samples, scorer, generating.Decoding(4, 5, 9, timesteps=6)).collect()}
+    assert got == want and len(got) == 6 * 16
+
+
+def test_the_codebook_of_queries_is_worked_out_once(spark):
+    plan = inputs.codebook(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("LogicalRDD") and "Aggregate" not in plan
