@@ -30,8 +30,8 @@ ROUNDS = 20
 # (and the lowest id wins) whatever the order of summation was.
 TIE_DIGITS = 9
 
-# Elements of one similarity block in a task.
-BLOCK_ELEMENTS = 1 << 22
+# Elements of one similarity block in a task: 2 MB, which stay in the cache while they are rounded.
+BLOCK_ELEMENTS = 1 << 18
 
 
 def fit_codebook(vectors: DataFrame, k: int = CODES, seed: int = 0, rounds: int = ROUNDS) -> DataFrame:
@@ -125,7 +125,9 @@ def _best_codes(vectors: pa.Array, ids: np.ndarray, units: np.ndarray) -> tuple[
     vecs = vecs / np.maximum(np.sqrt((vecs * vecs).sum(axis=1, keepdims=True)), 1e-12)
     step = max(1, BLOCK_ELEMENTS // units.shape[1])
     for at in range(0, n, step):
-        scores = np.round(vecs[at : at + step] @ units, TIE_DIGITS) + 0.0
+        scores = vecs[at : at + step] @ units
+        np.round(scores, TIE_DIGITS, out=scores)
+        scores += 0.0
         pick = scores.argmax(axis=1)
         code[at : at + step], sim[at : at + step] = ids[pick], scores[np.arange(len(pick)), pick]
     return code, sim

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -272,3 +274,15 @@ def test_work_sees_all_pieces_of_a_group_at_once(spark):
     found = meet(left, right, 1000, 1000, count, "calls bigint, pairs bigint, same boolean", by="own").collect()
     assert sum(r["pairs"] for r in found) == 8000 and all(r["same"] for r in found)
     assert sum(r["calls"] for r in found) <= CORE_GROUPS * spark.sparkContext.defaultParallelism < 1000
+
+
+def test_assigning_holds_one_small_block_of_similarities():
+    codes, vecs = RNG.normal(size=(160, 4)), RNG.normal(size=(20000, 4))
+    ids, units = codebook._units(pa.table({"code_id": pa.array(range(160), pa.int32()), "vec": codes.tolist()}))
+    given = pa.array(vecs.tolist())
+    tracemalloc.start()
+    code, _ = codebook._best_codes(given, ids, units)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    sims = (vecs / np.linalg.norm(vecs, axis=1)[:, None]) @ (codes / np.linalg.norm(codes, axis=1)[:, None]).T
+    assert np.array_equal(code, np.round(sims, 9).argmax(axis=1)) and peak < 10 << 20
